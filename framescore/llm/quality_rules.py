@@ -16,9 +16,9 @@ BOILERPLATE = [
     "terms of use", "terms of service", "sign in", "log in", "subscribe to our newsletter", "click here", "read more",
     "share on", "follow us", "back to top", "skip to content",
 ]
-#: Characters that count as symbols, and those that may end a sentence.
+#: Characters that count as symbols, and the end of a sentence or clause.
 SYMBOLS = "[#*$%&|<>]"
-TERMINAL = r"[.!?:;,\x22')\]…»”’。！？][\x20\x09-\x0D]*\z"
+TERMINAL = r"[.!?:;…。！？][\x22')\]»”’]*([\x20\x09-\x0D]|\z)"
 #: A line keeps its place if at most this share of its characters are symbols or repeated exclamation marks.
 MAX_SYMBOL_SHARE = 0.08
 #: Separators of items that make a line navigation.
@@ -35,7 +35,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_lines, n_lines_removed, chars_removed, clean_text.
 
-    A line (\\n-split, with a word) fails on punctuation (no sentence-ending mark at its end, or too many symbols or
+    A line (\\n-split, with a word) fails on punctuation (no mark that ends a sentence or clause, or too many symbols or
     doubled exclamation marks), navigation (two or more item separators) or boilerplate (a listed phrase). clean_text
     has the other lines. The verdict rejects documents whose failing lines hold more than max_lost of the word
     characters. Null text has no words and fails the base rules, as empty text does. Ids may be null or repeat; an

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, private_data, quality_rules
 from .common import LOWER, UPPER, WORD, table
 
 
+def op5_boosted_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find_private_data(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 FROM x
 """
 
-QUERIES = {"op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules}
+QUERIES = {"op5_boosted_private_data": op5_boosted_private_data, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules}
 ORACLES = {"op9_block_naming_dedup": OP9_SQL, "op10_line_first_rules": OP10_SQL}
