@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, private_data, quality_rules
+from . import exact_dedup, packing, private_data, quality_rules, token_counts
 from .common import LOWER, UPPER, WORD, table
 
 
+def op1_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op2_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_boosted_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.find_private_data(table(spark, sf_dir, "documents")).drop("found")
 
@@ -56,5 +64,5 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 FROM x
 """
 
-QUERIES = {"op5_boosted_private_data": op5_boosted_private_data, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules}
+QUERIES = {"op1_offset_token_counts": op1_offset_token_counts, "op2_concatenate_and_cut": op2_concatenate_and_cut, "op5_boosted_private_data": op5_boosted_private_data, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules}
 ORACLES = {"op9_block_naming_dedup": OP9_SQL, "op10_line_first_rules": OP10_SQL}
