@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, private_data, quality_rules, token_counts
+from . import exact_dedup, mixing, packing, private_data, quality_rules, simhash, token_counts
 from .common import LOWER, UPPER, WORD, table
 
 
@@ -24,6 +24,10 @@ def op7_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_segment_popcount_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,5 +72,5 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 FROM x
 """
 
-QUERIES = {"op1_offset_token_counts": op1_offset_token_counts, "op2_concatenate_and_cut": op2_concatenate_and_cut, "op5_boosted_private_data": op5_boosted_private_data, "op7_subset_sum_mix": op7_subset_sum_mix, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules}
+QUERIES = {"op1_offset_token_counts": op1_offset_token_counts, "op2_concatenate_and_cut": op2_concatenate_and_cut, "op5_boosted_private_data": op5_boosted_private_data, "op7_subset_sum_mix": op7_subset_sum_mix, "op8_segment_popcount_simhash": op8_segment_popcount_simhash, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules}
 ORACLES = {"op9_block_naming_dedup": OP9_SQL, "op10_line_first_rules": OP10_SQL}
