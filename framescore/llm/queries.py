@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, packing, private_data, quality_classifier, quality_rules, simhash, token_counts
+from . import exact_dedup, language_id, licenses, mixing, packing, private_data, quality_classifier, quality_rules, simhash, token_counts
 from .common import LOWER, UPPER, WORD, table
 
 
@@ -16,6 +16,10 @@ def op2_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_paragraph_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_neighbour_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,5 +84,5 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 FROM x
 """
 
-QUERIES = {"op1_offset_token_counts": op1_offset_token_counts, "op2_concatenate_and_cut": op2_concatenate_and_cut, "op5_boosted_private_data": op5_boosted_private_data, "op4_neighbour_voting": op4_neighbour_voting, "op6_partial_matching": op6_partial_matching, "op7_subset_sum_mix": op7_subset_sum_mix, "op8_segment_popcount_simhash": op8_segment_popcount_simhash, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules}
+QUERIES = {"op1_offset_token_counts": op1_offset_token_counts, "op2_concatenate_and_cut": op2_concatenate_and_cut, "op5_boosted_private_data": op5_boosted_private_data, "op3_paragraph_licenses": op3_paragraph_licenses, "op4_neighbour_voting": op4_neighbour_voting, "op6_partial_matching": op6_partial_matching, "op7_subset_sum_mix": op7_subset_sum_mix, "op8_segment_popcount_simhash": op8_segment_popcount_simhash, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules}
 ORACLES = {"op9_block_naming_dedup": OP9_SQL, "op10_line_first_rules": OP10_SQL}
