@@ -1,4 +1,6 @@
 """Every query of the library by name, with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import identity, scoring  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
