@@ -1,6 +1,6 @@
 """Every query of the library by name, with its SQL."""
 
-from . import identity, scoring  # noqa: F401
+from . import identity, links, rewrites, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
