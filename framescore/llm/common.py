@@ -37,10 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, rows: int | None = None, per_file: int = 1_000_000, codec: str = "zstd") -> DataFrame:
     """Writes df in the shared folder and reads it back: cuts lineage, survives lost executors, and lets every later
-    read see the same rows."""
+    read see the same rows. rows: an upper bound of their number, for which files of per_file rows are written instead
+    of one for each of many small partitions."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df = df if rows is None else df.coalesce(max(8, -(-rows // per_file)))
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

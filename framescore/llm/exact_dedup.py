@@ -28,7 +28,7 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = cut.select("id", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "blk")).withColumn("h", F.xxhash64("blk"))
 
     by_hash = pieces.groupBy("h").agg(F.min("blk").alias("lo"), F.max("blk").alias("hi")).sortWithinPartitions("h")
-    by_hash = materialise(by_hash.select("h", (F.col("lo") == F.col("hi")).alias("sole"), F.monotonically_increasing_id().alias("name")))
+    by_hash = materialise(by_hash.select("h", (F.col("lo") == F.col("hi")).alias("sole"), F.monotonically_increasing_id().alias("name")), docs.count(), 100_000)
     named = pieces.drop("blk").join(by_hash.filter("sole").drop("sole"), "h").select("id", "sha", "n", "pos", F.col("name") * 2)
     shared = by_hash.filter("NOT sole").select("h")
     if not shared.isEmpty():  # two contents under one hash: these are named by content
@@ -40,14 +40,14 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _pair_up(now: DataFrame) -> DataFrame:
     """Names adjacent pairs until each document has one name. An odd last name pairs with -1."""
-    level, most = 0, now.agg(F.max("n")).first()[0] or 1
+    level, (most, rows) = 0, now.agg(F.coalesce(F.max("n"), F.lit(1)), F.count(F.lit(1))).first()
     done = now.filter("n = 1").select("id", "sha", F.lit(0).alias("level"), "name").distinct()
     now = now.filter("n > 1")
     while most > 1:
         side = lambda odd: F.coalesce(F.max(F.when(F.col("pos") % 2 == odd, F.col("name"))), F.lit(-1))
         pairs = now.groupBy("id", "sha", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.expr("pos div 2").alias("pos")).agg(side(0).alias("a"), side(1).alias("b"))
-        names = materialise(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name")))
-        now = materialise(pairs.join(names, ["a", "b"]).select("id", "sha", "n", "pos", "name"))
+        names = materialise(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name")), rows)
+        now = materialise(pairs.join(names, ["a", "b"]).select("id", "sha", "n", "pos", "name"), rows)
         level, most = level + 1, (most + 1) // 2
         done = done.union(now.filter("n = 1").select("id", "sha", F.lit(level).alias("level"), "name"))
         now = now.filter("n > 1")
@@ -62,8 +62,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with different texts is several. A null id is smaller than any other. An empty table gives no rows; further columns
     are ignored.
     """
-    ident = materialise(block_identity(docs, id_col, text_col, block))
-    groups = materialise(ident.groupBy("level", "name").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    rows = docs.count()
+    ident = materialise(block_identity(docs, id_col, text_col, block), rows)
+    groups = materialise(ident.groupBy("level", "name").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("size")).filter("size > 1"), rows)
     size = F.coalesce("size", F.lit(1).cast("long"))
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
     return ident.join(groups, ["level", "name"], "left").select(

@@ -91,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
     d = d.withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("hb", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     d = materialise(d)
-    cells = materialise(d.groupBy("source", "size", "hb").agg(F.count(F.lit(1)).alias("n")))
+    cells = materialise(d.groupBy("source", "size", "hb").agg(F.count(F.lit(1)).alias("n")), d.count())
     by_source = [(r.source, int(r.s or 0)) for r in cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()]
     goal = targets(by_source, weights, cap)
     size_of = dict(by_source)
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     upto = Window.partitionBy("source", "size").orderBy("hb")
     plan = cells.withColumn("before", F.sum("n").over(upto) - F.col("n"))
     plan = plan.join(fitted, same(plan, fitted, "source", "size")).select(plan["source"], plan["size"], "hb", "before", "whole", "k", "source_size", "target")
-    plan = materialise(plan)
+    plan = materialise(plan, d.count())
     ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "hb").orderBy("h", "id")))
     chosen = ranked.join(plan, same(ranked, plan, "source", "size", "hb"))
     once_more = (F.col("before") + F.col("rank") <= F.col("k")).cast("long")

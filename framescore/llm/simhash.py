@@ -159,11 +159,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest unless a component has no other. An empty table gives no rows; further columns are ignored.
     """
     own = materialise(fingerprints(docs, id_col, text_col, words))
-    found = materialise(links(own.select("fp").distinct(), distance, bands))
-    roots = materialise(connected_components(found).filter("node <> root"))
+    rows = own.count()
+    found = materialise(links(own.select("fp").distinct(), distance, bands), 16 * rows)
+    roots = materialise(connected_components(found).filter("node <> root"), rows)
     rooted = own.join(roots, own["fp"] == roots["node"], "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted)
-    groups = materialise(rooted.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    rooted = materialise(rooted, rows)
+    groups = materialise(rooted.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), rows)
     joined = rooted.join(groups, "root", "left")
     return joined.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("least", "id").alias("component_id"))
 
