@@ -101,7 +101,7 @@ def _passes(kind: str, m: Column) -> Column:
     if kind == "phone":
         return count.between(9, 15)
     if kind == "ip":
-        return F.forall(F.split(m, r"\."), lambda p: F.ltrim(F.lit("0"), p).rlike("^([0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
+        return F.forall(F.split(m, r"\."), lambda p: F.ltrim(p, F.lit("0")).rlike("^([0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     return F.lit(True)
 
 
