@@ -1,6 +1,6 @@
 """Every query of the library by name, with its SQL."""
 
-from . import files, goldside, identity, links, rewrites, scoring, storage  # noqa: F401
+from . import composite, files, goldside, identity, links, rewrites, scoring, storage  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from framescore.functions.scalars import gold_realis, less_specific_times
@@ -13,7 +11,7 @@ from framescore.operators import queries as Q
 from framescore.operators import scores as S
 from framescore.sources.sinks import node_name
 
-from .registry import query
+from .registry import once, query
 from .scoring import COUNTS, PRF
 
 ARG = ["doc_id", "event_type", "role", "realis", "coref_id"]
@@ -68,7 +66,7 @@ class Gold:
         return cut(self.gargs).select(*ARG).distinct(), cut(self.sargs).select("system_id", *ARG).distinct()
 
 
-@functools.cache
+@once
 def gold(t) -> Gold:
     return Gold(t)
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from framescore.operators import align as A
 from framescore.operators import linking as L
 
-from .registry import query
+from .registry import once, query
 from .scoring import ALIGN, doc_counts
 from .tables import CLASS
 
@@ -39,7 +37,7 @@ def classes(t):
     return d.select("doc_id", "response_id", F.concat_ws("|", "event_type", "role", "realis", "canon").alias("item"), "realis")
 
 
-@functools.cache
+@once
 def lifted(t):
     to_class = classes(t).select("response_id", "item")
     gold = L.lift(t.gold_linking, to_class, ["doc_id", "frame_id"]).persist()

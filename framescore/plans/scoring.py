@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from framescore.operators import align as A
 from framescore.operators import scores as S
 
 from .identity import SQL_OLD
-from .registry import query
+from .registry import once, query
 from .tables import CLASS
 
 K = ", ".join(CLASS)
@@ -28,7 +26,7 @@ COUNTS = "count(*) FILTER (cell = 'TP') AS tp, count(*) FILTER (cell IN ('FP', '
 PRF = "CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1"
 
 
-@functools.cache
+@once
 def _aligned(t):
     responses = A.canonicalised(t.responses, t.canonical)
     assessed = A.canonicalised(t.assessments.filter("is_assessed"), t.canonical)
