@@ -28,7 +28,7 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = cut.select("id", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "blk")).withColumn("h", F.xxhash64("blk"))
 
     by_hash = pieces.groupBy("h").agg(F.min("blk").alias("lo"), F.max("blk").alias("hi")).sortWithinPartitions("h")
-    by_hash = materialise(by_hash.select("h", (F.col("lo") == F.col("hi")).alias("sole"), F.monotonically_increasing_id().alias("name")), docs.count(), 100_000)
+    by_hash = materialise(by_hash.select("h", (F.col("lo") == F.col("hi")).alias("sole"), F.monotonically_increasing_id().alias("name")), docs.count(), 20_000)
     named = pieces.drop("blk").join(by_hash.filter("sole").drop("sole"), "h").select("id", "sha", "n", "pos", F.col("name") * 2)
     shared = by_hash.filter("NOT sole").select("h")
     if not shared.isEmpty():  # two contents under one hash: these are named by content
