@@ -21,7 +21,8 @@ BLOCK = 4096
 
 
 def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, sha, level, name) for each distinct (id, normalised text); sha is the SHA-256 of the normalised text."""
+    """(id, sha, level, name, copies) for each distinct (id, normalised text): sha is the SHA-256 of the normalised text,
+    copies the number of rows that repeat both."""
     base = docs.select(F.col(id_col).alias("id"), fold_ascii(text_of(text_col)).alias("t"))
     cut = F.when(F.octet_length("t") <= block, F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block}}}+"), F.lit(0)))
     cut = base.select("id", F.sha2("t", 256).alias("sha"), cut.alias("blocks"))
@@ -35,45 +36,58 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rest = pieces.join(F.broadcast(shared) if shared.count() < 1000 else shared, "h", "left_semi")
         names = materialise(rest.groupBy("blk").agg(F.lit(1).alias("one")).sortWithinPartitions("blk").select("blk", (F.monotonically_increasing_id() * 2 + 1).alias("name")))
         named = named.union(rest.join(names, "blk").select("id", "sha", "n", "pos", "name"))
-    return _pair_up(materialise(named.toDF("id", "sha", "n", "pos", "name")))
+    return _pair_up(materialise(named.toDF("id", "sha", "n", "pos", "name")).withColumn("copies", F.lit(1).cast("long")))
 
 
 def _pair_up(now: DataFrame) -> DataFrame:
     """Names adjacent pairs until each document has one name. An odd last name pairs with -1."""
     level, (most, rows) = 0, now.agg(F.coalesce(F.max("n"), F.lit(1)), F.count(F.lit(1))).first()
-    done = now.filter("n = 1").select("id", "sha", F.lit(0).alias("level"), "name").distinct()
+    done = now.filter("n = 1").groupBy("id", "sha", F.lit(0).alias("level"), "name").agg(F.sum("copies").alias("copies"))
     now = now.filter("n > 1")
     while most > 1:
         side = lambda odd: F.coalesce(F.max(F.when(F.col("pos") % 2 == odd, F.col("name"))), F.lit(-1))
-        pairs = now.groupBy("id", "sha", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.expr("pos div 2").alias("pos")).agg(side(0).alias("a"), side(1).alias("b"))
+        pairs = now.groupBy("id", "sha", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.expr("pos div 2").alias("pos")).agg(side(0).alias("a"), side(1).alias("b"), F.sum(F.when(F.col("pos") % 2 == 0, F.col("copies"))).alias("copies"))
         names = materialise(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name")), rows)
-        now = materialise(pairs.join(names, ["a", "b"]).select("id", "sha", "n", "pos", "name"), rows)
+        now = materialise(pairs.join(names, ["a", "b"]).select("id", "sha", "n", "pos", "name", "copies"), rows)
         level, most = level + 1, (most + 1) // 2
-        done = done.union(now.filter("n = 1").select("id", "sha", F.lit(level).alias("level"), "name"))
+        done = done.union(now.filter("n = 1").select("id", "sha", F.lit(level).alias("level"), "name", "copies"))
         now = now.filter("n > 1")
     return done
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z; null is the empty text, and empty texts are equal to each
-    other. The row with the largest id stays. A row repeated in full (same id and equal text) is one document; one id
-    with different texts is several. A null id is smaller than any other. An empty table gives no rows; further columns
-    are ignored.
-    """
+def _groups(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
+    """The columns of exact_duplicates and copies, one row for each distinct (id, normalised text)."""
     rows = docs.count()
     ident = materialise(block_identity(docs, id_col, text_col, block), rows)
-    groups = materialise(ident.groupBy("level", "name").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("size")).filter("size > 1"), rows)
+    groups = materialise(ident.groupBy("level", "name").agg(F.max("id").alias("keep"), F.sum("copies").alias("size")).filter("size > 1"), rows)
     size = F.coalesce("size", F.lit(1).cast("long"))
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
     return ident.join(groups, ["level", "name"], "left").select(
-        F.col("id").alias("doc_id"), keep.alias("keep_id"), size.alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256")
+        F.col("id").alias("doc_id"), keep.alias("keep_id"), size.alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256"), "copies"
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stay = exact_duplicates(docs.select(id_col, text_col), id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; null is the empty text, and empty texts are equal to each
+    other. The row with the largest id stays. Rows repeating an id and its text each count in group_size, and kept is
+    true of all of them if theirs is the largest id; one id with different texts is several documents. A null id is
+    smaller than any other. An empty table gives no rows; further columns are ignored.
+    """
+    found = _groups(docs, id_col, text_col, block)
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy")
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of docs that stay, with all their columns; of rows repeating an id and its text, one."""
+    stay = _groups(docs.select(id_col, text_col), id_col, text_col, block).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "copies")
     own = docs.withColumn("_sha_of", F.sha2(fold_ascii(text_of(text_col)), 256))
-    return own.join(stay, own[id_col].eqNullSafe(stay["_id"]) & (own["_sha_of"] == stay["_sha"]), "left_semi").select(*docs.columns)
+
+    def among(found: DataFrame) -> DataFrame:
+        return own.join(found, own[id_col].eqNullSafe(found["_id"]) & (own["_sha_of"] == found["_sha"]), "left_semi")
+
+    if stay.filter("copies > 1").isEmpty():
+        return among(stay).select(*docs.columns)
+    repeated = among(stay.filter("copies > 1")).dropDuplicates([id_col, "_sha_of"])
+    return among(stay.filter("copies = 1")).union(repeated).select(*docs.columns)

@@ -121,6 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken; a document without words is not taken."""
-    times = mix(docs, id_col, text_col, source_col, **how).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("taken div size").alias("_times")).distinct()
+    """The rows of docs that the mix takes, each as often as it is taken; a document without words is not taken. Rows that
+    repeat an id are each taken as often as the one taken most."""
+    times = mix(docs, id_col, text_col, source_col, **how).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.expr("taken div size")).alias("_times"))
     return docs.join(times, docs[id_col].eqNullSafe(times["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)

@@ -55,18 +55,27 @@ def fold(t):
 
 @pytest.mark.parametrize("block", [7, 4096])
 def test_exact_dedup(docs, rows, empty, block):
-    want, groups = Counter(), defaultdict(set)
-    for i, t, *_ in set(rows):
-        groups[fold(t)].add(i)
-    for i, t in {(i, fold(t)) for i, t, *_ in rows}:
-        keep = max((x for x in groups[t] if x is not None), default=None)
-        want[(i, keep, len({(x) for x in groups[t]}), keep == i, hashlib.sha256(t.encode()).hexdigest())] += 1
+    want, groups = Counter(), defaultdict(list)
+    for i, t, *_ in rows:
+        groups[fold(t)].append(i)
+    for i, t, *_ in rows:
+        ids = groups[fold(t)]
+        keep = max((x for x in ids if x is not None), default=None)
+        want[(i, keep, len(ids), keep == i, hashlib.sha256(fold(t).encode()).hexdigest())] += 1
     got = Counter(tuple(r) for r in exact_dedup.exact_duplicates(docs, block=block).collect())
     assert got == want
     assert exact_dedup.exact_duplicates(empty).count() == 0
-    kept = exact_dedup.drop_exact_duplicates(docs)
+    kept = exact_dedup.drop_exact_duplicates(docs, block=block)
     assert kept.columns == docs.columns
-    assert Counter(fold(r.text) for r in kept.distinct().collect()) == Counter(groups.keys())
+    assert Counter(fold(r.text) for r in kept.collect()) == Counter(groups.keys())
+
+
+def test_exact_dedup_of_repeated_rows(spark):
+    long = prose(8, 3000)
+    d = frame(spark, [(1, "a", "en", "s")] * 3 + [(2, long, "en", "s")] * 2 + [(3, long.upper(), "en", "s"), (4, "b", "en", "s")] * 2)
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(d).collect())
+    assert got == Counter({(1, 1, 3, True): 3, (2, 3, 4, False): 2, (3, 3, 4, True): 2, (4, 4, 2, True): 2})
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(d).collect()) == [1, 3, 4]
 
 
 def brute_quality(t):
@@ -224,6 +233,11 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
     kept = mixing.mixed_documents(docs.filter("doc_id IS NOT NULL AND doc_id <> 2"))
     assert kept.columns == docs.columns
+    times, most = Counter(r.doc_id for r in mixing.mixed_documents(docs).collect()), defaultdict(int)
+    for r in got:
+        most[r.doc_id] = max(most[r.doc_id], r.taken // max(r.size, 1))
+    rows_of = Counter(i for i, *_ in rows)
+    assert times == Counter({i: n * rows_of[i] for i, n in most.items() if n})
 
 
 def test_targets_and_fit():
