@@ -162,9 +162,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs with a language, with all their columns and lang set to the predicted one."""
-    found = identify(docs.select(id_col, text_col, lang_col), id_col, text_col, lang_col).filter(F.col("lang_pred") != UNDETERMINED)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("lang_pred").alias("_lang")).dropDuplicates(["_id"])
-    kept = docs.join(found, docs[id_col].eqNullSafe(found["_id"])).filter(text_of(text_col).rlike(r"\p{L}"))
-    return kept.withColumn(lang_col, F.col("_lang")).select(*docs.columns)
+def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trees: Trees | None = None) -> DataFrame:
+    """The rows of docs with a language, with all their columns and lang set to the predicted one.
+
+    Each row is predicted where it lies, without a shuffle, so ids may be null or repeat. No row has a language if none
+    is labelled.
+    """
+    trees = trees or fit(docs, id_col, text_col, lang_col)
+    if trees is None:
+        return docs.filter(F.lit(False))
+    sent = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by MAX_NODES, the alphabet and the languages
+
+    @F.pandas_udf("string")
+    def predicted(texts: pd.Series) -> pd.Series:
+        t = sent.value
+        return pd.Series([t.languages[int(t.bits(x.encode()).argmin())] for x in texts], dtype=object)
+
+    return docs.filter(text_of(text_col).rlike(r"\p{L}")).withColumn(lang_col, predicted(F.col(text_col)))

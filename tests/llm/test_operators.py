@@ -315,7 +315,11 @@ def test_language(spark, docs, empty):
     assert language_id.identify(empty).count() == 0
     assert language_id.identify(docs).count() == docs.count()
     kept = language_id.drop_undetermined(frame(spark, rows))
-    assert kept.count() == len(rows) - 3 and kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert Counter((r.doc_id, r.text, r.lang) for r in kept.collect()) == Counter((k, t, found[k].lang_pred) for k, t, *_ in rows if found[k].lang_pred != "und")
+    assert kept.columns == docs.columns
+    assert language_id.drop_undetermined(empty).count() == 0
+    lettered = sum(any(c.isalpha() for c in r.text or "") for r in docs.collect())
+    assert language_id.drop_undetermined(docs).count() == lettered
 
 
 def test_partial_matching_is_a_distribution():
