@@ -18,8 +18,8 @@ def realis_ordinal(realis: Column) -> Column:
 
 def _le_hex(x: Column) -> Column:
     """A 32-bit integer as eight hexadecimal digits, lowest byte first."""
-    part = lambda n: F.shiftright(x, n).bitwiseAND(F.lit(255))
-    return F.format_string("%02x%02x%02x%02x", part(0), part(8), part(16), part(24))
+    byte = lambda n: F.shiftright(x, n).bitwiseAND(F.lit(255)).cast("bigint")
+    return F.lpad(F.hex(byte(0) * (1 << 24) + byte(8) * (1 << 16) + byte(16) * (1 << 8) + byte(24)), 8, "0")
 
 
 def _spans_hex(spans: Column) -> Column:
@@ -65,4 +65,4 @@ def old_id() -> Column:
     """The signed 32-bit identifier of the oldest format; it breaks ties between equally confident responses."""
     cas = _mixed(text_hash(F.col("cas")), _span_hash(F.col("cas_start"), F.col("cas_end")))
     h = _mixed(text_hash(F.col("doc_id")), text_hash(F.col("event_type")), text_hash(F.col("role")), cas, _span_hash(F.col("bf_start"), F.col("bf_end")), _spans_hash(F.col("aaj")), _spans_hash(F.col("pj")), text_hash(F.col("realis")))
-    return F.when(h >= 1 << 31, h - _MOD).otherwise(h).cast("int")
+    return (F.pmod(h + (1 << 31), F.lit(_MOD)) - (1 << 31)).cast("int")

@@ -9,9 +9,13 @@ from framescore.functions import ident
 
 
 def best_response(responses: DataFrame, by: list[str]) -> DataFrame:
-    """The most confident response of each group; of equals the one with the greater old identifier."""
-    order = [F.desc("confidence"), F.desc(ident.old_id()), F.desc("response_id")]
-    return responses.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
+    """The most confident response of each group; of equals the one with the greater old identifier, which is worked out
+    for equals only. Both windows use one shuffle."""
+    group = Window.partitionBy(*by)
+    peers = F.count(F.lit(1)).over(group.orderBy(F.desc("confidence")).rangeBetween(Window.currentRow, Window.currentRow))
+    d = responses.withColumn("_peers", peers).withColumn("_old", F.when(F.col("_peers") > 1, ident.old_id()))
+    first = F.row_number().over(group.orderBy(F.desc("confidence"), F.desc("_old"), F.desc("response_id")))
+    return d.withColumn("_n", first).filter("_n = 1").drop("_n", "_peers", "_old")
 
 
 def canonicalised(rows: DataFrame, canonical: DataFrame, how: str = "strict") -> DataFrame:
@@ -23,22 +27,30 @@ def canonicalised(rows: DataFrame, canonical: DataFrame, how: str = "strict") ->
     return joined.withColumn("canon", F.coalesce("canon", own)) if how == "lax" else joined
 
 
-def key_classes(assessed: DataFrame, correct: DataFrame, keys: list[str]) -> DataFrame:
-    """Each equivalence class of the key and whether a response of it is correct."""
-    flagged = assessed.join(correct.select("response_id", F.lit(True).alias("ok")), "response_id", "left")
-    return flagged.groupBy(*keys).agg(F.max(F.coalesce("ok", F.lit(False))).alias("class_correct"))
+def flagged(assessed: DataFrame, correct: DataFrame | Column) -> DataFrame:
+    """assessed with `right`: correct is a condition on its columns, or a table of correct responses' ids."""
+    if isinstance(correct, Column):
+        return assessed.withColumn("right", F.coalesce(correct, F.lit(False)))
+    ids = correct.select("response_id", F.lit(True).alias("right"))
+    return assessed.join(ids, "response_id", "left").withColumn("right", F.coalesce("right", F.lit(False)))
 
 
-def align(responses: DataFrame, assessed: DataFrame, correct: DataFrame, keys: list[str]) -> DataFrame:
+def key_classes(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Each equivalence class of the key and whether a response of it is correct. judged: as `flagged` returns it."""
+    return judged.groupBy(*keys).agg(F.max("right").alias("class_correct"))
+
+
+def align(responses: DataFrame, assessed: DataFrame, correct: DataFrame | Column, keys: list[str]) -> DataFrame:
     """(system_id, *keys, cell): TP, FP, FN or unassessed; a wrong best response of a correct class is FP and FN.
 
-    responses and assessed hold the key columns. The submissions are few and are broadcast against the key's correct
-    classes, since each of these is found or missed by every system.
+    responses and assessed hold the key columns; correct: as for `flagged`, a condition spares two joins. The submissions
+    are few and are broadcast against the key's correct classes, since each of these is found or missed by every system.
     """
     best = best_response(responses, ["system_id", *keys]).select("system_id", *keys, "response_id")
-    known = assessed.select("response_id", F.lit(True).alias("known")).join(correct.select("response_id", F.lit(True).alias("right")), "response_id", "left")
+    judged = flagged(assessed, correct)
+    known = judged.select("response_id", F.lit(True).alias("known"), "right")
     best = best.join(known, "response_id", "left").select("system_id", *keys, F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("right", F.lit(False)).alias("right"), F.lit(True).alias("found"))
-    classes = key_classes(assessed, correct, keys).filter("class_correct")
+    classes = key_classes(judged, keys).filter("class_correct")
     wanted = classes.crossJoin(F.broadcast(responses.select("system_id").distinct()))
     both = wanted.join(best, ["system_id", *keys], "full")
     found = F.col("found").isNotNull()

@@ -24,7 +24,7 @@ from .links import KEEP, LIFT, classes, lifted
 from .registry import query
 from .rewrites import _OK, _STEPS, QUOTED, quoted
 from .scoring import ALIGN, DRAWS, PRF, SAMPLES, doc_counts
-from .tables import CLASS, SQL_REALIS, _le
+from .tables import CLASS, SQL_REALIS, _le, is_correct
 
 _K = ", ".join(CLASS)
 _NAMES = ("resp", "best", "keyrows", "keyc", "wanted", "bestx", "align0", "aligned", "doc_counts")
@@ -58,7 +58,7 @@ def tr2(t):
 @query("sco2_scorer_2014", f"{PRE}{_other_align('responses_p', 'assessments_p')}, c AS (SELECT system_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM doc_counts_2 GROUP BY ALL) SELECT *, {PRF} FROM c")
 def sco2(t):
     responses, key = _preprocessed(t)
-    c = A.cells(A.align(responses, key.filter("is_assessed"), t.correct, CLASS), ["system_id", "doc_id"])
+    c = A.cells(A.align(responses, key.filter("is_assessed"), is_correct(), CLASS), ["system_id", "doc_id"])
     return S.with_f(c.groupBy("system_id").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]))
 
 
@@ -72,7 +72,7 @@ def sco4(t):
     responses = A.canonicalised(t.responses, t.canonical)
     kept = L.keep_best(responses, t.linking, CLASS).persist()
     own = responses.join(kept.select("system_id", "response_id"), ["system_id", "response_id"], "left_semi")
-    counts = A.cells(A.align(own, A.canonicalised(t.assessments.filter("is_assessed"), t.canonical), t.correct, CLASS), ["system_id", "doc_id"])
+    counts = A.cells(A.align(own, A.canonicalised(t.assessments.filter("is_assessed"), t.canonical), is_correct(), CLASS), ["system_id", "doc_id"])
     gained = F.sum(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0)))
     arg = counts.groupBy("system_id").agg((gained / F.sum(F.col("tp") + F.col("fn"))).alias("arg"))
     gold, _ = lifted(t)

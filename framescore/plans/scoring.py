@@ -9,7 +9,7 @@ from framescore.operators import scores as S
 
 from .identity import SQL_OLD
 from .registry import once, query
-from .tables import CLASS
+from .tables import CLASS, is_correct
 
 K = ", ".join(CLASS)
 #: Further common table expressions: aligned cells of each system and class.
@@ -30,7 +30,7 @@ PRF = "CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision, CASE
 def _aligned(t):
     responses = A.canonicalised(t.responses, t.canonical)
     assessed = A.canonicalised(t.assessments.filter("is_assessed"), t.canonical)
-    return A.align(responses, assessed, t.correct, CLASS)
+    return A.align(responses, assessed, is_correct(), CLASS)
 
 
 def doc_counts(t):

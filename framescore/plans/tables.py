@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framescore.functions import ident
@@ -23,6 +23,17 @@ def _choice(key: Column, values: tuple) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (key + 1).cast("int"))
 
 
+def _response_id() -> Column:
+    """The identifier; the columns of rows that it is made from are never null, nor is it."""
+    return F.coalesce(ident.response_id(), F.lit(""))
+
+
+def is_correct() -> Column:
+    """Whether an assessment is correct up to inexactness."""
+    ok = lambda c: F.coalesce(F.col(c).isin("C", "I"), F.lit(False))
+    return F.col("is_assessed") & F.coalesce(F.col("a_realis") == F.col("realis"), F.lit(False)) & ok("aet") & ok("aer") & ok("cas_ok") & ok("bf_ok")
+
+
 class Tables:
     """Inputs of the library's queries at one scale."""
 
@@ -34,25 +45,28 @@ class Tables:
 
     @functools.cached_property
     def rows(self) -> DataFrame:
-        """One row per lineitem row, reshaped."""
+        """One row per lineitem row that has its keys, reshaped. Columns are marked as never null, so that Catalyst does not
+        infer null checks on them, each of which would evaluate a column's whole expression once more at the scan."""
+        sure = lambda c, other: F.coalesce(c, F.lit(other))
         part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-        ent = (part % 40).cast("int")
-        at = (40 * (supp % 10)).cast("int")
+        ent = sure((part % 40).cast("int"), 0)
+        at = sure((40 * (supp % 10)).cast("int"), 0)
         span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
-        day = F.date_format("l_shipdate", "yyyy-MM-dd")
+        day = F.col("l_shipdate").cast("date").cast("string")
         masked = F.when(part % 3 == 1, F.concat(F.substring(day, 1, 8), F.lit("XX"))).when(part % 3 == 2, F.concat(F.substring(day, 1, 5), F.lit("XX-XX"))).otherwise(day)
-        doc = F.floor(F.col("l_orderkey") / F.lit(30.0)).cast("bigint")
-        role = _choice(line % 4, ROLES)
-        return self.parquet("lineitem").select(
-            doc.alias("doc_no"), F.concat(F.lit("D"), doc.cast("string")).alias("doc_id"), F.concat(F.lit("sys"), (supp % 4).cast("string")).alias("system_id"),
-            _choice(part % 5, EVENT_TYPES).alias("event_type"), role.alias("role"),
+        doc = sure(F.floor(F.col("l_orderkey") / F.lit(30.0)).cast("bigint"), 0)
+        role = sure(_choice(line % 4, ROLES), "")
+        keyed = self.parquet("lineitem").dropna(subset=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"])
+        return keyed.select(
+            doc.alias("doc_no"), F.concat(F.lit("D"), doc.cast("string")).alias("doc_id"), sure(F.concat(F.lit("sys"), (supp % 4).cast("string")), "").alias("system_id"),
+            sure(_choice(part % 5, EVENT_TYPES), "").alias("event_type"), role.alias("role"),
             F.when(F.col("l_returnflag") == "A", "Actual").when(F.col("l_returnflag") == "N", "Other").otherwise("Generic").alias("realis"), ent.alias("ent"),
-            F.when(role == "Time", masked).otherwise(F.concat(F.lit("e"), ent.cast("string"))).alias("cas"),
-            (ent * 25).alias("cas_start"), (ent * 25 + 5).alias("cas_end"), (ent * 25).alias("bf_start"), (ent * 25 + 5 + supp % 2).cast("int").alias("bf_end"),
+            sure(F.when(role == "Time", masked).otherwise(F.concat(F.lit("e"), ent.cast("string"))), "").alias("cas"),
+            (ent * 25).alias("cas_start"), (ent * 25 + 5).alias("cas_end"), (ent * 25).alias("bf_start"), sure((ent * 25 + 5 + supp % 2).cast("int"), 0).alias("bf_end"),
             F.when(line == 5, F.array(span(at, at + 60), span(F.lit(500), F.lit(560)))).otherwise(F.array(span(at, at + 60))).alias("pj"),
             F.when(line == 7, F.array(span(F.lit(600), F.lit(620)))).otherwise(F.array().cast(SPANS)).alias("aaj"),
-            (F.col("l_quantity") / 50.0).alias("confidence"), F.concat(F.lit("f"), (supp % 3).cast("string")).alias("frame_id"),
-            F.concat(F.lit("g"), (supp % 2).cast("string")).alias("gold_frame"), F.concat(F.lit("h"), (supp % 3).cast("string")).alias("hopper_id"),
+            (F.col("l_quantity") / 50.0).alias("confidence"), sure(F.concat(F.lit("f"), (supp % 3).cast("string")), "").alias("frame_id"),
+            sure(F.concat(F.lit("g"), (supp % 2).cast("string")), "").alias("gold_frame"), sure(F.concat(F.lit("h"), (supp % 3).cast("string")), "").alias("hopper_id"),
             ((part + 3 * line) % 10).alias("code"), ((part + 7 * line) % 10).alias("code2"), ((part + line) % 37 == 0).alias("left_out"), line.alias("line"), (part % 4).alias("part4"),
             (F.col("l_linestatus") == "F").alias("final"), at.alias("at"),
         )
@@ -60,19 +74,19 @@ class Tables:
     @functools.cached_property
     def ided(self) -> DataFrame:
         """rows with response_id; one evaluation of the hash for each row."""
-        return self.rows.withColumn("response_id", ident.response_id())
+        return self.rows.withColumn("response_id", _response_id())
 
     @functools.cached_property
     def responses(self) -> DataFrame:
         """One row per system and response, with its greatest confidence and its identifiers."""
         grouped = self.rows.groupBy("system_id", *RESPONSE).agg(F.max("confidence").alias("confidence"))
-        return grouped.withColumn("response_id", ident.response_id())
+        return grouped.withColumn("response_id", _response_id())
 
     @functools.cached_property
     def assessments(self) -> DataFrame:
         """One row per response of any system; fields are null where is_assessed is false."""
         d = self.rows.groupBy(*RESPONSE).agg(F.min("code").alias("q"), F.min("code2").alias("q2"), F.max("left_out").alias("left_out"), F.max((F.col("line") == 6).cast("int")).alias("sixth"))
-        return _assessed(d.withColumn("response_id", ident.response_id()), "q", ~F.col("left_out"))
+        return _assessed(d.withColumn("response_id", _response_id()), "q", ~F.col("left_out"))
 
     @functools.cached_property
     def second_assessments(self) -> DataFrame:
@@ -88,9 +102,8 @@ class Tables:
     @functools.cached_property
     def canonical(self) -> DataFrame:
         """(doc_id, cas, cas_start, cas_end, canon, canon_cas, canon_start, canon_end): the first CAS of each cluster."""
-        first = F.min(F.struct("cas_start", "cas_end", "cas")).alias("c")
-        rep = self.coref.groupBy("doc_id", "coref_id").agg(first)
-        d = self.coref.join(rep, ["doc_id", "coref_id"])
+        first = F.min(F.struct("cas_start", "cas_end", "cas")).over(Window.partitionBy("doc_id", "coref_id"))
+        d = self.coref.withColumn("c", first)
         name = F.concat(F.col("c.cas"), F.lit("@"), F.col("c.cas_start").cast("string"), F.lit("-"), F.col("c.cas_end").cast("string"))
         return d.select("doc_id", "cas", "cas_start", "cas_end", "coref_id", name.alias("canon"), F.col("c.cas").alias("canon_cas"), F.col("c.cas_start").alias("canon_start"), F.col("c.cas_end").alias("canon_end"))
 
@@ -102,8 +115,7 @@ class Tables:
     @functools.cached_property
     def correct(self) -> DataFrame:
         """Assessments that are correct up to inexactness."""
-        ok = lambda c: F.coalesce(F.col(c).isin("C", "I"), F.lit(False))
-        return self.assessments.filter(F.col("is_assessed") & F.coalesce(F.col("a_realis") == F.col("realis"), F.lit(False)) & ok("aet") & ok("aer") & ok("cas_ok") & ok("bf_ok"))
+        return self.assessments.filter(is_correct())
 
     @functools.cached_property
     def incomplete(self) -> DataFrame:
