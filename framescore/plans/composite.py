@@ -20,7 +20,7 @@ from framescore.operators import validate as V
 from framescore.sources import scans
 
 from .files import _CQ, _KB, _QR, _kb_lines, _query_counts, _query_responses, _ranked
-from .links import KEEP, LIFT, classes, lifted
+from .links import KEEP, LIFT, classes, judged_classes, lifted
 from .registry import query
 from .rewrites import _OK, _STEPS, QUOTED, quoted
 from .scoring import ALIGN, DRAWS, PRF, SAMPLES, doc_counts
@@ -76,8 +76,8 @@ def sco4(t):
     gained = F.sum(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0)))
     arg = counts.groupBy("system_id").agg((gained / F.sum(F.col("tp") + F.col("fn"))).alias("arg"))
     gold, _ = lifted(t)
-    right = t.linking.join(kept.select("system_id", "response_id"), ["system_id", "response_id"], "left_semi").join(t.correct.select("response_id"), "response_id", "left_semi")
-    predicted = L.lift(right, classes(t).select("response_id", "item"), ["system_id", "doc_id", "frame_id"]).join(gold.select("doc_id", "item").distinct(), ["doc_id", "item"], "left_semi").persist()
+    own_links = t.linking.join(kept.select("system_id", "response_id"), ["system_id", "response_id"], "left_semi")
+    predicted = L.lift(own_links, judged_classes(t).filter("right").select("response_id", "item"), ["system_id", "doc_id", "frame_id"]).join(gold.select("doc_id", "item").distinct(), ["doc_id", "item"], "left_semi").persist()
     link = L.link_f1(gold, predicted).groupBy("system_id").agg((F.sum(F.col("link_f1") * F.col("n_gold")) / F.sum("n_gold")).alias("link"))
     return arg.join(link, "system_id").select("system_id", "arg", "link", (0.5 * F.col("arg") + 0.5 * F.col("link")).alias("overall"))
 

@@ -9,7 +9,7 @@ from framescore.operators import linking as L
 
 from .registry import once, query
 from .scoring import ALIGN, doc_counts
-from .tables import CLASS
+from .tables import CLASS, is_correct
 
 ITEM = "event_type || '|' || role || '|' || realis || '|' || canon"
 #: Further expressions: classes of responses, and frames of classes on both sides (correct responses, no generic ones).
@@ -33,16 +33,22 @@ linkf AS (SELECT s.system_id, g.doc_id, n_gold, coalesce(v.n, 0) AS n_predicted,
 
 def classes(t):
     """(doc_id, response_id, item, realis) of every response of the key."""
-    d = A.canonicalised(t.assessments, t.canonical)
-    return d.select("doc_id", "response_id", F.concat_ws("|", "event_type", "role", "realis", "canon").alias("item"), "realis")
+    return judged_classes(t).select("doc_id", "response_id", "item", "realis")
+
+
+def judged_classes(t):
+    """Every response of the key with its class, whether it is correct (`right`) and whether gold links it (`linked`)."""
+    d = A.canonicalised(A.flagged(t.assessments, is_correct()), t.canonical)
+    item = F.concat_ws("|", "event_type", "role", "realis", "canon")
+    return d.select("doc_id", "response_id", item.alias("item"), "realis", "right", (F.col("right") & (F.col("sixth") == 0)).alias("linked"))
 
 
 @once
 def lifted(t):
-    to_class = classes(t).select("response_id", "item")
-    gold = L.lift(t.gold_linking, to_class, ["doc_id", "frame_id"]).persist()
-    right = t.linking.join(t.correct.select("response_id"), "response_id", "left_semi")
-    predicted = L.lift(right, to_class, ["system_id", "doc_id", "frame_id"])
+    """Frames of classes, gold and predicted. The classes carry the judgements, so that the key is joined once a side."""
+    judged = judged_classes(t)
+    gold = L.lift(t.gold_frames, judged.filter("linked").select("response_id", "item"), ["doc_id", "frame_id"]).persist()
+    predicted = L.lift(t.linking, judged.filter("right").select("response_id", "item"), ["system_id", "doc_id", "frame_id"])
     return gold, predicted.join(gold.select("doc_id", "item").distinct(), ["doc_id", "item"], "left_semi").persist()
 
 

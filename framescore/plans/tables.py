@@ -123,8 +123,12 @@ class Tables:
 
     @functools.cached_property
     def gold_linking(self) -> DataFrame:
-        frames = self.ided.filter("realis <> 'Generic'").select("doc_id", F.col("gold_frame").alias("frame_id"), "response_id").distinct()
-        return frames.join(self.correct.filter("sixth = 0").select("response_id"), "response_id", "left_semi").select("doc_id", "frame_id", "response_id")
+        return self.gold_frames.join(self.correct.filter("sixth = 0").select("response_id"), "response_id", "left_semi").select("doc_id", "frame_id", "response_id")
+
+    @functools.cached_property
+    def gold_frames(self) -> DataFrame:
+        """The gold frames, with responses that are not correct."""
+        return self.ided.filter("realis <> 'Generic'").select("doc_id", F.col("gold_frame").alias("frame_id"), "response_id").distinct()
 
     @functools.cached_property
     def corpus_linking(self) -> DataFrame:
