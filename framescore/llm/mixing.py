@@ -22,7 +22,8 @@ CAP = 3
 SEED = 7
 #: Hash buckets of a (source, size) group.
 BUCKETS = 1024
-#: The dynamic programme works on budgets below this many words; larger ones are brought under it by whole documents.
+#: The dynamic programme works on budgets below this many words, or twice the largest document if that is more; larger
+#: ones are brought under it by whole documents.
 DP_BUDGET = 1 << 16
 
 
@@ -45,38 +46,48 @@ def targets(sizes: list[tuple], weights: tuple = WEIGHTS, cap: float = CAP) -> d
     return fixed
 
 
+def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each size to take for the greatest sum within budget: bounded knapsack over reachable sums, counts in
+    binary parts. A sum keeps the step that reached it first, so memory is 5 bytes a word of budget whatever the steps."""
+    take, steps = counts * 0, []
+    reach, first = np.zeros(budget + 1, dtype=bool), np.zeros(budget + 1, dtype=np.int32)
+    reach[0] = True
+    for i in np.argsort(-sizes, kind="stable"):
+        n, part = int(min(counts[i], budget // sizes[i])) if sizes[i] else 0, 1
+        while n > 0 and not reach[budget]:
+            part = min(part, n)
+            w = part * int(sizes[i])
+            new = reach[:-w] & ~reach[w:]
+            first[w:][new] = len(steps)
+            reach[w:] |= new
+            steps.append((int(i), part))
+            n, part = n - part, part * 2
+        if reach[budget]:
+            break
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        i, part = steps[first[at]]
+        take[i] += part
+        at -= part * int(sizes[i])
+    return take
+
+
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take so that their sizes add up as nearly as possible to budget, from below."""
     sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
     total = int((sizes * counts).sum())
     take = counts * 0 if not total else np.array([c * budget // total for c in counts.tolist()], dtype=np.int64)
     left, spare = budget - int((take * sizes).sum()), counts - take
+    # no document is larger than half the step, so as long as more than the step is left, any spare document fits
+    step = max(DP_BUDGET, 2 * int(sizes[spare > 0].max(initial=0)))
     for i in np.argsort(-sizes, kind="stable"):  # whole documents, largest first, until the budget is small
-        if left <= DP_BUDGET:
+        if left <= step:
             break
-        k = int(min(spare[i], (left - DP_BUDGET // 2) // sizes[i] if left > DP_BUDGET // 2 else 0))
+        k = int(min(spare[i], (left - step // 2) // sizes[i])) if sizes[i] else 0
         take[i] += k
         spare[i] -= k
         left -= k * int(sizes[i])
-    if left > DP_BUDGET:  # even the smallest documents are larger than the budget's step
-        return take
-    # bounded knapsack over reachable sums, each set of sums an integer's bits; counts in binary parts
-    reach, steps, mask = 1, [], (1 << (left + 1)) - 1
-    for i in np.argsort(-sizes, kind="stable"):
-        n, part = int(min(spare[i], left // sizes[i])) if sizes[i] else 0, 1
-        while n > 0 and not reach >> left & 1:
-            part = min(part, n)
-            steps.append((int(i), part, reach))
-            reach |= reach << part * int(sizes[i]) & mask
-            n, part = n - part, part * 2
-        if reach >> left & 1:
-            break
-    at = reach.bit_length() - 1
-    for i, part, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += part
-            at -= part * int(sizes[i])
-    return take
+    return take + knapsack(sizes, spare, left)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:

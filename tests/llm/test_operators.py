@@ -258,6 +258,30 @@ def test_targets_and_fit():
         assert budget - int((take * sizes).sum()) <= max(budget - best, int(sizes.max()))
 
 
+def test_fit_of_very_long_documents():
+    def taken(sizes, budget, counts=None):
+        sizes = np.array(sizes)
+        counts = np.ones_like(sizes) if counts is None else np.array(counts)
+        take = mixing.fit(sizes, counts, budget)
+        assert ((0 <= take) & (take <= counts)).all()
+        return int((take * sizes).sum())
+
+    assert taken([200000, 200001, 200002], 220000) == 200002
+    assert taken(range(70000, 72000, 100), 90000) == 71900
+    assert taken([0, 200001, 200002, 300000], 400003) == 400003
+    assert taken([200000, 200001], 199999) == 0 and taken([70000], 70000) == 70000
+    r = np.random.default_rng(4)
+
+    def best(sizes, budget):
+        reach = {0}
+        for s in sizes.tolist():
+            reach |= {x + s for x in reach if x + s <= budget}
+        return max(reach)
+
+    cases = [(x, int(r.integers(0, 400_000))) for x in (np.unique(r.integers(66_000, 250_000, 8)) for _ in range(20))]
+    assert all(taken(x, budget) == best(x, budget) for x, budget in cases if budget < x.sum())
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
