@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import os
 
 import numpy as np
 
@@ -16,9 +18,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that the JSON beside a ranks file adds to the ranks; none without such a file."""
+    path = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
 class Encoder:
-    """Byte-level BPE. The ranks file holds the same vocabulary as byte_bpe_50k.json and gives the same ids as the
-    tokenizers library does (tested), four times as fast. Strings of special tokens in a text are ordinary text."""
+    """Byte-level BPE. The ranks file and the added tokens of byte_bpe_50k.json are the same vocabulary and give the same
+    ids as the tokenizers library does (tested), four times as fast. An added token in a text is one token."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -26,13 +37,14 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.core = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for piece, rank in ranks.items():
+        self.core = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
+        pieces = ranks | {content.encode(): token for content, token in added_tokens(path).items()}
+        self.lengths = np.zeros(max(pieces.values()) + 1, dtype=np.int64)
+        for piece, rank in pieces.items():
             self.lengths[rank] = len(piece)
 
     def ids(self, text: str) -> np.ndarray:
-        return self.core.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, dtype=np.uint32)
+        return self.core.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, dtype=np.uint32)
 
     def byte_ends(self, ids: np.ndarray) -> np.ndarray:
         """End of each token in the UTF-8 text; a token begins where the one before it ends."""

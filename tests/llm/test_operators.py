@@ -162,6 +162,25 @@ def test_token_counts_match_offsets(docs, rows, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_added_tokens_in_a_text(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = tokens.encoder(tokens.vocabulary_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n  y", "<|endoftext|", "é\n<|endoftext|>é"]
+    for t in texts:
+        assert enc.ids(t).tolist() == reference.encode(t, add_special_tokens=False).ids
+        assert enc.byte_ends(enc.ids(t))[-1] == len(t.encode())
+    d = frame(spark, [(k, t, None, None) for k, t in enumerate(texts)])
+    want = {k: np.array([*reference.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for k, t in enumerate(texts)}
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(d).collect()} == {k: (len(x), zlib.crc32(x.tobytes())) for k, x in want.items()}
+    counts = Counter()
+    for r in token_counts.token_counts(d).collect():
+        counts[r.doc_id] += r.n_tokens
+    assert counts == {k: len(x) - 1 for k, x in want.items()}
+
+
 def test_attribution_rule():
     ends = np.array([2, 5, 9, 10])  # tokens [0,2) [2,5) [5,9) [9,10)
     section, crossing = token_counts.attribute(ends, np.array([0, 4, 4, 7]), np.array([4, 4, 7, 9]))
