@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,23 +55,22 @@ def difference_context(spans: DataFrame, texts: DataFrame, width: int = 100) ->
 
 def representative_documents(docs: DataFrame, per_genre: int = 25) -> DataFrame:
     """(genre, doc_id, place): greedy cover of the event types and annotators of each genre by documents whose size is
-    nearest the genre's median, then filled up by nearness. Order matters, so each genre is one group of documents.
+    nearest the genre's median, then filled up by nearness.
+
+    A document joins the cover exactly if it is the nearest to hold one of its features, so the cover is a minimum for
+    each feature, and no genre is gathered in one task.
 
     docs: (genre, doc_id, size, features array<string>).
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(off=(frame["size"] - frame["size"].median()).abs()).sort_values(["off", "doc_id"])
-        covered: set = set()
-        chosen = []
-        for r in frame.itertuples():
-            if len(chosen) < per_genre and not set(r.features) <= covered:
-                covered |= set(r.features)
-                chosen.append(r.doc_id)
-        chosen += [x for x in frame.doc_id if x not in set(chosen)][: per_genre - len(chosen)]
-        return pd.DataFrame({"genre": frame.genre.iloc[0], "doc_id": chosen, "place": range(len(chosen))})
-
-    return docs.groupBy("genre").applyInPandas(run, "genre string, doc_id string, place long")
+    middle = docs.groupBy(F.col("genre").alias("_g")).agg(F.median("size").alias("_m"))
+    d = docs.join(F.broadcast(middle), F.col("genre").eqNullSafe(F.col("_g"))).withColumn("off", F.abs(F.col("size") - F.col("_m")))
+    cover = d.select("genre", "off", "doc_id", F.explode("features").alias("feature")).groupBy("genre", "feature").agg(F.min(F.struct("off", "doc_id")).alias("x"))
+    near = F.row_number().over(Window.partitionBy("genre").orderBy("off", "doc_id"))
+    rest = d.select("genre", "off", "doc_id", near.alias("n")).filter(F.col("n") <= per_genre)
+    both = cover.select("genre", "x.off", "x.doc_id", F.lit(0).alias("turn")).unionByName(rest.drop("n").withColumn("turn", F.lit(1)))
+    both = both.groupBy("genre", "off", "doc_id").agg(F.min("turn").alias("turn"))
+    n = F.row_number().over(Window.partitionBy("genre").orderBy("turn", "off", "doc_id"))
+    return both.withColumn("n", n).filter(F.col("n") <= per_genre).select("genre", "doc_id", (F.col("n") - 1).cast("long").alias("place"))
 
 
 def corpus_score(found: DataFrame, correct: int, drop_unassessed: bool = True, skip_unanswered: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -166,3 +166,31 @@ def test_import_without_the_corpus_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and int(done.stdout.split()[0]) > 50, done.stderr
+
+
+def test_representative_documents_by_aggregates(spark):
+    import random
+    import statistics
+
+    from framescore.operators import pipelines
+
+    r = random.Random(5)
+    rows = [(r.choice("ab"), f"D{k}", r.randint(1, 30), r.sample(["t1", "t2", "t3", "t4", *[f"x{j}" for j in range(12)]], r.randint(0, 3))) for k in range(80)]
+    rows += [("c", f"E{k}", k, [f"f{k}"]) for k in range(30)] + [("d", "F0", 3, [])]
+    d = spark.createDataFrame(rows, "genre string, doc_id string, size long, features array<string>")
+    want = []
+    for genre in "abcd":
+        own = [x for x in rows if x[0] == genre]
+        middle = statistics.median(x[2] for x in own)
+        own.sort(key=lambda x: (abs(x[2] - middle), x[1]))
+        covered, chosen = set(), []
+        for _, i, _, features in own:
+            if len(chosen) < 25 and not set(features) <= covered:
+                covered |= set(features)
+                chosen.append(i)
+        chosen += [x[1] for x in own if x[1] not in chosen][: 25 - len(chosen)]
+        want += [(genre, i, k) for k, i in enumerate(chosen)]
+    found = pipelines.representative_documents(d)
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "WindowGroupLimit" in plan
