@@ -290,12 +290,23 @@ def ag27(t):
     return SC.with_f(c).drop("f1")
 
 
+def class_places(t):
+    """(doc_id, event_type, role, cas, realis, place): the classes of every document in order."""
+    from pyspark.sql import Window
+
+    order = ["event_type", "role", "cas", "realis"]
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).cast("long")
+    return t.responses.select("doc_id", *order).distinct().withColumn("place", place)
+
+
 @query("sl2_class_order", "SELECT DISTINCT event_type, role, cas, realis, dense_rank() OVER (ORDER BY event_type, role, cas, realis) AS place FROM responses WHERE doc_id = 'D1'")
 def sl2(t):
-    from pyspark.sql import Window
+    return class_places(t).filter("doc_id = 'D1'").drop("doc_id")
+
 
-    rank = F.dense_rank().over(Window.orderBy("event_type", "role", "cas", "realis")).cast("long")
-    return t.responses.filter("doc_id = 'D1'").select("event_type", "role", "cas", "realis", rank.alias("place")).distinct()
+@query("sl2_class_order_by_document", "SELECT DISTINCT doc_id, event_type, role, cas, realis, dense_rank() OVER (PARTITION BY doc_id ORDER BY event_type, role, cas, realis) AS place FROM responses")
+def sl2_by_document(t):
+    return class_places(t)
 
 
 @query("wn3_earliest_justification", "SELECT event_type, role, cas, doc_id, min(pj[1].start) AS first_start FROM responses GROUP BY ALL")

@@ -194,3 +194,18 @@ def test_representative_documents_by_aggregates(spark):
     assert sorted(tuple(x) for x in found.collect()) == sorted(want)
     plan = found._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan and "WindowGroupLimit" in plan
+
+
+def test_class_order_of_all_documents(spark):
+    from types import SimpleNamespace
+
+    from framescore.plans import storage
+    from framescore.plans.registry import ORACLES, QUERIES
+
+    rows = [("s1", f"D{k % 3}", t, role, f"e{k % 4}", "Actual") for k in range(24) for t, role in [("Life.Die", "Victim"), ("Contact.Meet", "Place")]]
+    t = SimpleNamespace(responses=spark.createDataFrame(rows, "system_id string, doc_id string, event_type string, role string, cas string, realis string"))
+    got = sorted(tuple(r) for r in storage.sl2_by_document(t).collect())
+    classes = sorted({r[1:] for r in rows})
+    assert got == [(*c, 1 + sum(x[0] == c[0] and x < c for x in classes)) for c in classes] and {r[0] for r in got} == {"D0", "D1", "D2"}
+    assert sorted(tuple(r) for r in storage.sl2(t).collect()) == [r[1:] for r in got if r[0] == "D1"]
+    assert "sl2_class_order_by_document" in QUERIES and "WHERE doc_id" not in ORACLES["sl2_class_order_by_document"].split("\n")[-1]
