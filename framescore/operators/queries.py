@@ -34,12 +34,15 @@ def cas_rule(min_fraction: float = 0.3) -> Column:
     return F.when((c[0] == m[0]) & (c[1] == m[1]), 1).when(name & inside(c, m), 2).when(name & inside(m, c), 3).when(~name & (inside(c, m) | inside(m, c)) & enough & inside(h, c), 4)
 
 
-def pj_matches(triggers: str = "triggers", slack: int = 300) -> Column:
-    """Whether a justification, widened by slack, holds a trigger of the hopper."""
+def pj_matches(triggers: str = "triggers", slack: int = 300, within_trigger: bool = False) -> Column:
+    """Whether a justification, widened by slack, holds a trigger of the hopper; with within_trigger, whether a trigger
+    holds a justification, without slack."""
+    if within_trigger:
+        return F.exists("pj", lambda p: F.exists(triggers, lambda t: (t["start"] <= p["start"]) & (p["end"] <= t["end"])))
     return F.exists("pj", lambda p: F.exists(triggers, lambda t: (F.greatest(p["start"] - slack, F.lit(0)) <= t["start"]) & (t["end"] <= p["end"] + slack)))
 
 
-def matching_responses(entry_points: DataFrame, mentions: DataFrame, responses: DataFrame, hoppers: DataFrame, slack: int = 300, first_entry_point_only: bool = False) -> DataFrame:
+def matching_responses(entry_points: DataFrame, mentions: DataFrame, responses: DataFrame, hoppers: DataFrame, slack: int = 300, first_entry_point_only: bool = False, within_trigger: bool = False) -> DataFrame:
     """(query_id, system_id, response_id, doc_id): responses that match an entry point by type and role, by the strictest
     CAS relaxation that hits anything for it, and by justification.
 
@@ -48,7 +51,7 @@ def matching_responses(entry_points: DataFrame, mentions: DataFrame, responses:
     """
     points = query_mentions(entry_points, mentions).join(hoppers, ["doc_id", "hopper_id"])
     pairs = points.join(responses.select("system_id", "doc_id", "event_type", "role", "response_id", "cas_start", "cas_end", "pj"), ["doc_id", "event_type", "role"])
-    pairs = pairs.withColumn("rule", cas_rule()).filter("rule IS NOT NULL").filter(pj_matches(slack=slack))
+    pairs = pairs.withColumn("rule", cas_rule()).filter("rule IS NOT NULL").filter(pj_matches(slack=slack, within_trigger=within_trigger))
     by = ["query_id", "ep_ordinal"] if not first_entry_point_only else ["query_id"]
     order = [F.col("ep_ordinal"), F.col("rule")] if first_entry_point_only else [F.col("rule")]
     first = F.rank().over(Window.partitionBy("system_id", *by).orderBy(*order))
@@ -76,3 +79,28 @@ def collapsed(frames: DataFrame, linking: DataFrame, responses: DataFrame) -> Da
     d = frames.join(linking, ["system_id", "doc_id", "frame_id"]).join(responses.select("system_id", "response_id", "pj"), ["system_id", "response_id"])
     d = d.select("system_id", "query_id", "doc_id", F.explode("pj").alias("p"))
     return d.groupBy("system_id", "query_id", "doc_id").agg(F.array_sort(F.collect_set("p")).alias("pj"))
+
+
+#: Roles and event types of derived entry points.
+ENTRY_ROLES = ("Agent", "Artifact", "Attacker", "Audience", "Beneficiary", "Crime", "Destination", "Entity", "Giver", "Instrument", "Money", "Origin", "Person", "Place", "Recipient", "Target", "Thing", "Time", "Victim")
+BANNED_EVENTS = ("Transaction.Transaction", "Contact.Contact", "Contact.Broadcast")
+
+
+def derived_entry_points(found: DataFrame, common: int = 140, single: int = 45, seed: int = 0) -> DataFrame:
+    """(query_id, doc_id, hopper_id, role, entity_id): queries from seeded draws of the hoppers that every system found,
+    and, for each system, of those that it but not every system found; with all entry points that any system found.
+
+    found: (system_id, doc_id, hopper_id, event_type, role, entity_id) of responses aligned to entities. A hopper counts
+    once for each of its event types; systems without any entry point do not count.
+    """
+    key = ["doc_id", "hopper_id", "event_type"]
+    found = found.filter(F.col("role").isin(*ENTRY_ROLES) & ~F.col("event_type").isin(*BANNED_EVENTS))
+    by_system = found.select("system_id", *key).distinct().withColumn("_k", F.md5(F.concat_ws("|", F.lit(str(seed)), *key)))
+    n = by_system.agg(F.count_distinct("system_id").alias("_all"))
+    all_ = by_system.groupBy(*key, "_k").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(n), F.col("_n") == F.col("_all"))
+    drawn = all_.orderBy("_k", *key).limit(common)
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_k", *key))
+    drawn = drawn.select(F.format_string("COMMON_%04d", place() - 1).alias("query_id"), *key)
+    some = by_system.join(all_, key, "left_anti").withColumn("_p", place("system_id")).filter(F.col("_p") <= single)
+    some = some.select(F.concat(F.lit("SINGLE_SYS_"), "system_id", F.format_string("_%04d", F.col("_p") - 1)).alias("query_id"), *key)
+    return drawn.unionByName(some).join(found.select(*key, "role", "entity_id").distinct(), key).select("query_id", "doc_id", "hopper_id", "role", "entity_id").distinct()

@@ -255,6 +255,26 @@ def sco8(t):
     return found.groupBy("doc_id", "hopper_id").agg(F.count_distinct("system_id").alias("n")).join(F.broadcast(n), F.col("n") == F.col("all")).select("doc_id", "hopper_id")
 
 
+def _in(names) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in names) + ")"
+
+
+@query(
+    "sco8_derived_queries",
+    f"""{GOLD}, f AS (SELECT DISTINCT m.system_id, doc_id, hopper_id, event_type, role, entity_id FROM matched m JOIN gargs g USING (doc_id, entity_id, event_type, role) WHERE role IN {_in(Q.ENTRY_ROLES)} AND event_type NOT IN {_in(Q.BANNED_EVENTS)}),
+    h AS (SELECT DISTINCT system_id, doc_id, hopper_id, event_type, md5('0|' || doc_id || '|' || hopper_id || '|' || event_type) AS k FROM f),
+    c AS (SELECT doc_id, hopper_id, event_type, k FROM h GROUP BY ALL HAVING count(DISTINCT system_id) = (SELECT count(DISTINCT system_id) FROM h)),
+    q AS (SELECT 'COMMON_' || lpad(CAST(n AS VARCHAR), 4, '0') AS query_id, doc_id, hopper_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY k, doc_id, hopper_id, event_type) - 1 AS n FROM c) WHERE n < 140
+      UNION ALL SELECT 'SINGLE_SYS_' || system_id || '_' || lpad(CAST(n AS VARCHAR), 4, '0'), doc_id, hopper_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY k, doc_id, hopper_id, event_type) - 1 AS n FROM h WHERE (doc_id, hopper_id, event_type) NOT IN (SELECT doc_id, hopper_id, event_type FROM c)) WHERE n < 45)
+    SELECT DISTINCT query_id, doc_id, hopper_id, role, entity_id FROM q JOIN f USING (doc_id, hopper_id, event_type)""",
+)
+def sco8_queries(t):
+    g = gold(t)
+    m = g.matched.join(g.own.select("system_id", "response_id", "doc_id", "event_type", "role"), ["system_id", "response_id"])
+    hoppers = g.arguments.select("doc_id", "hopper_id", "entity_id", "event_type", "role").distinct()
+    return Q.derived_entry_points(m.join(hoppers, ["doc_id", "entity_id", "event_type", "role"]).select("system_id", "doc_id", "hopper_id", "event_type", "role", "entity_id"))
+
+
 @query("sk10_node_names", f"{GOLD} SELECT DISTINCT entity_id, CASE WHEN mtype = 'NAM' THEN ':' || entity_id ELSE ':Entity_' || md5('7|' || mention_ordinal) END AS node FROM mentions")
 def sk10(t):
     name = F.when(F.col("mtype") == "NAM", F.concat(F.lit(":"), "entity_id"))

@@ -210,3 +210,9 @@ def kb_mention_kind(predicate: Column, subject: Column, realis: Column) -> Colum
         .when((predicate == "nominal_mention") & entity & no, "nominal mention").when((predicate == "pronominal_mention") & entity & no, "pronominal mention")
         .when((predicate == "normalized_mention") & string & no, "normalized mention")
     )
+
+
+def score_table(spark: SparkSession, path: str, layout: str = "parquet", percentiles: bool = False) -> DataFrame:
+    """(system_id, metric, value) of a stored score table, or (system_id, p, value) of bootstrap percentiles. layout:
+    parquet or json."""
+    return spark.read.schema(f"system_id string, {'p double' if percentiles else 'metric string'}, value double").format(layout).load(path)

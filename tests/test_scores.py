@@ -209,3 +209,42 @@ def test_class_order_of_all_documents(spark):
     assert got == [(*c, 1 + sum(x[0] == c[0] and x < c for x in classes)) for c in classes] and {r[0] for r in got} == {"D0", "D1", "D2"}
     assert sorted(tuple(r) for r in storage.sl2(t).collect()) == [r[1:] for r in got if r[0] == "D1"]
     assert "sl2_class_order_by_document" in QUERIES and "WHERE doc_id" not in ORACLES["sl2_class_order_by_document"].split("\n")[-1]
+
+
+def test_derived_entry_points(spark):
+    from framescore.operators import queries
+
+    both, one, other, banned = ("D1", "h1", "Life.Die"), ("D1", "h2", "Life.Die"), ("D2", "h1", "Contact.Meet"), ("D3", "h1", "Contact.Contact")
+    rows = [("s1", *both, "Victim", "E1"), ("s2", *both, "Victim", "E1"), ("s2", *both, "Agent", "E2"), ("s1", *one, "Victim", "E3"), ("s1", *one, "Position", "E4"), ("s2", *other, "Place", "E5")]
+    rows += [(s, *banned, "Place", "E6") for s in ("s1", "s2")] + [("s1", "D4", f"h{k}", "Life.Die", "Agent", "E7") for k in range(4)]
+    d = spark.createDataFrame(rows, "system_id string, doc_id string, hopper_id string, event_type string, role string, entity_id string")
+    got = {tuple(r) for r in queries.derived_entry_points(d).collect()}
+    by = {}
+    for q, *rest in got:
+        by.setdefault(q, set()).add(tuple(rest))
+    assert by["COMMON_0000"] == {("D1", "h1", "Victim", "E1"), ("D1", "h1", "Agent", "E2")}
+    assert by["SINGLE_SYS_s2_0000"] == {("D2", "h1", "Place", "E5")}
+    singles = [x for q, x in by.items() if q.startswith("SINGLE_SYS_s1_")]
+    assert sorted(by) == ["COMMON_0000", *[f"SINGLE_SYS_s1_{k:04d}" for k in range(5)], "SINGLE_SYS_s2_0000"]
+    assert {("D1", "h2", "Victim", "E3")} in singles and set().union(*singles) == {("D1", "h2", "Victim", "E3"), *[("D4", f"h{k}", "Agent", "E7") for k in range(4)]}
+    few = {r.query_id for r in queries.derived_entry_points(d, common=0, single=2).collect()}
+    assert few == {"SINGLE_SYS_s1_0000", "SINGLE_SYS_s1_0001", "SINGLE_SYS_s2_0000"}
+
+
+def test_justification_within_a_trigger(spark):
+    from framescore.operators import queries
+
+    d = spark.sql("SELECT array(named_struct('start', s, 'end', e)) AS pj, array(named_struct('start', 10, 'end', 20)) AS triggers FROM VALUES (10, 20), (12, 15), (9, 15), (5, 30) AS v(s, e)")
+    assert [r[0] for r in d.select(queries.pj_matches(within_trigger=True)).collect()] == [True, True, False, False]
+    assert [r[0] for r in d.select(queries.pj_matches(slack=0)).collect()] == [True, False, False, True]
+
+
+@pytest.mark.parametrize("layout", ["parquet", "json"])
+def test_score_table(spark, tmp_path, layout):
+    from framescore.sources import scans
+
+    rows, points = [("s1", "tp", 3.0), ("s1", "fn", 0.25), ("s2", "tp", None)], [("s1", 0.05, 0.2), ("s1", 0.95, 0.4)]
+    spark.createDataFrame(rows, "system_id string, metric string, value double").write.format(layout).save(f"{tmp_path}/scores")
+    spark.createDataFrame(points, "system_id string, p double, value double").write.format(layout).save(f"{tmp_path}/percentiles")
+    assert sorted(map(tuple, scans.score_table(spark, f"{tmp_path}/scores", layout).collect()), key=str) == sorted(rows, key=str)
+    assert sorted(map(tuple, scans.score_table(spark, f"{tmp_path}/percentiles", layout, percentiles=True).collect())) == points
