@@ -27,15 +27,15 @@ BROADCAST_PARTITIONS = 1_000_000
 
 
 def encode_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(doc_id as string, part, before, n, ids): ids as little-endian unsigned 16-bit numbers with END_ID last; before counts the
-    ids of earlier documents of the same partition."""
+    """(doc_id as string, part, before, n, ids): ids as little-endian unsigned numbers with END_ID last, of 16 bits if every
+    id of the vocabulary fits, else of 32; before counts the ids of earlier documents of the same partition."""
     path = vocabulary or vocabulary_path()
     d = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_of(text_col).alias("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for frame in frames:
-            ids = [np.append(enc.ids(t), END_ID).astype("<u2") for t in frame["t"]]
+            ids = [np.append(enc.ids(t), END_ID).astype(enc.dtype) for t in frame["t"]]
             n = np.array([len(x) for x in ids], dtype=np.int64)
             ends = before + np.cumsum(n)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "part": part, "before": ends - n, "n": n, "ids": [x.tobytes() for x in ids]})
@@ -55,13 +55,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     base = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.select("part", base.alias("base"))  # one row a partition
     few = encoded.select("part").distinct().count() <= BROADCAST_PARTITIONS
-    placed = encoded.join(F.broadcast(offsets) if few else offsets, "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "ids")
+    placed = encoded.join(F.broadcast(offsets) if few else offsets, "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, at, raw in frame.itertuples(index=False, name=None):
-                ids = np.frombuffer(raw, dtype="<u2").astype("<u4")
+            for doc, at, n, raw in frame.itertuples(index=False, name=None):
+                ids = np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype("<u4")
                 start = 0
                 while start < len(ids):
                     sequence, offset = divmod(at + start, window)
