@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spread_join
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,17 +13,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each of which only shortens links towards the smallest neighbour, until
     every node hangs on its root. Rows never grow beyond two per link; each round is written, so a lost executor
-    costs one round at most.
+    costs one round at most. The links of a hub, as the root of a large component becomes, stay where they are and get
+    its least neighbour by broadcast.
     """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     rows = now.count()
     while True:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = materialise(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), 2 * rows)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        both = materialise(now.union(now.select("b", "a")), 2 * rows)
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), rows)
+        met = spread_join(both, least, ["a"], "n", 2 * rows).filter("b > a")
+        large = materialise(met.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), 2 * rows)
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), rows)
+        met = spread_join(large, least, ["a"], "n", 2 * rows).filter("b <> m")
+        small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         after = materialise(small.filter("a <> b").distinct(), 2 * rows)
         if _same(now, after):
             break

@@ -17,10 +17,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, spread_join, stay_among, text_of
 from .components import connected_components
 
 WORDS = 4
@@ -49,15 +49,19 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp): fp as a signed long. Null text has no words."""
+    """(id, sha, fp): fp as a signed long, sha the SHA-256 of the text. Null text has no words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fp = np.array([fingerprint(t, words) for t in frame["t"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": frame["id"], "fp": fp})
+            yield pd.DataFrame({"id": frame["id"], "sha": frame["sha"], "fp": fp})
 
-    d = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("t"))
-    return d.mapInPandas(run, "id string, fp long").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+    d = docs.select(F.col(id_col).cast("string").alias("id"), _sha(text_col).alias("sha"), text_of(text_col).alias("t"))
+    return d.mapInPandas(run, "id string, sha string, fp long").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+
+
+def _sha(text_col: str):
+    return F.sha2(text_of(text_col), 256)
 
 
 def _bands(bands: int) -> list[int]:
@@ -158,18 +162,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked like any other; fewer words than a shingle count as one. Rows repeating an id each count; a null id is never
     the smallest unless a component has no other. An empty table gives no rows; further columns are ignored.
     """
-    own = materialise(fingerprints(docs, id_col, text_col, words))
+    own = materialise(fingerprints(docs, id_col, text_col, words).drop("sha"))
     rows = own.count()
-    found = materialise(links(own.select("fp").distinct(), distance, bands), 16 * rows)
-    roots = materialise(connected_components(found).filter("node <> root"), rows)
-    rooted = own.join(roots, own["fp"] == roots["node"], "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, rows)
-    groups = materialise(rooted.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), rows)
-    joined = rooted.join(groups, "root", "left")
-    return joined.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("least", "id").alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns."""
-    stay = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **how).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
+    found = _components(own, F.struct(F.col("id").isNull().alias("void"), "id"), rows, distance, bands)
+    return spread_join(own, found, ["fp"], "n", rows).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.id").alias("component_id"))
+
+
+def _components(own: DataFrame, lead: Column, rows: int, distance: int, bands: int) -> DataFrame:
+    """(fp, least, n) of each distinct fingerprint of own: the least `lead` in its component, and the rows that have it.
+
+    Rows are reduced to one per fingerprint before anything is joined, so copies load no task.
+    """
+    by_fp = materialise(own.groupBy("fp").agg(F.min(lead).alias("least"), F.count(F.lit(1)).alias("n")), rows)
+    found = materialise(links(by_fp.select("fp"), distance, bands), 16 * rows)
+    roots = materialise(connected_components(found).filter("node <> root").select(F.col("node").alias("fp"), "root"), rows)
+    rooted = materialise(by_fp.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), rows)
+    groups = materialise(rooted.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("held")), rows)
+    return materialise(spread_join(rooted, groups, ["root"], "held", rows).select("fp", F.col("first").alias("least"), "n"), rows)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE, bands: int = BANDS) -> DataFrame:
+    """The rows of docs that stay, with all their columns, whatever their names: one of each component, that of the
+    smallest id (null last), of several texts under that id the one first by SHA-256. Rows that repeat an id and a text
+    are one document. An empty table stays empty.
+
+    The threshold is the fingerprints' distance, as of the operator: 4-word shingles and 4 differing bits unless set
+    otherwise, which is stricter than a similarity of 0.8 between sets of shingles.
+    """
+    own = materialise(fingerprints(docs, id_col, text_col, words))
+    lead = F.struct(F.col("id").isNull().alias("void"), "id", "sha")
+    found = _components(own, lead, own.count(), distance, bands)
+    first = found.select(F.col("least.id").alias("id"), F.col("least.sha").alias("sha")).distinct()
+    again = own.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    same = first["id"].eqNullSafe(again["id"]) & (first["sha"] == again["sha"])
+    stay = materialise(first.join(again, same, "left").select(first["id"], first["sha"], F.coalesce("copies", F.lit(1).cast("long")).alias("copies")))
+    return stay_among(docs, stay, id_col, _sha(text_col))
