@@ -56,7 +56,12 @@ def op10_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _Q = quality_rules
-_QUOTED = _Q.TERMINAL.replace("'", "''")
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
@@ -64,10 +69,10 @@ w AS (
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines
   FROM d),
 l AS (
-  SELECT *, list_filter(lines, lambda x: regexp_matches(x, '{_QUOTED}')
+  SELECT *, list_filter(lines, lambda x: regexp_matches(x, '{_quoted(_Q.TERMINAL)}')
     AND len(regexp_extract_all(x, '{_Q.SYMBOLS}|!!')) <= {_Q.MAX_SYMBOL_SHARE} * length(x)
     AND len(regexp_extract_all(x, '{_Q.SEPARATORS}')) < 2
-    AND NOT regexp_matches(lower(x), '{"|".join(_Q.BOILERPLATE)}')) AS stay
+    AND NOT regexp_matches(lower(x), '{_quoted(_Q.ALONE_LINE)}') AND NOT regexp_matches(lower(x), '{_quoted(_Q.WITHIN_LINE)}')) AS stay
   FROM w),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
