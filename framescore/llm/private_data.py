@@ -269,8 +269,22 @@ def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with every character of a span replaced by a full block; for ids without repeats."""
-    found = find_private_data(docs, id_col, text_col).select("doc_id", F.explode("found").alias("x"))
-    pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(found.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("xs")), "doc_id", "left")
-    hidden = F.aggregate("xs", F.col("t"), lambda t, x: F.overlay(t, F.repeat(F.lit("█"), x["e"] - x["s"]), x["s"] + 1, x["e"] - x["s"]))
-    return pieces.select("doc_id", F.when(F.col("xs").isNull(), F.col("t")).otherwise(hidden).alias("text"))
+    """(doc_id, text) of every row of docs, with every character of a span replaced by a full block.
+
+    Each row is redacted where it lies, so ids may be null or repeat. Null text stays null; overlapping spans are
+    hidden once; an empty table gives no rows; further columns are ignored.
+    """
+    model = fitted(docs.sparkSession)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    found = let(text_of("t"), lambda t: F.array_sort(F.concat(base_spans(t), added_spans(t, model))))
+    d = d.withColumn("xs", found)
+    # start, end and text to the left of each span beyond the ends of those before it
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def hide(acc: Column, x: Column) -> Column:
+        start, end = F.greatest(acc["at"], x["s"]), F.greatest(acc["at"], x["e"])
+        plain = F.substring(F.col("t"), acc["at"] + 1, start - acc["at"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(plain, F.repeat(F.lit("█"), end - start))).alias("out"))
+
+    hidden = F.aggregate("xs", empty, hide, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("t"), acc["at"] + 1, F.char_length("t"))))
+    return d.select("doc_id", F.when(F.size("xs") > 0, hidden).otherwise(F.col("t")).alias("text"))
