@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hash_place, text_of
 
 #: How licences commonly announce themselves.
 TEMPLATES = {
@@ -67,10 +67,10 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 DRAWN = 200  # variants of each template
-NEGATIVES = 6_000  # paragraphs of the corpus
-NEGATIVE_DOCS = 2_000
-NEGATIVE_CHARS = 2_000
-STEPS, RATE = 300, 2.0
+NEGATIVES = 6_000  # distinct paragraphs of the corpus, at most
+NEGATIVE_DOCS = 2_000  # documents, about, from whose whole texts these are drawn
+NEGATIVE_LENGTH = 4_000  # characters; longer paragraphs are scanned like any other, but not drawn
+STEPS, RATE, STILL = 300, 2.0, 2e-4
 LEAST_PROBABILITY, LEAST_SHARE = 0.5, 0.6
 _WORD = re.compile(r"[^\W_]+")
 
@@ -83,20 +83,35 @@ def _grams(w: list[str]) -> list[tuple[str, ...]]:
     return [*zip(w), *zip(w, w[1:], strict=False), *zip(w, w[1:], w[2:], strict=False)]
 
 
+class _Sparse:
+    """0-1 rows as lists of their columns."""
+
+    def __init__(self, rows: list[list[int]], columns: int):
+        self.lengths = np.array([len(r) for r in rows])
+        self.columns, self.index = columns, np.array([i for r in rows for i in r], dtype=np.int64)
+        self.row = np.repeat(np.arange(len(rows)), self.lengths)
+
+    def dot(self, dense: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.row, weights=w[self.index], minlength=len(self.lengths)) for w in dense.T], axis=1)
+
+    def transposed_dot(self, dense: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.index, weights=d[self.row], minlength=self.columns) for d in dense.T], axis=1)
+
+
 class Classifier:
     """One weight vector a family over the n-grams of the templates' variants."""
 
     def __init__(self, negatives: list[str], seed: int = 3):
         rng = np.random.default_rng(seed)
         self.families = sorted(TEMPLATES)
-        filler = [x for t in negatives[:500] for x in words(t)] or ["text"]
+        filler = np.array([x for t in negatives[:500] for x in words(t)] or ["text"], dtype=object)
         made = []
         for k, family in enumerate(self.families):
             for template in TEMPLATES[family]:
                 w = words(template)
                 for _ in range(DRAWN):
                     keep = [x for x in w if len(w) <= 3 or rng.random() > 0.08]
-                    around = [str(x) for x in rng.choice(filler, size=int(rng.integers(0, 12)))]
+                    around = filler[rng.integers(0, len(filler), size=int(rng.integers(0, 12)))].tolist()
                     cut = int(rng.integers(0, len(around) + 1))
                     made.append((around[:cut] + keep + around[cut:], k))
         rows = [(words(t), -1) for t in negatives] + made
@@ -104,34 +119,38 @@ class Classifier:
         self.index = {g: i for i, g in enumerate(vocabulary)}
         # a pair or a triple cannot be in the model unless its first word is
         self.first = {g[0] for g in vocabulary}
-        x = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
-        for r, (w, _) in enumerate(rows):
-            x[r, self.active(w)] = 1
         y = np.array([k for _, k in rows])
         held = np.arange(len(rows)) % 5 == 0
-        target = (y[:, None] == np.arange(len(self.families))).astype(np.float32)
-        self.weight = np.zeros((len(vocabulary), len(self.families)), dtype=np.float32)
-        self.bias = np.full(len(self.families), -3.0, dtype=np.float32)
-        a, t = x[~held], target[~held]
+        x = [self.active(w) for w, _ in rows]
+        target = (y[:, None] == np.arange(len(self.families))).astype(float)
+        self.weight = np.zeros((len(vocabulary), len(self.families)))
+        self.bias = np.full(len(self.families), -3.0)
+        a, t = _Sparse([r for r, h in zip(x, held, strict=True) if not h], len(vocabulary)), target[~held]
         for _ in range(STEPS):
-            error = 1 / (1 + np.exp(-(a @ self.weight + self.bias))) - t
-            self.weight -= RATE * (a.T @ error / len(a) + 1e-5 * self.weight)
+            error = 1 / (1 + np.exp(-(a.dot(self.weight) + self.bias))) - t
+            step = a.transposed_dot(error) / len(t) + 1e-5 * self.weight
+            self.weight -= RATE * step
             self.bias -= RATE * error.mean(axis=0)
+            if np.abs(step).max() < STILL:
+                break
         # calibrated on the held-out rows: a slope and an intercept that make the margin a probability
-        self.slope = [_platt(m, q) for m, q in zip((x[held] @ self.weight + self.bias).T, target[held].T, strict=True)]
+        self.slope = [_platt(m, q) for m, q in zip((_Sparse([r for r, h in zip(x, held, strict=True) if h], len(vocabulary)).dot(self.weight) + self.bias).T, target[held].T, strict=True)]
         self.pairs = {f: [set(zip(words(t), words(t)[1:], strict=False)) for t in TEMPLATES[f]] for f in self.families}
 
     def active(self, w: list[str]) -> list[int]:
         get = self.index.get
         return sorted({i for g in _grams(w) if (i := get(g)) is not None})
 
+    def margins(self, w: list[str]) -> np.ndarray:
+        """By family, the intercept and the weights of the distinct n-grams of w that are in the model."""
+        return self.weight[self.active(w)].sum(axis=0) + self.bias
+
     def predict(self, paragraph: str) -> tuple[str, float, float]:
         """(family, probability, share of the nearest template). Families tie by name."""
         w = words(paragraph)
         if self.first.isdisjoint(w):
             return UNKNOWN, 0.0, 0.0
-        on = self.active(w)
-        margin = self.weight[on].sum(axis=0) + self.bias
+        margin = self.margins(w)
         p = [1 / (1 + np.exp(-(a + b * m))) for (a, b), m in zip(self.slope, margin, strict=True)]
         best = int(np.argmax(p))
         if p[best] < LEAST_PROBABILITY:
@@ -150,14 +169,12 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Fitted against paragraphs of about NEGATIVE_DOCS documents that name no licence, NEGATIVE_CHARS of each."""
-    share = NEGATIVE_DOCS / max(1, docs.count())
-    place = F.pmod(F.xxhash64(F.lit(3), F.col(id_col).cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    drawn = docs.filter(place < share).select(F.substring(text_of(text_col), 1, NEGATIVE_CHARS).alias("t")).limit(2 * NEGATIVE_DOCS)
-    cue = re.compile(r"licen[cs]|copyright|rights reserved|spdx|public domain|creative commons|redistribut|permission|\bcc\b", re.I)
-    lines = sorted({x for r in drawn.collect() for x in r.t.split("\n") if x.strip() and not cue.search(x)})
-    step = max(1, len(lines) // NEGATIVES)
-    return Classifier(lines[::step])
+    """Fitted against at most NEGATIVES paragraphs that name no licence, the first by hash among the distinct ones of about
+    NEGATIVE_DOCS documents drawn by hash; which ones does not depend on the order of rows."""
+    cue = r"(?i)licen[cs]|copyright|rights reserved|spdx|public domain|creative commons|redistribut|permission|\bcc\b"
+    drawn = docs.filter(hash_place(3, F.col(id_col).cast("string")) < NEGATIVE_DOCS / max(1, docs.count()))
+    lines = drawn.select(F.explode(F.split(text_of(text_col), "\n")).alias("line")).filter((F.char_length("line") <= NEGATIVE_LENGTH) & F.col("line").rlike(r"\S") & ~F.col("line").rlike(cue)).distinct()
+    return Classifier(sorted(r.line for r in lines.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).collect()))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classifier: Classifier | None = None) -> DataFrame:
