@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hash_place, text_of
 
 SAMPLE = 2_000  # labelled rows of each class
 LATENT = 48
@@ -125,15 +125,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = {r.y: sample / r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not share:
         return None
-    place = F.pmod(F.xxhash64(F.lit(4), F.col("_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    drawn = known.filter(place < F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("y"))).limit(4 * sample)
-    texts = docs.join(F.broadcast(drawn), docs[id_col] == F.col("_id")).select(F.col("_id").cast("string").alias("id"), "y", text_of(text_col).alias("t"))
+    place = hash_place(4, F.col("_id").cast("string"))
+    drawn = known.filter(place < F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("y")))
+    drawn = drawn.distinct().orderBy(place, "_id", "y").limit(4 * sample)  # by hash, so that reruns draw the same
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("t")).join(F.broadcast(drawn), "_id").select(F.col("_id").cast("string").alias("id"), "y", "t")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "terms": [terms(t).astype("<f4").tobytes() for t in frame["t"]]})
 
-    rows = sorted(texts.mapInPandas(run, "id string, y int, terms binary").limit(8 * sample).collect())
+    found = texts.mapInPandas(run, "id string, y int, terms binary")
+    rows = sorted(found.orderBy(F.xxhash64("id", "terms"), "id", "y").limit(8 * sample).collect())
     if not rows:
         return None
     return Voter(np.stack([np.frombuffer(r.terms, dtype="<f4") for r in rows]).astype(float), np.array([r.y for r in rows], dtype=float))
