@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from framescore.llm import exact_dedup, language_id, licenses, mixing, packing, private_data, quality_classifier, quality_rules, simhash, token_counts, tokens
 from framescore.llm.common import WORD
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, t string, fp long, h long, name long, size long, n long, pos int, kept boolean"
-CLASH = ("x", "y", 1, 2, 3, 4, 5, 6, True)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, t string, fp long, h long, name long, size long, n long, pos int, kept boolean, _id long, _times int, _copy int, _sha_of string, _sha string, row string, key string, times int, copies long, sha string"
+CLASH = ("x", "y", 1, 2, 3, 4, 5, 6, True, 7, 8, 9, "z", "z", "r", "k", 1, 2, "s")
 
 
 def frame(spark, rows):
@@ -102,13 +102,19 @@ def test_quality_rules_by_line(spark):
     assert not r[3].kept and not r[3].base_failed
 
 
+def test_furniture_phrases(spark):
+    lines = {"Read more.": False, "I want to read more of it.": True, "» WEITERLESEN!": False, "Please enable JavaScript now.": False, "Wir möchten weiterlesen.": True, "Suivez-nous.": False, "Accept cookies.": False, "We unaccept cookiesx.": True, "Política de privacidad.": False, "Sign in the box here.": True}
+    d = frame(spark, [(k, x, None, None) for k, x in enumerate(lines)])
+    assert {x.doc_id: x.n_lines_removed == 0 for x in quality_rules.quality_rules(d).collect()} == dict(enumerate(lines.values()))
+    whole = frame(spark, [(1, "\n".join(lines), None, None)])
+    assert quality_rules.quality_rules(whole).first().clean_text.split("\n") == [x for x, ok in lines.items() if ok]
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    ids = Counter()
     pieces = packing.pack(docs).collect()
     by_sequence, documents = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -132,7 +138,36 @@ def test_packing(docs, rows, empty):
     assert all((p.doc_id, p.start, p.length, p.ids_crc32) in sums for p in pieces)
     assert sum(p.length for p in pieces) == sum(n * k for (_, n), k in wanted.items())
     assert packing.pack(empty).count() == 0
-    del ids
+
+
+def test_long_runs_are_encoded_as_by_the_reference(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [c * 3_000_000 for c in (" ", "\n", "a")] + ["x" + " \t" * 800_000 + "y <|endoftext|>"]
+    want = [np.array([*reference.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for t in texts]
+    d = frame(spark, [(k, t, None, None) for k, t in enumerate(texts)])
+    found = defaultdict(list)
+    for p in packing.pack(d).collect():
+        found[p.doc_id].append((p.start, p.length, p.ids_crc32, p.doc_tokens))
+    assert {k: sorted(x) for k, x in found.items()} == {k: [(a, n, zlib.crc32(x[a : a + n].tobytes()), len(x)) for a, n, *_ in sorted(found[k])] for k, x in enumerate(want)}
+    counts = Counter()
+    for r in token_counts.token_counts(d).collect():
+        counts[r.doc_id] += r.n_tokens
+    assert counts == {k: len(x) - 1 for k, x in enumerate(want)}
+
+
+def test_ids_of_a_large_vocabulary(spark, tmp_path):
+    import base64
+
+    ranks = [bytes([b]) for b in range(256)] + [b"%06d" % k for k in range(70_000)]
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(x) + b" %d" % k for k, x in enumerate(ranks)))
+    # the last rank stands for a whole text, which is one piece
+    got = packing.pack(frame(spark, [(1, "069999", None, None)]), vocabulary=str(path)).collect()
+    ids = tokens.encoder(str(path)).ids("069999")
+    assert [(r.length, r.ids_crc32) for r in got] == [(len(ids) + 1, zlib.crc32(np.append(ids, 0).astype("<u4").tobytes()))] and max(ids) == 70_255
 
 
 def test_token_counts_match_offsets(docs, rows, empty):
@@ -181,6 +216,31 @@ def test_added_tokens_in_a_text(spark):
     assert counts == {k: len(x) - 1 for k, x in want.items()}
 
 
+def test_token_counts_by_brute_force(spark, docs, rows):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = {i: len(reference.id_to_token(i)) for i in range(50_257)}  # a byte is one character of a token's name
+    want = Counter()
+    for i, t, *_ in rows:
+        text, at, spans = (t or "").encode(), 0, []
+        for line in text.split(b"\n"):
+            spans.append((at, at + len(line)))
+            at += len(line) + 1
+        n, crossing, at = Counter(), Counter(), 0
+        for token in reference.encode(t or "", add_special_tokens=False).ids:
+            end = at + lengths[token]
+            held = [(min(b, end) - max(a, at), -k) for k, (a, b) in enumerate(spans) if min(b, end) > max(a, at)] if len(spans) < 400 else None
+            assert held is not None
+            k = -max(held)[1] if held else -1
+            n[k] += 1
+            crossing[k] += len(held) > 1
+            at = end
+        want.update((i, k, n[k], crossing[k]) for k in range(-1, len(spans)) if k >= 0 or n[k])
+    assert Counter((r.doc_id, r.section, r.n_tokens, r.n_crossing) for r in token_counts.token_counts(docs).collect()) == want
+
+
 def test_attribution_rule():
     ends = np.array([2, 5, 9, 10])  # tokens [0,2) [2,5) [5,9) [9,10)
     section, crossing = token_counts.attribute(ends, np.array([0, 4, 4, 7]), np.array([4, 4, 7, 9]))
@@ -219,6 +279,27 @@ def test_simhash(docs, rows, empty):
     assert simhash.fingerprint("A b  c") == simhash.fingerprint("a\tB c")
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b = prose(11, 60), prose(12, 60)
+    d = frame(spark, [(3, a, None, None), (5, a, None, None), (5, b, None, None), (5, b, None, None), (None, b, None, None), (None, None, None, None), (9, " ", None, None), (9, "", None, None)])
+    kept = simhash.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    found = sorted(((r.doc_id, (r.text or "").strip()) for r in kept.collect()), key=str)
+    assert found == sorted([(3, a), (5, b), (9, "")], key=str)
+    assert simhash.drop_near_duplicates(d.limit(0)).count() == 0
+
+
+def test_hot_keys_are_joined_without_a_shuffle(spark):
+    from framescore.llm.common import spread_join
+
+    left = spark.range(4000).selectExpr("CASE WHEN id < 3000 THEN 0 ELSE id END AS k", "id AS v")
+    groups = left.groupBy("k").count().withColumn("w", F.col("k") * 2)
+    got = spread_join(left, groups, ["k"], "count", 4000)
+    assert Counter(tuple(r) for r in got.select("k", "v", "w").collect()) == Counter((0 if v < 3000 else v, v, 0 if v < 3000 else 2 * v) for v in range(4000))
+    some = spread_join(left, groups.filter("k % 2 = 0"), ["k"], "count", 4000, "left")
+    assert some.count() == 4000 and some.filter("w IS NULL").count() == 500
+
+
 def test_simhash_crowded_cells(spark):
     r = np.random.default_rng(0)
     fps = {0}
@@ -250,31 +331,72 @@ def test_mixing(docs, rows, empty):
     assert all(r.taken % max(r.size, 1) == 0 and 0 <= r.taken <= 3 * r.size for r in got)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
     assert mixing.mix(empty).count() == 0
-    kept = mixing.mixed_documents(docs.filter("doc_id IS NOT NULL AND doc_id <> 2"))
+    kept = mixing.mixed_documents(docs)
     assert kept.columns == docs.columns
-    times, most = Counter(r.doc_id for r in mixing.mixed_documents(docs).collect()), defaultdict(int)
-    for r in got:
-        most[r.doc_id] = max(most[r.doc_id], r.taken // max(r.size, 1))
-    rows_of = Counter(i for i, *_ in rows)
-    assert times == Counter({i: n * rows_of[i] for i, n in most.items() if n})
-
-
-def test_targets_and_fit():
-    t = mixing.targets([("b", 10), (None, 100), ("a", 1000)])
+    assert Counter(r.doc_id for r in kept.collect()) == sum((Counter({r.doc_id: r.taken // r.size}) for r in got if r.taken), Counter())
+    assert mixing.mixed_documents(empty).count() == 0
+
+
+def brute_targets(sizes, weights=(5, 2, 1), cap=3):
+    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
+    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
+    open_, fixed, total = dict(order), {}, sum(n for _, n in order)
+    while open_:
+        unit = (total - sum(fixed.values())) / sum(weight[s] for s in open_)
+        over = [s for s, n in open_.items() if unit * weight[s] > cap * n]
+        if not over:
+            return fixed | {s: unit * weight[s] for s in open_}
+        fixed |= {s: float(cap * open_.pop(s)) for s in over}
+    return fixed
+
+
+def best_sum(sizes, counts, budget):
+    reach = {0}
+    for s, c in zip(sizes, counts, strict=True):
+        reach = {x + k * s for x in reach for k in range(c + 1) if x + k * s <= budget}
+    return max(reach)
+
+
+def test_targets(spark):
+    r = random.Random(5)
+    for n in (0, 1, 3, 40):
+        names = [None, "a", "Z", "ä", "\U0001f600", "\uffff"][:n] + [f"s{k}" for k in range(n - 6)]
+        sizes = [(s, r.choice([0, 1, 7, 50, 1000, 10**6])) for s in names]
+        got = {x.source: x.target for x in mixing.with_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+        assert got == pytest.approx(brute_targets(sizes))
+    t = brute_targets([("b", 10), (None, 100), ("a", 1000)])
     assert t["a"] + t["b"] + t[None] == pytest.approx(1110) and t["b"] == 30
     assert t["a"] / t[None] == pytest.approx(5)
+
+
+def test_taken_is_the_best_sum_of_each_source(spark):
+    r = random.Random(6)
+    rows = [(k, "w " * r.choice([0, 3, 5, 11, 12, 40, 90]), "en", r.choice(["a", "a", "b", "c", None])) for k in range(90)]
+    rows.append((900, "w " * 70_000, "en", "c"))
+    by_source = defaultdict(list)
+    for _, t, _, s in rows:
+        by_source[s].append(len(t) // 2)
+    goal = brute_targets([(s, sum(x)) for s, x in by_source.items()])
+    taken = defaultdict(int)
+    for (_, _, _, s), x in zip(rows, sorted(mixing.mix(frame(spark, rows)).collect(), key=lambda x: x.doc_id), strict=True):
+        assert x.source_size == sum(by_source[s]) and x.target == pytest.approx(goal[s]) and 0 <= x.taken <= 3 * x.size
+        taken[s] += x.taken
+    for s, sizes in by_source.items():
+        whole, rest = divmod(round(goal[s]), sum(sizes))
+        assert taken[s] == whole * sum(sizes) + best_sum(sizes, [1] * len(sizes), rest)
+
+
+def test_fit_is_the_best_sum(monkeypatch):
     r = np.random.default_rng(1)
-    for _ in range(60):
-        sizes = np.unique(r.integers(1, 40, 6))
-        counts = r.integers(1, 5, len(sizes))
-        budget = int(r.integers(0, int((sizes * counts).sum()) + 1))
-        take = mixing.fit(sizes, counts, budget)
-        assert ((0 <= take) & (take <= counts)).all()
-        reach = {0}
-        for s, c in zip(sizes.tolist(), counts.tolist()):
-            reach = {x + k * s for x in reach for k in range(c + 1)}
-        best = max(x for x in reach if x <= budget)
-        assert budget - int((take * sizes).sum()) <= max(budget - best, int(sizes.max()))
+    for core in (4, 64, 1 << 14):
+        monkeypatch.setattr(mixing, "CORE", core)
+        for _ in range(200):
+            sizes = np.unique(r.integers(0, 40, 6))
+            counts = r.integers(1, 5, len(sizes))
+            budget = int(r.integers(0, int((sizes * counts).sum()) + 1))
+            take = mixing.fit(sizes, counts, budget)
+            assert ((0 <= take) & (take <= counts)).all()
+            assert int((take * sizes).sum()) == best_sum(sizes.tolist(), counts.tolist(), budget)
 
 
 def test_fit_of_very_long_documents():
@@ -289,6 +411,9 @@ def test_fit_of_very_long_documents():
     assert taken(range(70000, 72000, 100), 90000) == 71900
     assert taken([0, 200001, 200002, 300000], 400003) == 400003
     assert taken([200000, 200001], 199999) == 0 and taken([70000], 70000) == 70000
+    assert taken([70000, 75000], 80000) == 75000 and taken([66000, 67000], 200000, [3, 3]) == 200000
+    assert taken([70000, 1], 10**9 * 70000 - 60000, [10**9, 5]) == (10**9 - 1) * 70000 + 5  # no sum comes nearer
+    assert taken([70001, 70003, 70007], 10**14 + 17, [10**9] * 3) == 10**14 + 17
     r = np.random.default_rng(4)
 
     def best(sizes, budget):
@@ -335,6 +460,19 @@ def test_private_data(spark, docs, rows, empty):
     assert "q@r.st" not in hidden[1] and "49ab" not in hidden[1] and hidden[2] == "plain" and hidden[3] is None
 
 
+def test_redaction_by_rows(spark):
+    texts = [(None, "write to q@r.st now"), (7, "call +1 (555) 010-9999"), (7, "nothing here at all"), (7, None), (8, ""), (9, "a@b.cd 4111 1111 1111 1111\U0001f600 x@y.zz")]
+    d = frame(spark, [(i, t, None, None) for i, t in texts])
+    got = Counter((r.doc_id, r.text) for r in private_data.redact(d).collect())
+    want = Counter()
+    for i, t in texts:
+        for a, b in sorted({(m.start(), m.end()) for _, p in BASE for m in re.finditer(p, t or "")} if t and i != 8 else set(), reverse=True):
+            t = t[:a] + "█" * (b - a) + t[b:]
+        want[(i, t)] += 1
+    assert got == want
+    assert private_data.redact(d.limit(0)).count() == 0
+
+
 def test_boosted_trees_learn():
     r = np.random.default_rng(2)
     x = r.integers(0, 10, (600, 4)).astype(float)
@@ -373,10 +511,35 @@ def test_partial_matching_is_a_distribution():
         assert (p < 1 + 1e-3).all() and (p > 0.5).all()
 
 
-def test_partial_matching_costs_by_hand():
-    t = language_id.Trees({"a": [b"ab"]})
-    # three contexts deep, "a" follows blanks once: one count of one symbol seen, so half
-    assert t.bits(b"a")[0] == pytest.approx(1.0)
+def brute_bits(samples, text, order=3):
+    """Code length of text under the context tree of samples, symbol by symbol."""
+    seen = defaultdict(Counter)
+    for x in samples:
+        x = b" " * order + x
+        for k in range(order, len(x)):
+            for n in range(order + 1):
+                seen[x[k - n : k]][x[k]] += 1
+    bits, y = 0.0, b" " * order + text
+    for k in range(order, len(y)):
+        for n in range(order, -1, -1):
+            c = seen.get(y[k - n : k])
+            if c and y[k] in c:
+                bits -= np.log2(c[y[k]] / (sum(c.values()) + len(c)))
+                break
+            if c:
+                bits -= np.log2(len(c) / (sum(c.values()) + len(c)))
+        else:
+            bits += 8.0
+    return bits
+
+
+def test_partial_matching_code_lengths():
+    samples = {"a": [b"abracadabra arcade", b"cab"], "b": ["bañana bandana".encode(), b"x" * 40, b""], "c": [b"zz top"]}
+    t = language_id.Trees(samples)
+    assert language_id.Trees({"a": [b"ab"]}).bits(b"a")[0] == pytest.approx(1.0)
+    for text in (b"", b"abra", b"banana arcade", "ñ\U0001f600 zz".encode(), b"top zz" * 50, bytes(range(1, 200))):
+        assert t.bits(text) == pytest.approx([brute_bits(samples[k], text) for k in "abc"], rel=1e-5)
+    assert (language_id.Trees(samples, max_nodes=2).bits(b"abra") > t.bits(b"abra") - 1e-6)[0]
 
 
 def test_quality_classifier(spark, docs, empty):
@@ -394,6 +557,46 @@ def test_quality_classifier(spark, docs, empty):
     assert {r.score for r in none} == {0.5}
 
 
+def test_votes_by_brute_force():
+    counts = np.stack([quality_classifier.terms(prose(k, 40) if k % 3 else "$$ " * k + "x " * k) for k in range(90)])
+    labels = np.array([int(k % 3 > 0) for k in range(90)], dtype=float)
+    v = quality_classifier.Voter(counts, labels)
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-9)
+    for t in (prose(200, 50), "", "$$ $$ x", "und so " * 300):
+        x = unit(unit(np.log1p(quality_classifier.terms(t)) * v.idf).astype(np.float32) @ v.axes)
+        near = sorted(((float(x @ p), y) for p, y in zip(v.points, v.labels, strict=True)), key=lambda z: -z[0])[: quality_classifier.NEIGHBOURS]
+        weight = [max(c, 0) ** quality_classifier.SHARPNESS + 1e-9 for c, _ in near]
+        vote = sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight)
+        assert v.score(quality_classifier.terms(t)[None])[0] == pytest.approx(1 / (1 + np.exp(-(v.curve[0] + v.curve[1] * vote))), abs=1e-3)
+
+
+def test_license_margins_by_brute_force():
+    m = licenses.Classifier([prose(k, 12) for k in range(60)])
+    for t in ("Licensed under the Apache License, Version 2.0.", "the the license the license", "", "Nothing of it. GPL version 3"):
+        w = re.findall(r"[^\W_]+", t.lower())
+        grams = {tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)}
+        want = m.bias + sum((m.weight[i] for g, i in m.index.items() if g in grams), np.zeros(len(m.families)))
+        assert m.margins(licenses.words(t)) == pytest.approx(want)
+        family, p, _ = m.predict(t)
+        if family != licenses.UNKNOWN:
+            chances = [1 / (1 + np.exp(-(a + b * x))) for (a, b), x in zip(m.slope, want, strict=True)]
+            assert m.families[int(np.argmax(chances))] == family and p == pytest.approx(max(chances))
+
+
+def test_sparse_rows():
+    x = licenses._Sparse([[0, 2], [], [1]], 3)
+    dense = np.array([[1, 0, 1], [0, 0, 0], [0, 1, 0]], dtype=float)
+    w, e = np.arange(6.0).reshape(3, 2), np.arange(6.0, 12).reshape(3, 2)
+    assert (x.dot(w) == dense @ w).all() and (x.transposed_dot(e) == dense.T @ e).all()
+
+
+def test_draws_do_not_depend_on_the_order_of_rows(spark, docs):
+    again = docs.orderBy(F.desc("text"))
+    assert licenses.fit(docs).weight.tolist() == licenses.fit(again).weight.tolist()
+    a, b = language_id.fit(docs), language_id.fit(again)
+    assert a.languages == b.languages and a.cost.tolist() == b.cost.tolist()
+
+
 def test_licenses(spark, docs, empty):
     plain = [(k, prose(k, 80), None, None) for k in range(40)]
     marked = [(100, plain[0][1] + "\nLicensed under the Apache License, Version 2.0.", None, None), (101, "Released under the MIT License.", None, None), (102, "a\nThis work is licensed under the GNU General Public License, version 3.\nAll rights reserved.", None, None), (103, "We talked about the license to fish under the bridge.", None, None), (104, None, None, None)]
@@ -407,14 +610,75 @@ def test_licenses(spark, docs, empty):
 
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
+    from tokenizers import Tokenizer
+    import public_tokenizers
 
-    rows = [(k, prose(k % 30, 60, LANGS[["en", "de", "fr"][k % 3]]), ["en", "de", "fr"][k % 3], f"s{k % 4}") for k in range(60)] + [(90, "12 34", "en", "s1"), (91, None, None, None)]
+    rows = [(k, prose(k % 30, 60, LANGS[["en", "de", "fr"][k % 3]]), ["en", "de", "fr"][k % 3], f"s{k % 4}") for k in range(60)]
+    rows += [(k, rows[k - 200][1].replace(" ", "  "), "en", "s9") for k in range(200, 204)] + [(90, "12 34", "en", "s1"), (91, None, None, None), (5, prose(77, 50, LANGS["en"]), "en", "s1"), (None, prose(78, 50, LANGS["de"]), "de", None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    sizes = []
-    for _, stage in corpus_pipeline.STAGES:
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
-        sizes.append(docs.count())
-    assert sizes[0] == 60 and sizes[1] == 30 and sizes[2] == 30
+        kept[name] = docs.collect()
+    plain = lambda name: Counter((r.doc_id, r.text) for r in kept[name])
+    lettered = [(i, t) for i, t, *_ in rows if any(c.isalpha() for c in t or "")]
+    assert plain("language") == Counter(lettered)
+    groups = defaultdict(list)
+    for i, t in lettered:
+        groups[fold(t)].append((i is not None, i, t))
+    exact = [max(g)[1:] for g in groups.values()]
+    assert plain("exact_dedup") == Counter(exact)
+    fps, near = [(simhash.fingerprint(t), i is None, i, t) for i, t in exact], []
+    left = list(range(len(fps)))
+    while left:
+        group, todo = [left.pop(0)], [0]
+        at = 0
+        while at < len(group):
+            hit = [k for k in left if (fps[k][0] ^ fps[group[at]][0]).bit_count() <= 4]
+            left = [k for k in left if k not in hit]
+            group += hit
+            at += 1
+        near.append(min((fps[k][1], fps[k][2] if fps[k][2] is not None else 0, k) for k in group)[2])
+        del todo
+    assert plain("near_dedup") == Counter((fps[k][2], fps[k][3]) for k in near)
+    assert len(kept["near_dedup"]) < len(exact) < len(lettered)
+    size = lambda t: len(re.findall(WORD, t))
+    source, of = {}, defaultdict(list)
+    for r in kept["near_dedup"]:
+        source[(r.doc_id, r.text)] = r.source
+        of[r.source].append(size(r.text))
+    goal, took = brute_targets([(s, sum(x)) for s, x in of.items()]), defaultdict(int)
+    for r in kept["mix"]:
+        took[source[(r.doc_id, r.text)]] += size(r.text)
+    for s, x in of.items():
+        whole, rest = divmod(round(goal[s]), sum(x))
+        assert took[s] == whole * sum(x) + best_sum(x, [1] * len(x), rest)
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in kept["mix"]:
+        x = np.array([*reference.encode(r.text, add_special_tokens=False).ids, 0], dtype="<u4")
+        want[(r.doc_id, len(x))] += len(x)
+    got = Counter()
+    for p in kept["pack"]:
+        got[(p.doc_id, p.doc_tokens)] += p.length
+    assert got == want
+    assert sorted(p.sequence_id * 1024 + p.offset for p in kept["pack"]) == sorted(np.cumsum([0, *[p.length for p in sorted(kept["pack"], key=lambda p: (p.sequence_id, p.offset))]])[:-1].tolist())
     assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == sizes[-1]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["pack"])
+
+
+def test_shared_folder(spark, docs):
+    from types import SimpleNamespace
+
+    from framescore.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)
+    import os
+
+    common.materialise(docs.limit(1))
+    assert os.path.isdir(common.stage_dir(spark))
+    common.remove_stages(spark)
+    assert not os.path.exists(common.stage_dir(spark))
