@@ -32,7 +32,7 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_hash = pieces.groupBy("h").agg(F.min("blk").alias("lo"), F.max("blk").alias("hi"), F.count(F.lit(1)).alias("held")).sortWithinPartitions("h")
     by_hash = materialise(by_hash.select("h", (F.col("lo") == F.col("hi")).alias("sole"), F.monotonically_increasing_id().alias("name"), "held"), docs.count(), 20_000)
     total = by_hash.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
-    placed = materialise(pieces.drop("blk"), total)
+    placed = materialise(pieces.drop("blk"))  # a file a task: this reads the texts
     named = spread_join(placed, by_hash.filter("sole").drop("sole"), ["h"], "held", total).select("id", "sha", "n", "pos", F.col("name") * 2)
     shared = by_hash.filter("NOT sole").select("h")
     if not shared.isEmpty():  # two contents under one hash: these are named by content
