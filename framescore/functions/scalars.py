@@ -75,8 +75,19 @@ def first_prefix(value: Column, prefixes: list[tuple[str, str]], default: str) -
     return chain.otherwise(default)
 
 
-#: Document prefixes of genres; a longer prefix stands before its beginning.
-GENRES = [(p, "newswire") for p in ("AFP", "APW", "CNA", "NYT", "XIN", "LTW")] + [("bolt", "forum"), ("eng-NG", "newsgroup"), ("eng-WL", "weblog"), ("CNN_CF", "broadcast conversation"), ("CNN_IP", "broadcast conversation"), ("CNN_", "broadcast news")]
+#: Genres by the beginning of a document's name, in the order in which they are tried.
+GENRES = {
+    "Broadcast conversation": ["CNN_CF", "CNN_IP"],
+    "Broadcast News": ["CNN_", "CNNHL"],
+    "Forum": ["bolt", "marce", "alt.", "aus.cars", "Austin-Grad", "misc.", "rec.", "seattle.", "soc.", "talk.", "uk."],
+    "Newswire": ["APW", "AFP", "CNA", "NYT", "WPB", "XIN"],
+    "Blog": ["AGGRESSIVEVOICEDAILY", "BACONSREBELLION", "FLOPPING_ACES", "GETTINGPOLITICAL", "HEALINGIRAQ", "MARKBACKER", "OIADVANTAGE", "TTRACY"],
+    "Speech": ["fsh_"],
+}
+
+
+def genre(doc_id: Column) -> Column:
+    return first_prefix(doc_id, [(p, name) for name, prefixes in GENRES.items() for p in prefixes], "Unknown")
 
 
 def gold_realis(mention_realis: Column, argument_realis: Column) -> Column:

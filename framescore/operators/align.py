@@ -43,15 +43,15 @@ def key_classes(judged: DataFrame, keys: list[str]) -> DataFrame:
 def align(responses: DataFrame, assessed: DataFrame, correct: DataFrame | Column, keys: list[str]) -> DataFrame:
     """(system_id, *keys, cell): TP, FP, FN or unassessed; a wrong best response of a correct class is FP and FN.
 
-    responses and assessed hold the key columns; correct: as for `flagged`, a condition spares two joins. The submissions
-    are few and are broadcast against the key's correct classes, since each of these is found or missed by every system.
+    responses and assessed hold the key columns; correct: as for `flagged`, a condition spares two joins. Each
+    of the key's correct classes is found or missed by every submission.
     """
     best = best_response(responses, ["system_id", *keys]).select("system_id", *keys, "response_id")
     judged = flagged(assessed, correct)
     known = judged.select("response_id", F.lit(True).alias("known"), "right")
     best = best.join(known, "response_id", "left").select("system_id", *keys, F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("right", F.lit(False)).alias("right"), F.lit(True).alias("found"))
     classes = key_classes(judged, keys).filter("class_correct")
-    wanted = classes.crossJoin(F.broadcast(responses.select("system_id").distinct()))
+    wanted = classes.crossJoin(responses.select("system_id").distinct())
     both = wanted.join(best, ["system_id", *keys], "full")
     found = F.col("found").isNotNull()
     cells = (
@@ -84,3 +84,18 @@ def two_sided(left: DataFrame, right: DataFrame, key: list[str], item: str) -> D
     both = side(left, "left_items").join(side(right, "right_items"), key, "full")
     where = F.when(F.col("right_items").isNull(), "left").when(F.col("left_items").isNull(), "right").otherwise("both")
     return both.select(*key, F.coalesce("left_items", F.lit("")).alias("left_items"), F.coalesce("right_items", F.lit("")).alias("right_items"), where.alias("sides"))
+
+
+def response_orders() -> dict[str, list]:
+    """Orders of responses by name. Fillers go by their place, as they have no text here; ids by their characters."""
+    return {"event": ["event_type"], "role": ["role"], "filler": ["bf_start", "bf_end"], "cas": ["cas", "cas_start", "cas_end"], "old_id": [ident.old_id()], "id": ["response_id"]}
+
+
+def by_justification(responses: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, place): classes of each document by their earliest response, which is the first by its justifications in
+    order, its filler, its CAS and its realis; then by the keys."""
+    realis = F.when(F.col("realis") == "Actual", 0).when(F.col("realis") == "Generic", 1).otherwise(2)
+    at = F.struct(F.array_sort("pj").alias("pj"), "bf_start", "bf_end", "cas_start", "cas_end", realis.alias("r"))
+    first = responses.groupBy(*keys).agg(F.min(at).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_first", *[k for k in keys if k != "doc_id"]))
+    return first.select(*keys, place.cast("long").alias("place"))

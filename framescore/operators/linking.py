@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framescore.functions.measures import ratio
@@ -42,6 +44,11 @@ def same_type_frames(responses: DataFrame) -> DataFrame:
     return responses.filter(F.col("realis").isin("Actual", "Other")).select("system_id", "doc_id", F.col("event_type").alias("frame_id"), "response_id").distinct()
 
 
+def linked(responses: DataFrame, strategy: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Frames by a linking strategy: a function from responses to (system_id, doc_id, frame_id, response_id)."""
+    return strategy(responses).select("system_id", "doc_id", "frame_id", "response_id").distinct()
+
+
 def keep_best(responses: DataFrame, linking: DataFrame, keys: list[str]) -> DataFrame:
     """The best response of each (frame, class), and of each class among generic ones; all others go.
 
@@ -53,46 +60,63 @@ def keep_best(responses: DataFrame, linking: DataFrame, keys: list[str]) -> Data
     return linked.select("system_id", "doc_id", "response_id").unionByName(generic.select("system_id", "doc_id", "response_id")).distinct()
 
 
-def link_f1(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(system_id, doc_id, n_gold, n_predicted, precision, recall, link_f1) of groupings of classes; frames may overlap.
+def link_f1(gold: DataFrame, predicted: DataFrame, systems: DataFrame | None = None, by: list[str] = ("doc_id",)) -> DataFrame:
+    """(system_id, *by, n_gold, n_predicted, precision, recall, link_f1) of groupings of classes; frames may overlap.
 
-    gold: (doc_id, frame_id, item); predicted: (system_id, doc_id, frame_id, item), its items among gold's. An item's
-    neighbours are the other members of its frames. Items in one gold and one predicted frame, nearly all, take their
-    counts from the sizes of the two frames and of what they share, so large frames are never expanded into pairs; the
-    others expand their own neighbours only.
+    gold: (*by, frame_id, item), with system_id if it differs between systems; predicted: (system_id, *by, frame_id, item),
+    its items among gold's. systems (system_id): all submissions, where gold has none, so that one that links
+    nothing gets zeros; without it, those that link anything.
+    An item's neighbours are the other members of its frames. Items in one gold and one predicted frame, nearly all, take
+    their counts from the sizes of the two frames and of what they share, so large frames are never expanded into pairs;
+    the others expand their own neighbours only.
     """
-    systems = predicted.select("system_id").distinct()
-    g, p = gold.distinct(), predicted.distinct()
-    g_one = g.groupBy("doc_id", "item").agg(F.min("frame_id").alias("gf"), F.count(F.lit(1)).alias("gn"))
-    p_one = p.groupBy("system_id", "doc_id", "item").agg(F.min("frame_id").alias("pf"), F.count(F.lit(1)).alias("pn"))
-    g_size = g.groupBy("doc_id", F.col("frame_id").alias("gf")).agg(F.count(F.lit(1)).alias("gs"))
-    p_size = p.groupBy("system_id", "doc_id", F.col("frame_id").alias("pf")).agg(F.count(F.lit(1)).alias("ps"))
-    shared = g.withColumnRenamed("frame_id", "gf").join(p.withColumnRenamed("frame_id", "pf"), ["doc_id", "item"]).groupBy("system_id", "doc_id", "gf", "pf").agg(F.count(F.lit(1)).alias("both"))
-    items = g_one.join(p_one, ["doc_id", "item"])
-    simple = items.filter("gn = 1 AND pn = 1").join(shared, ["system_id", "doc_id", "gf", "pf"]).join(g_size, ["doc_id", "gf"]).join(p_size, ["system_id", "doc_id", "pf"])
-    simple = simple.select("system_id", "doc_id", "item", (F.col("both") - 1).alias("tp"), (F.col("ps") - F.col("both")).alias("fp"), (F.col("gs") - F.col("both")).alias("fn"))
-    many = items.filter("NOT (gn = 1 AND pn = 1)").select("system_id", "doc_id", "item")
-
-    def neighbours(bridge: DataFrame, own: DataFrame, on: list[str], flag: str) -> DataFrame:
-        mine = own.join(bridge, [*on, "item"])
+    own = "system_id" in gold.columns
+    pk, gk = ["system_id", *by], [*(["system_id"] if own else []), *by]
+    g, p = gold.select(*gk, "frame_id", "item").distinct(), predicted.select(*pk, "frame_id", "item").distinct()
+    g_one = g.groupBy(*gk, "item").agg(F.min("frame_id").alias("gf"), F.count(F.lit(1)).alias("gn"))
+    p_one = p.groupBy(*pk, "item").agg(F.min("frame_id").alias("pf"), F.count(F.lit(1)).alias("pn"))
+    g_size = g.groupBy(*gk, F.col("frame_id").alias("gf")).agg(F.count(F.lit(1)).alias("gs"))
+    p_size = p.groupBy(*pk, F.col("frame_id").alias("pf")).agg(F.count(F.lit(1)).alias("ps"))
+    shared = g.withColumnRenamed("frame_id", "gf").join(p.withColumnRenamed("frame_id", "pf"), [*gk, "item"]).groupBy(*pk, "gf", "pf").agg(F.count(F.lit(1)).alias("both"))
+    items = g_one.join(p_one, [*gk, "item"])
+    simple = items.filter("gn = 1 AND pn = 1").join(shared, [*pk, "gf", "pf"]).join(g_size, [*gk, "gf"]).join(p_size, [*pk, "pf"])
+    simple = simple.select(*pk, "item", (F.col("both") - 1).alias("tp"), (F.col("ps") - F.col("both")).alias("fp"), (F.col("gs") - F.col("both")).alias("fn"))
+    many = items.filter("NOT (gn = 1 AND pn = 1)").select(*pk, "item")
+
+    def neighbours(bridge: DataFrame, on: list[str], flag: str) -> DataFrame:
+        mine = many.join(bridge, [*on, "item"])
         other = bridge.withColumnRenamed("item", "other")
-        return mine.join(other, [*on, "frame_id"]).filter("other <> item").select("system_id", "doc_id", "item", "other").distinct().withColumn(flag, F.lit(1))
+        return mine.join(other, [*on, "frame_id"]).filter("other <> item").select(*pk, "item", "other").distinct().withColumn(flag, F.lit(1))
 
-    pairs = neighbours(g, many, ["doc_id"], "_g").join(neighbours(p, many, ["system_id", "doc_id"], "_p"), ["system_id", "doc_id", "item", "other"], "full")
+    pairs = neighbours(g, gk, "_g").join(neighbours(p, pk, "_p"), [*pk, "item", "other"], "full")
     has = lambda c: F.col(c).isNotNull()
-    counted = pairs.groupBy("system_id", "doc_id", "item").agg(F.sum((has("_g") & has("_p")).cast("long")).alias("tp"), F.sum((~has("_g")).cast("long")).alias("fp"), F.sum((~has("_p")).cast("long")).alias("fn"))
-    counted = many.join(counted, ["system_id", "doc_id", "item"], "left").na.fill(0, ["tp", "fp", "fn"])
+    counted = pairs.groupBy(*pk, "item").agg(F.sum((has("_g") & has("_p")).cast("long")).alias("tp"), F.sum((~has("_g")).cast("long")).alias("fp"), F.sum((~has("_p")).cast("long")).alias("fn"))
+    counted = many.join(counted, [*pk, "item"], "left").na.fill(0, ["tp", "fp", "fn"])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     alone = (tp + fp + fn) == 0
-    scored = simple.unionByName(counted).select("system_id", "doc_id", F.when(alone, 1.0).otherwise(ratio(tp, tp + fp)).alias("p"), F.when(alone, 1.0).otherwise(ratio(tp, tp + fn)).alias("r"), F.when(alone, 1.0).otherwise(ratio(2 * tp, 2 * tp + fp + fn)).alias("f"))
-    found = scored.groupBy("system_id", "doc_id").agg(F.count(F.lit(1)).alias("n_predicted"), F.sum("p").alias("p"), F.sum("r").alias("r"), F.sum("f").alias("f"))
-    wanted = g_one.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gold")).crossJoin(F.broadcast(systems))  # the submissions are few
+    scored = simple.unionByName(counted).select(*pk, F.when(alone, 1.0).otherwise(ratio(tp, tp + fp)).alias("p"), F.when(alone, 1.0).otherwise(ratio(tp, tp + fn)).alias("r"), F.when(alone, 1.0).otherwise(ratio(2 * tp, 2 * tp + fp + fn)).alias("f"))
+    found = scored.groupBy(*pk).agg(F.count(F.lit(1)).alias("n_predicted"), F.sum("p").alias("p"), F.sum("r").alias("r"), F.sum("f").alias("f"))
+    wanted = g_one.groupBy(*gk).agg(F.count(F.lit(1)).alias("n_gold"))
+    if not own:
+        wanted = wanted.crossJoin(predicted.select("system_id").distinct() if systems is None else systems)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return wanted.join(found, ["system_id", "doc_id"], "left").select(
-        "system_id", "doc_id", "n_gold", F.coalesce("n_predicted", F.lit(0).cast("long")).alias("n_predicted"),
+    return wanted.join(found, pk, "left").select(
+        *pk, "n_gold", F.coalesce("n_predicted", F.lit(0).cast("long")).alias("n_predicted"),
         zero(F.col("p") / F.col("n_predicted")).alias("precision"), zero(F.col("r") / F.col("n_gold")).alias("recall"), zero(F.col("f") / F.col("n_gold")).alias("link_f1"),
     )
 
 
+def link_measures_2016(times: Column | None = None) -> dict[str, Column]:
+    """Aggregates over documents' link scores: precision weighs by predicted arguments, recall and F by gold ones, and all
+    three are divided by the arguments on either side, which are gold's, since the predicted ones are among them."""
+    w = F.lit(1) if times is None else times
+    mean = lambda c, n: F.sum(w * F.col(c) * F.col(n)) / F.sum(w * F.col("n_gold"))
+    return {"link_precision": mean("precision", "n_predicted"), "link_recall": mean("recall", "n_gold"), "link_f1": mean("link_f1", "n_gold")}
+
+
+def link_aggregate_2016(links: DataFrame, by: list[str]) -> DataFrame:
+    return links.groupBy(*by).agg(*[c.alias(k) for k, c in link_measures_2016().items()])
+
+
 def with_first(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")

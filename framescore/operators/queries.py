@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gold import strength
 
 
-def overlap(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    """Characters that two inclusive spans share."""
-    return F.greatest(F.lit(0), F.least(a2, b2) - F.greatest(a1, b1) + 1)
-
-
 def query_mentions(entry_points: DataFrame, mentions: DataFrame, best_only: bool = True) -> DataFrame:
     """Mentions of the entry points' entities; best_only keeps names, else nominals, else pronouns of each."""
     d = entry_points.join(mentions, ["doc_id", "entity_id"]).withColumn("rank", strength(F.col("mtype")))
@@ -22,16 +19,45 @@ def query_mentions(entry_points: DataFrame, mentions: DataFrame, best_only: bool
     return d.withColumn("_b", best).filter("rank = _b").drop("_b")
 
 
-def cas_rule(min_fraction: float = 0.3) -> Column:
-    """Number of the first relaxation by which a response's CAS fits a query mention; null if none."""
-    c = (F.col("cas_start"), F.col("cas_end"))
-    m = (F.col("ext_start"), F.col("ext_end"))
-    h = (F.coalesce("head_start", "ext_start"), F.coalesce("head_end", "ext_end"))
-    inside = lambda a, b: (b[0] <= a[0]) & (a[1] <= b[1])
-    longer = F.greatest(c[1] - c[0] + 1, m[1] - m[0] + 1)
-    enough = overlap(*c, *m) >= min_fraction * longer
-    name = F.col("mtype") == "NAM"
-    return F.when((c[0] == m[0]) & (c[1] == m[1]), 1).when(name & inside(c, m), 2).when(name & inside(m, c), 3).when(~name & (inside(c, m) | inside(m, c)) & enough & inside(h, c), 4)
+def _inside(inner: tuple, outer: tuple) -> Column:
+    return (outer[0] <= inner[0]) & (inner[1] <= outer[1])
+
+
+def exact(cas: tuple, mention: tuple, head: tuple) -> Column:
+    return (cas[0] == mention[0]) & (cas[1] == mention[1])
+
+
+def name_contains(cas: tuple, mention: tuple, head: tuple) -> Column:
+    """The query mention is a name that contains the response's CAS."""
+    return (F.col("mtype") == "NAM") & _inside(cas, mention)
+
+
+def name_contained(cas: tuple, mention: tuple, head: tuple) -> Column:
+    """The query mention is a name that the response's CAS contains."""
+    return (F.col("mtype") == "NAM") & _inside(mention, cas)
+
+
+def nominals_overlap(min_fraction: float = 0.3) -> Callable:
+    """The query mention is a nominal, one of it and the CAS contains the other, and the smaller is min_fraction of the
+    bigger or more. A CAS within the mention must hold the mention's head, if that is known."""
+
+    def criterion(cas: tuple, mention: tuple, head: tuple) -> Column:
+        n, m = cas[1] - cas[0] + 1, mention[1] - mention[0] + 1
+        within = _inside(cas, mention) & (head[0].isNull() | _inside(head, cas)) & (n >= min_fraction * m)
+        around = _inside(mention, cas) & (m >= min_fraction * n)
+        return (F.col("mtype") == "NOM") & (within | around)
+
+    return criterion
+
+
+#: The usual relaxations, strictest first; each is a function of (start, end) of the CAS, the mention, and its head.
+CRITERIA = (exact, name_contains, name_contained, nominals_overlap())
+
+
+def cas_rule(criteria: Sequence[Callable] = CRITERIA) -> Column:
+    """Number, from 1, of the first criterion by which a response's CAS fits a query mention; null if none."""
+    spans = [(F.col(f"{x}_start"), F.col(f"{x}_end")) for x in ("cas", "ext", "head")]
+    return F.coalesce(*[F.when(c(*spans), n) for n, c in enumerate(criteria, 1)])
 
 
 def pj_matches(triggers: str = "triggers", slack: int = 300, within_trigger: bool = False) -> Column:
@@ -42,7 +68,7 @@ def pj_matches(triggers: str = "triggers", slack: int = 300, within_trigger: boo
     return F.exists("pj", lambda p: F.exists(triggers, lambda t: (F.greatest(p["start"] - slack, F.lit(0)) <= t["start"]) & (t["end"] <= p["end"] + slack)))
 
 
-def matching_responses(entry_points: DataFrame, mentions: DataFrame, responses: DataFrame, hoppers: DataFrame, slack: int = 300, first_entry_point_only: bool = False, within_trigger: bool = False) -> DataFrame:
+def matching_responses(entry_points: DataFrame, mentions: DataFrame, responses: DataFrame, hoppers: DataFrame, slack: int = 300, first_entry_point_only: bool = False, within_trigger: bool = False, criteria: Sequence[Callable] = CRITERIA) -> DataFrame:
     """(query_id, system_id, response_id, doc_id): responses that match an entry point by type and role, by the strictest
     CAS relaxation that hits anything for it, and by justification.
 
@@ -51,7 +77,7 @@ def matching_responses(entry_points: DataFrame, mentions: DataFrame, responses:
     """
     points = query_mentions(entry_points, mentions).join(hoppers, ["doc_id", "hopper_id"])
     pairs = points.join(responses.select("system_id", "doc_id", "event_type", "role", "response_id", "cas_start", "cas_end", "pj"), ["doc_id", "event_type", "role"])
-    pairs = pairs.withColumn("rule", cas_rule()).filter("rule IS NOT NULL").filter(pj_matches(slack=slack, within_trigger=within_trigger))
+    pairs = pairs.withColumn("rule", cas_rule(criteria)).filter("rule IS NOT NULL").filter(pj_matches(slack=slack, within_trigger=within_trigger))
     by = ["query_id", "ep_ordinal"] if not first_entry_point_only else ["query_id"]
     order = [F.col("ep_ordinal"), F.col("rule")] if first_entry_point_only else [F.col("rule")]
     first = F.rank().over(Window.partitionBy("system_id", *by).orderBy(*order))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from framescore.functions.measures import nist_percentile, precision_recall_f, ratio
 
+from .ranks import with_ordinal
+
 BETA = 0.25
 LAMBDA = 0.5
 
@@ -15,12 +17,12 @@ def with_f(counts: DataFrame) -> DataFrame:
     return counts.select("*", *precision_recall_f(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def breakdown(alignment: DataFrame, kinds: dict[str, Column]) -> DataFrame:
-    """(system_id, kind, key, tp, fp, fn) for several groupings in one pass."""
+def breakdown(alignment: DataFrame, kinds: dict[str, Column], by: list[str] = ("system_id",)) -> DataFrame:
+    """(*by, kind, key, tp, fp, fn) for several groupings in one pass."""
     from .align import cells
 
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("key")) for k, c in kinds.items()])
-    return cells(alignment.select("system_id", "cell", F.inline(pairs)), ["system_id", "kind", "key"])
+    return cells(alignment.select(*by, "cell", F.inline(pairs)), [*by, "kind", "key"])
 
 
 def argument_score_2015(doc_counts: DataFrame, beta: float = BETA) -> DataFrame:
@@ -37,11 +39,12 @@ def doc_argument_score_2015(doc_counts: DataFrame, beta: float = BETA) -> DataFr
     return doc_counts.select("system_id", "doc_id", raw.alias("score"), F.when(wanted > 0, raw / wanted).alias("scaled"))
 
 
-def linear_score_2016(doc_counts: DataFrame, beta: float = BETA) -> DataFrame:
-    """100 times the documents' clipped scores over the key's size, 1 at least."""
+def linear_score_2016(doc_counts: DataFrame, beta: float = BETA, by: list[str] = ("system_id",), counts: bool = False) -> DataFrame:
+    """100 times the documents' clipped scores over the key's size, 1 at least; with counts the sums of tp, fp and fn too."""
     gained = F.sum(F.greatest(F.col("tp") - beta * F.col("fp"), F.lit(0.0)))
     wanted = F.sum(F.col("tp") + F.col("fn"))
-    return doc_counts.groupBy("system_id").agg((100 * gained / F.greatest(wanted, F.lit(1))).alias("linear"))
+    sums = [F.sum(x).alias(x) for x in ("tp", "fp", "fn")] if counts else []
+    return doc_counts.groupBy(*by).agg(*sums, (100 * gained / F.greatest(wanted, F.lit(1))).alias("linear"))
 
 
 def doc_linear_score_2016(doc_counts: DataFrame, beta: float = BETA) -> DataFrame:
@@ -69,15 +72,15 @@ def what_if(counts: DataFrame) -> DataFrame:
 def draws(units: DataFrame, unit: str, samples: int, seed: int = 0) -> DataFrame:
     """(sample, unit, times): bootstrap samples, each of as many units as there are, drawn by a seeded hash.
 
-    units: distinct units. Unit ordinals follow the units' order; the ranking is over one row a unit.
+    units: distinct units. Unit ordinals follow the units' order. The draws are a range of samples times units numbers,
+    dealt over all tasks and counted there before they are shuffled; no sample and no ranking is one task's.
     """
-    n = units.count()
-    ranked = units.select(unit, (F.row_number().over(Window.orderBy(unit)) - 1).alias("ordinal"))
-    spark = units.sparkSession
+    n = max(1, units.count())
+    ranked = with_ordinal(units.select(unit), [unit], "ordinal")
+    numbers = units.sparkSession.range(samples * n).select(F.expr(f"id div {n}").alias("sample"), (F.col("id") % n).alias("k"))
     hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.col("sample").cast("string"), F.lit("|"), F.col("k").cast("string")))
-    picked = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % F.lit(max(n, 1))
-    pairs = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("k")).select("sample", picked.alias("ordinal"))
-    times = pairs.groupBy("sample", "ordinal").agg(F.count(F.lit(1)).alias("times"))
+    picked = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % F.lit(n)
+    times = numbers.select("sample", picked.alias("ordinal")).groupBy("sample", "ordinal").agg(F.count(F.lit(1)).alias("times"))
     return times.join(ranked, "ordinal").select("sample", unit, "times")
 
 

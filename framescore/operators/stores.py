@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framescore.functions import ident
+
+from .ranks import with_ordinal
+
 
 def pool(stores: DataFrame, keys: list[str]) -> DataFrame:
     """Union of several systems' responses: the highest confidence with its metadata; on a tie the first store's.
@@ -25,7 +29,7 @@ def merge_disjoint(first: DataFrame, second: DataFrame, overwrite: bool = False)
 def fresh_corpus_frames(first: DataFrame, second: DataFrame, base: int = 0x10000) -> DataFrame:
     """The second corpus linking; ids that the first uses too get new hexadecimal ones, by rank of the id."""
     clash = second.select("corpus_frame_id").distinct().join(first.select("corpus_frame_id").distinct(), "corpus_frame_id", "left_semi")
-    new = clash.withColumn("new_id", F.hex(F.lit(base) + F.row_number().over(Window.orderBy("corpus_frame_id"))))
+    new = with_ordinal(clash, ["corpus_frame_id"], "_o").select("corpus_frame_id", F.hex(F.lit(base + 1) + F.col("_o")).alias("new_id"))
     named = second.join(new, "corpus_frame_id", "left").withColumn("corpus_frame_id", F.coalesce("new_id", "corpus_frame_id"))
     return named.drop("new_id")
 
@@ -60,3 +64,30 @@ def import_ids(linking: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame
     """(linking under our ids, rows with unknown ids). ids: (system_id, foreign_id, response_id)."""
     joined = linking.withColumnRenamed("response_id", "foreign_id").join(ids, ["system_id", "foreign_id"], "left")
     return joined.filter("response_id IS NOT NULL").drop("foreign_id"), joined.filter("response_id IS NULL").drop("response_id")
+
+
+def collapsed_frames(linking: DataFrame) -> DataFrame:
+    """(system_id, doc_id, frame_id, new_id): frames with the very same responses go by the first of their ids."""
+    keys = ["system_id", "doc_id"]
+    sets = linking.groupBy(*keys, "frame_id").agg(F.array_sort(F.collect_set("response_id")).alias("members"))
+    return sets.select(*keys, "frame_id", F.min("frame_id").over(Window.partitionBy(*keys, "members")).alias("new_id"))
+
+
+def import_corpus_linking(corpus: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(corpus linking under the frames' new ids, references to frames that are not there). frames: of collapsed_frames."""
+    on = ["system_id", "doc_id", "frame_id"]
+    d = corpus.join(frames, on, "left")
+    here = d.filter("new_id IS NOT NULL").select("system_id", "corpus_frame_id", "doc_id", F.col("new_id").alias("frame_id")).distinct()
+    return here, d.filter("new_id IS NULL").select(*corpus.columns)
+
+
+def converted_ids(rows: DataFrame) -> DataFrame:
+    """Rows of another layout under identifiers of this one; old_response_id keeps theirs."""
+    return rows.withColumnRenamed("response_id", "old_response_id").withColumn("response_id", ident.response_id())
+
+
+def renamed_documents(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows, of responses, assessments or coreference, under other document ids (doc_id, new_id); responses' identifiers
+    follow. A document that is not renamed keeps its id."""
+    d = rows.join(names.select("doc_id", F.col("new_id").alias("_new")), "doc_id", "left").withColumn("doc_id", F.coalesce("_new", "doc_id")).drop("_new")
+    return d.withColumn("response_id", ident.response_id()) if "response_id" in rows.columns else d

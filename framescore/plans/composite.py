@@ -17,6 +17,7 @@ from framescore.operators import scores as S
 from framescore.operators import stores as ST
 from framescore.operators import transforms as T
 from framescore.operators import validate as V
+from framescore.operators.stages import written
 from framescore.sources import scans
 
 from .files import _CQ, _KB, _QR, _kb_lines, _query_counts, _query_responses, _ranked
@@ -70,15 +71,15 @@ def sco2(t):
 )
 def sco4(t):
     responses = A.canonicalised(t.responses, t.canonical)
-    kept = L.keep_best(responses, t.linking, CLASS).persist()
+    kept = written(L.keep_best(responses, t.linking, CLASS))
     own = responses.join(kept.select("system_id", "response_id"), ["system_id", "response_id"], "left_semi")
     counts = A.cells(A.align(own, A.canonicalised(t.assessments.filter("is_assessed"), t.canonical), is_correct(), CLASS), ["system_id", "doc_id"])
     gained = F.sum(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0)))
     arg = counts.groupBy("system_id").agg((gained / F.sum(F.col("tp") + F.col("fn"))).alias("arg"))
     gold, _ = lifted(t)
     own_links = t.linking.join(kept.select("system_id", "response_id"), ["system_id", "response_id"], "left_semi")
-    predicted = L.lift(own_links, judged_classes(t).filter("right").select("response_id", "item"), ["system_id", "doc_id", "frame_id"]).join(gold.select("doc_id", "item").distinct(), ["doc_id", "item"], "left_semi").persist()
-    link = L.link_f1(gold, predicted).groupBy("system_id").agg((F.sum(F.col("link_f1") * F.col("n_gold")) / F.sum("n_gold")).alias("link"))
+    predicted = written(L.lift(own_links, judged_classes(t).filter("right").select("response_id", "item"), ["system_id", "doc_id", "frame_id"]).join(gold.select("doc_id", "item").distinct(), ["doc_id", "item"], "left_semi"))
+    link = L.link_f1(gold, predicted, t.systems).groupBy("system_id").agg((F.sum(F.col("link_f1") * F.col("n_gold")) / F.sum("n_gold")).alias("link"))
     return arg.join(link, "system_id").select("system_id", "arg", "link", (0.5 * F.col("arg") + 0.5 * F.col("link")).alias("overall"))
 
 
@@ -99,7 +100,13 @@ def jn24(t):
     return mapping.unionByName(deleted.withColumn("new_id", F.lit(None).cast("string")))
 
 
-@query("wn6_representative_documents")
+@query(
+    "wn6_representative_documents",
+    """, d AS (SELECT doc_id, doc_no, count(*) AS size, CASE WHEN doc_id LIKE 'D1%' THEN 'a' WHEN doc_id LIKE 'D2%' THEN 'b' ELSE 'other' END AS genre FROM rows1 GROUP BY ALL), m AS (SELECT *, abs(size - median(size) OVER (PARTITION BY genre)) AS off FROM d),
+    f AS (SELECT genre, off, m.doc_id, event_type AS feature FROM m JOIN (SELECT DISTINCT doc_id, event_type FROM rows1) USING (doc_id) UNION ALL SELECT genre, off, doc_id, 'ann' || (doc_no % 6) FROM m),
+    c AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY genre, feature ORDER BY off, doc_id) AS rn FROM f) WHERE rn = 1)
+    SELECT genre, doc_id, place FROM (SELECT genre, doc_id, row_number() OVER (PARTITION BY genre ORDER BY CASE WHEN doc_id IN (SELECT doc_id FROM c) THEN 0 ELSE 1 END, off, doc_id) - 1 AS place FROM m) WHERE place < 25""",
+)
 def wn6(t):
     genre = X.first_prefix(F.col("doc_id"), [("D1", "a"), ("D2", "b")], "other")
     features = F.array_union(F.collect_set("event_type"), F.array(F.concat(F.lit("ann"), F.first(F.col("doc_no") % 6).cast("string"))))
@@ -164,7 +171,7 @@ def sk11(t):
     f"{ALIGN}{LIFT}{DRAWS} SELECT sample, system_id, sum(times * link_f1 * n_gold) / sum(times * n_gold) AS link_score FROM linkf JOIN drawn USING (doc_id) GROUP BY ALL",
 )
 def ag15(t):
-    links = L.link_f1(*lifted(t))
+    links = written(L.link_f1(*lifted(t), t.systems))
     drawn = S.draws(t.rows.select("doc_id").distinct(), "doc_id", SAMPLES)
     w = lambda c: F.sum(F.col("times") * c)
     return S.bootstrapped(links, drawn, "doc_id", ["system_id"], {"link_score": w(F.col("link_f1") * F.col("n_gold")) / w(F.col("n_gold"))})
@@ -176,7 +183,7 @@ qd AS (SELECT sample, query_id, count(*) AS times FROM (SELECT sample, CAST('0x'
 
 @query("ag17_bootstrapped_queries", f"{_CQ}{_QDRAWS} SELECT sample, system_id, sum(times * greatest((tp - 0.25e0 * fp) / greatest(tp + fn, 1), 0)) / sum(times) AS linear FROM cq JOIN qd USING (query_id) GROUP BY ALL")
 def ag17(t):
-    c = _query_counts(t)
+    c = written(_query_counts(t))
     drawn = S.draws(c.select("query_id").distinct(), "query_id", SAMPLES)
     one = F.greatest((F.col("tp") - 0.25 * F.col("fp")) / F.greatest(F.col("tp") + F.col("fn"), F.lit(1)), F.lit(0.0))
     return S.bootstrapped(c, drawn, "query_id", ["system_id"], {"linear": F.sum(F.col("times") * one) / F.sum("times")})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framescore.operators import align as A
 from framescore.operators import linking as L
+from framescore.operators.stages import written
 
 from .registry import once, query
 from .scoring import ALIGN, doc_counts
@@ -28,7 +29,7 @@ itemv AS (SELECT *, CASE WHEN tp + fp + fn = 0 THEN 1.0e0 WHEN tp + fp = 0 THEN
   CASE WHEN tp + fp + fn = 0 THEN 1.0e0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f FROM itemf),
 gcount AS (SELECT doc_id, count(DISTINCT item) AS n_gold FROM glift GROUP BY ALL),
 linkf AS (SELECT s.system_id, g.doc_id, n_gold, coalesce(v.n, 0) AS n_predicted, coalesce(p / v.n, 0) AS precision, coalesce(r / n_gold, 0) AS recall, coalesce(f / n_gold, 0) AS link_f1
-  FROM gcount g CROSS JOIN (SELECT DISTINCT system_id FROM slift) s LEFT JOIN (SELECT system_id, doc_id, count(*) AS n, sum(p) AS p, sum(r) AS r, sum(f) AS f FROM itemv GROUP BY ALL) v USING (system_id, doc_id))"""
+  FROM gcount g CROSS JOIN (SELECT DISTINCT system_id FROM responses) s LEFT JOIN (SELECT system_id, doc_id, count(*) AS n, sum(p) AS p, sum(r) AS r, sum(f) AS f FROM itemv GROUP BY ALL) v USING (system_id, doc_id))"""
 
 
 def classes(t):
@@ -47,9 +48,10 @@ def judged_classes(t):
 def lifted(t):
     """Frames of classes, gold and predicted. The classes carry the judgements, so that the key is joined once a side."""
     judged = judged_classes(t)
-    gold = L.lift(t.gold_frames, judged.filter("linked").select("response_id", "item"), ["doc_id", "frame_id"]).persist()
+    gold = L.lift(t.gold_frames, judged.filter("linked").select("response_id", "item"), ["doc_id", "frame_id"])
+    gold = written(gold)
     predicted = L.lift(t.linking, judged.filter("right").select("response_id", "item"), ["system_id", "doc_id", "frame_id"])
-    return gold, predicted.join(gold.select("doc_id", "item").distinct(), ["doc_id", "item"], "left_semi").persist()
+    return gold, written(predicted.join(gold.select("doc_id", "item").distinct(), ["doc_id", "item"], "left_semi"))
 
 
 @query("jn7_linking_lift", f"{LIFT} SELECT 'gold' AS system_id, * FROM glift UNION ALL SELECT * FROM slift")
@@ -72,19 +74,18 @@ def jn8(t):
 
 @query("sco3_link_f1", f"{LIFT} SELECT * FROM linkf")
 def sco3(t):
-    return L.link_f1(*lifted(t))
+    return L.link_f1(*lifted(t), t.systems)
 
 
 @query("ag8_link_aggregate_2015", f"{LIFT} SELECT system_id, sum(link_f1 * n_gold) / sum(n_gold) AS link_score, sum(precision * n_gold) / sum(n_gold) AS link_precision, sum(recall * n_gold) / sum(n_gold) AS link_recall FROM linkf GROUP BY ALL")
 def ag8(t):
     mean = lambda c: (F.sum(F.col(c) * F.col("n_gold")) / F.sum("n_gold"))
-    return L.link_f1(*lifted(t)).groupBy("system_id").agg(mean("link_f1").alias("link_score"), mean("precision").alias("link_precision"), mean("recall").alias("link_recall"))
+    return L.link_f1(*lifted(t), t.systems).groupBy("system_id").agg(mean("link_f1").alias("link_score"), mean("precision").alias("link_precision"), mean("recall").alias("link_recall"))
 
 
-@query("ag9_link_aggregate_2016", f"{LIFT} SELECT system_id, sum(precision * n_predicted) / sum(n_predicted) AS link_precision, sum(recall * n_gold) / sum(n_gold) AS link_recall, sum(link_f1 * n_gold) / sum(n_gold) AS link_f1 FROM linkf GROUP BY ALL")
+@query("ag9_link_aggregate_2016", f"{LIFT} SELECT system_id, sum(precision * n_predicted) / sum(n_gold) AS link_precision, sum(recall * n_gold) / sum(n_gold) AS link_recall, sum(link_f1 * n_gold) / sum(n_gold) AS link_f1 FROM linkf GROUP BY ALL")
 def ag9(t):
-    mean = lambda c, w: (F.sum(F.col(c) * F.col(w)) / F.sum(w))
-    return L.link_f1(*lifted(t)).groupBy("system_id").agg(mean("precision", "n_predicted").alias("link_precision"), mean("recall", "n_gold").alias("link_recall"), mean("link_f1", "n_gold").alias("link_f1"))
+    return L.link_aggregate_2016(L.link_f1(*lifted(t), t.systems), ["system_id"])
 
 
 @query(
@@ -95,7 +96,7 @@ def ag9(t):
 def ag10(t):
     gained = F.sum(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0)))
     a = doc_counts(t).groupBy("system_id").agg((gained / F.sum(F.col("tp") + F.col("fn"))).alias("arg"))
-    link = L.link_f1(*lifted(t)).groupBy("system_id").agg((F.sum(F.col("link_f1") * F.col("n_gold")) / F.sum("n_gold")).alias("link"))
+    link = L.link_f1(*lifted(t), t.systems).groupBy("system_id").agg((F.sum(F.col("link_f1") * F.col("n_gold")) / F.sum("n_gold")).alias("link"))
     return a.join(link, "system_id").select("system_id", "arg", "link", (0.5 * F.col("arg") + 0.5 * F.col("link")).alias("overall"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framescore.operators import align as A
 from framescore.operators import scores as S
+from framescore.operators.stages import written
 
 from .identity import SQL_OLD
 from .registry import once, query
@@ -125,14 +126,15 @@ def ag28(t):
 
 
 SAMPLES = 50
-DRAWS = f""", units AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM doc_counts)),
+DRAWN = f""", units AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM doc_counts)),
 drawn AS (SELECT sample, doc_id, count(*) AS times FROM (SELECT sample, CAST('0x' || substr(md5('0|' || sample || '|' || k), 1, 8) AS BIGINT) % (SELECT max(n) FROM units) AS ordinal
-  FROM range({SAMPLES}) s(sample), (SELECT unnest(range((SELECT max(n) FROM units))) AS k)) JOIN units USING (ordinal) GROUP BY ALL),
-boot AS (SELECT sample, system_id, sum(times * tp) AS tp, sum(times * fp) AS fp, sum(times * fn) AS fn, 100 * sum(times * greatest(tp - 0.25e0 * fp, 0)) / sum(times * (tp + fn)) AS score FROM doc_counts JOIN drawn USING (doc_id) GROUP BY ALL)"""
+  FROM range({SAMPLES}) s(sample), (SELECT unnest(range((SELECT max(n) FROM units))) AS k)) JOIN units USING (ordinal) GROUP BY ALL)"""
+DRAWS = f"""{DRAWN}, boot AS (SELECT sample, system_id, sum(times * tp) AS tp, sum(times * fp) AS fp, sum(times * fn) AS fn, 100 * sum(times * greatest(tp - 0.25e0 * fp, 0)) / sum(times * (tp + fn)) AS score FROM doc_counts JOIN drawn USING (doc_id) GROUP BY ALL)"""
 
 
+@once
 def _boot(t):
-    counts = doc_counts(t)
+    counts = written(doc_counts(t))
     drawn = S.draws(counts.select("doc_id").distinct(), "doc_id", SAMPLES)
     w = lambda c: F.sum(F.col("times") * c)
     gained = w(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0)))

@@ -93,6 +93,19 @@ def jn22(t):
     return S.import_ids(foreign, ids)[0].select("system_id", "doc_id", "frame_id", "response_id")
 
 
+@query(
+    "jn22_import_corpus_linking",
+    """, l AS (SELECT * FROM linking UNION ALL SELECT system_id, doc_id, 'a1', response_id FROM linking WHERE frame_id = 'f1' AND doc_id LIKE '%4'), s AS (SELECT system_id, doc_id, frame_id, list_sort(list(DISTINCT response_id)) AS m FROM l GROUP BY ALL),
+    n AS (SELECT system_id, doc_id, frame_id, min(frame_id) OVER (PARTITION BY system_id, doc_id, m) AS new_id FROM s), c AS (SELECT * REPLACE (CASE WHEN doc_id LIKE '%9' THEN 'lost' ELSE frame_id END AS frame_id) FROM corpus_linking)
+    SELECT DISTINCT system_id, corpus_frame_id, doc_id, coalesce(new_id, 'unknown: ' || c.frame_id) AS frame_id FROM c LEFT JOIN n USING (system_id, doc_id, frame_id)""",
+)
+def jn22_corpus(t):
+    double = t.linking.filter("frame_id = 'f1' AND doc_id LIKE '%4'").withColumn("frame_id", F.lit("a1"))
+    corpus = t.corpus_linking.withColumn("frame_id", F.when(F.col("doc_id").like("%9"), "lost").otherwise(F.col("frame_id")))
+    here, unknown = S.import_corpus_linking(corpus, S.collapsed_frames(t.linking.unionByName(double)))
+    return here.unionByName(unknown.distinct().withColumn("frame_id", F.concat(F.lit("unknown: "), "frame_id")))
+
+
 @query("jn23_prune_corpus_linking", "SELECT * FROM corpus_linking WHERE (system_id, doc_id, frame_id) IN (SELECT system_id, doc_id, frame_id FROM linking l WHERE response_id IN (SELECT response_id FROM correct))")
 def jn23(t):
     alive = t.linking.join(t.correct.select("response_id"), "response_id", "left_semi").select("system_id", "doc_id", "frame_id").distinct()
@@ -326,3 +339,14 @@ def sl5(t):
 @query("fn8_genre", "SELECT DISTINCT doc_id, CASE WHEN doc_id LIKE 'D12%' THEN 'a' WHEN doc_id LIKE 'D1%' THEN 'b' ELSE 'other' END AS genre FROM rows1")
 def fn8(t):
     return t.rows.select("doc_id", X.first_prefix(F.col("doc_id"), [("D12", "a"), ("D1", "b")], "other").alias("genre")).distinct()
+
+
+_PREFIXES = ["CNN_CF", "CNN_IP_", "CNN_", "CNNHL", "bolt-", "rec.", "NYT_", "OIADVANTAGE", "fsh_", "zz"]
+_NAMED = "CASE doc_no % 10 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PREFIXES)) + " END || doc_id"
+_OF = ["Broadcast conversation", "Broadcast conversation", "Broadcast News", "Broadcast News", "Forum", "Forum", "Newswire", "Blog", "Speech", "Unknown"]
+
+
+@query("fn8_genre_of_names", f"SELECT DISTINCT {_NAMED} AS name, CASE doc_no % 10 " + " ".join(f"WHEN {k} THEN '{g}'" for k, g in enumerate(_OF)) + " END AS genre FROM rows1")
+def fn8_names(t):
+    d = t.rows.select(F.expr(_NAMED).alias("name")).distinct()
+    return d.select("name", X.genre(F.col("name")).alias("genre"))

@@ -82,6 +82,11 @@ class Tables:
         grouped = self.rows.groupBy("system_id", *RESPONSE).agg(F.max("confidence").alias("confidence"))
         return grouped.withColumn("response_id", _response_id())
 
+    @functools.cached_property
+    def systems(self) -> DataFrame:
+        """All submissions, also those without a correct response."""
+        return self.rows.select("system_id").distinct()
+
     @functools.cached_property
     def assessments(self) -> DataFrame:
         """One row per response of any system; fields are null where is_assessed is false."""

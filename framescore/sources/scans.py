@@ -75,8 +75,9 @@ def strictness(key: DataFrame) -> DataFrame:
 
 
 def recovered(key: DataFrame) -> DataFrame:
-    """The key with broken rows mended: fields that may not be there are nulled, rows that lack one become unassessed.
-    `repair` names what was done, or is null."""
+    """The key with broken rows mended: fields that may not be there are nulled, and a row that lacks one becomes
+    unassessed, without any field. An acceptable CAS without a cluster gets one of its own, named by what it is, where the
+    key has coref_id. `repair` names what was done to the fields, or is null."""
     good = lambda c: F.coalesce(F.col(c) != "W", F.lit(False))
     rest = ["cas_ok", "bf_ok", "a_realis", "mention_type"]
     full = good("aet") & good("aer")
@@ -84,13 +85,22 @@ def recovered(key: DataFrame) -> DataFrame:
     extra = F.lit(False)
     for c in rest:
         lacking, extra = lacking | F.col(c).isNull(), extra | F.col(c).isNotNull()
-    missing = (good("aet") & F.col("aer").isNull()) | (full & lacking)
+    missing = F.col("aet").isNull() | (good("aet") & F.col("aer").isNull()) | (full & lacking)
     repair = F.when(F.col("is_assessed") & missing, "made unassessed").when(F.col("is_assessed") & ~full & extra, "fields removed")
     d = key.withColumn("repair", repair)
     gone = F.coalesce(F.col("repair") == "made unassessed", F.lit(False))
-    keep = lambda c: F.when(gone | (F.col("repair").isNotNull()), None).otherwise(F.col(c))
-    d = d.select(*[c for c in d.columns if c not in rest], *[keep(c).alias(c) for c in rest])
-    return d.withColumn("is_assessed", F.col("is_assessed") & ~gone)
+    keep = lambda c: F.when(gone | ((F.col("repair").isNotNull()) if c in rest else F.lit(False)), None).otherwise(F.col(c))
+    d = d.select(*[c for c in d.columns if c not in ("aet", "aer", *rest)], *[keep(c).alias(c) for c in ("aet", "aer", *rest)])
+    d = d.withColumn("is_assessed", F.col("is_assessed") & ~gone)
+    if "coref_id" in d.columns:
+        own = F.concat(F.lit("s"), F.md5(F.concat_ws("|", "doc_id", "cas", "cas_start", "cas_end")))
+        d = d.withColumn("coref_id", F.when(F.col("coref_id").isNull() & F.coalesce(F.col("cas_ok") != "W", F.lit(False)), own).otherwise(F.col("coref_id")))
+    return d
+
+
+def repair_counts(mended: DataFrame) -> DataFrame:
+    """(repair, n) of what `recovered` did."""
+    return mended.filter("repair IS NOT NULL").groupBy("repair").agg(F.count(F.lit(1)).alias("n"))
 
 
 def linking_2015(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -216,3 +226,54 @@ def score_table(spark: SparkSession, path: str, layout: str = "parquet", percent
     """(system_id, metric, value) of a stored score table, or (system_id, p, value) of bootstrap percentiles. layout:
     parquet or json."""
     return spark.read.schema(f"system_id string, {'p double' if percentiles else 'metric string'}, value double").format(layout).load(path)
+
+
+def ontology_map(lines: DataFrame) -> DataFrame:
+    """(kind, source, target) of lines (kind, line) with a source and its target."""
+    f = F.split("line", r"\t")
+    return lines.filter("trim(line) <> ''").select("kind", F.trim(F.get(f, 0)).alias("source"), F.trim(F.get(f, 1)).alias("target")).distinct()
+
+
+def symbols(lines: DataFrame) -> DataFrame:
+    """(symbol) of lines with one symbol each."""
+    return lines.select(F.trim("line").alias("symbol")).filter("symbol <> ''").distinct()
+
+
+def symbol_map(lines: DataFrame) -> DataFrame:
+    """(key, value) of lines with a key and one value, as of documents and their paths, or systems and their teams."""
+    f = F.split("line", r"\t", 2)
+    return lines.filter("trim(line) <> ''").select(F.trim(F.get(f, 0)).alias("key"), F.trim(F.get(f, 1)).alias("value"))
+
+
+def repeated_keys(mapping: DataFrame) -> DataFrame:
+    """Keys of a map with several values, which are an error."""
+    return mapping.groupBy("key").agg(F.count_distinct("value").alias("n")).filter("n > 1").select("key", "n")
+
+
+def raw_texts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """(doc_id, text) of text files, one document a file, named after it."""
+    name = F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), f"{suffix}$", "")
+    return spark.read.format("binaryFile").load(path).select(name.alias("doc_id"), F.decode("content", "UTF-8").alias("text"))  # empty files too
+
+
+#: Files of equivalence-class identifiers by the cell that they list.
+CELL_FILES = {"TP": "TruePositives.ids.txt", "FP": "FalsePositive.ids.txt"}
+
+
+def equivalence_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(system_id, cell, item) of the identifier files of every system's Standard folder under path."""
+    parts = F.split(F.input_file_name(), "/")
+    d = spark.read.text([f"{path}/*/Standard/{f}" for f in CELL_FILES.values()]).select(F.element_at(parts, -3).alias("system_id"), F.element_at(parts, -1).alias("file"), F.col("value").alias("item"))
+    cell = F.when(F.col("file") == CELL_FILES["TP"], "TP").otherwise("FP")
+    return d.filter("item <> ''").select("system_id", cell.alias("cell"), "item").distinct()
+
+
+def gold_ids(gold: DataFrame) -> DataFrame:
+    """gold with doc_id without the marks that the annotators' tools add."""
+    return gold.withColumn("doc_id", F.replace("doc_id", F.lit("-kbp"), F.lit("")))
+
+
+def id_mismatches(files: DataFrame) -> DataFrame:
+    """(requested, doc_id) where a file's own id is not the one that it was asked for under, marks aside."""
+    own, asked = F.replace("doc_id", F.lit("-kbp"), F.lit("")), F.replace("requested", F.lit(".kbp"), F.lit(""))
+    return files.filter(own != asked).select("requested", "doc_id")
