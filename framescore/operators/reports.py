@@ -70,3 +70,71 @@ def team_summary(scores: DataFrame, prefix: int, value: str = "score") -> DataFr
     rank = F.row_number().over(Window.orderBy("best", "team"))
     middle = (rank == F.floor((n + 1) / 2)) | (rank == F.ceil((n + 1) / 2))
     return best.select("team", "system_id", "best", (middle & (n > 3)).alias("median"))
+
+
+def label_scores(matrix: DataFrame) -> DataFrame:
+    """(field, label, tp, fp, fn) of each label of a confusion matrix, the left annotator taken as the key."""
+    n, l, r = F.col("n"), F.col("left_label"), F.col("right_label")  # noqa: E741
+    cell = lambda label, c, k: F.struct(label.alias("label"), c.alias("cell"), k.alias("k"))
+    rows = F.when(l == r, F.array(cell(l, F.lit("TP"), n))).otherwise(F.array(cell(l, F.lit("FN"), n), cell(r, F.lit("FP"), n)))
+    count = lambda c: F.sum(F.when(F.col("cell") == c, F.col("k")).otherwise(0)).alias(c.lower())
+    return matrix.select("field", F.inline(rows)).groupBy("field", "label").agg(count("TP"), count("FP"), count("FN"))
+
+
+#: Parts of the ids around a system: its own, human ones, those of other teams and of its own team's other systems.
+PARTS = ("own", "own_human", "own_other", "own_human_other", "same_team", "human_other", "other", "human")
+
+
+def overlap_partition(found: DataFrame, human: DataFrame, prefix: int) -> DataFrame:
+    """(system_id, *PARTS): in how many of the ids that anybody found each system, humans, systems of other teams and other
+    systems of its own team meet. found: (system_id, item); human: (item).
+
+    An id is first reduced to the teams and systems that found it, so that a system's counts outside its own ids are
+    differences of totals, and no system meets every id.
+    """
+    d = found.distinct().withColumn("team", F.substring("system_id", 1, prefix))
+    h = human.select("item").distinct().withColumn("h", F.lit(True))
+    by_item = d.groupBy("item").agg(F.count_distinct("team").alias("teams")).join(h, "item", "full")
+    flagged = by_item.select("item", F.coalesce("teams", F.lit(0)).alias("teams"), F.coalesce("h", F.lit(False)).alias("h"))
+    count = lambda c: F.sum(c.cast("long"))
+    alone, many, hum = F.col("teams") == 1, F.col("teams") > 1, F.col("h")
+    own = d.join(flagged, "item").groupBy("system_id", "team").agg(
+        count(alone & ~hum).alias("own"), count(alone & hum).alias("own_human"), count(many & ~hum).alias("own_other"), count(many & hum).alias("own_human_other")
+    )
+    # by team: ids that it has, alone or with others
+    team = d.select("team", "item").distinct().join(flagged, "item").groupBy("team").agg(
+        count(alone & ~hum).alias("ta"), count(alone & hum).alias("tah"), count(many & ~hum).alias("tm"), count(many & hum).alias("tmh")
+    )
+    all_ = flagged.agg(count((F.col("teams") > 0) & ~hum).alias("o"), count((F.col("teams") > 0) & hum).alias("oh"), count((F.col("teams") == 0) & hum).alias("h0"))
+    d = own.join(team, "team").crossJoin(all_)
+    return d.select(
+        "system_id", "own", "own_human", "own_other", "own_human_other", (F.col("ta") - F.col("own")).alias("same_team"),
+        (F.col("oh") - F.col("tah") - F.col("own_human_other")).alias("human_other"), (F.col("o") - F.col("ta") - F.col("own_other")).alias("other"),
+        (F.col("h0") + F.col("tah") - F.col("own_human")).alias("human"),
+    )
+
+
+def leaderboards(scores: DataFrame, by: list[str], baseline: str, value: str) -> DataFrame:
+    """(*by, system_id, value, rank, lead) of each group: by type, by role; lead over the baseline only where positive."""
+    base = scores.filter(F.col("system_id") == baseline).select(*by, F.col(value).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), "system_id"))
+    lead = F.when(F.col(value) > F.col("_b"), F.col(value) - F.col("_b"))
+    return scores.join(base, by, "left").select(*by, "system_id", value, rank.cast("long").alias("rank"), lead.alias("lead"))
+
+
+def single_type_frames(linking: DataFrame, responses: DataFrame) -> DataFrame:
+    """(event_type, n): frames all of whose responses are of one type."""
+    types = linking.join(responses.select("response_id", "event_type").distinct(), "response_id").groupBy("doc_id", "frame_id").agg(F.count_distinct("event_type").alias("k"), F.min("event_type").alias("event_type"))
+    return types.filter("k = 1").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def observed(alignment: DataFrame, observers: dict) -> dict[str, DataFrame]:
+    """Tables of plug-in observers by name: functions from an aligned table, or from frames, to a table."""
+    return {name: observer(alignment) for name, observer in observers.items()}
+
+
+def results(unit_counts: DataFrame, writers: dict, drawn: DataFrame | None = None, unit: str = "doc_id") -> dict[str, DataFrame]:
+    """Tables of result writers by name: functions from unit rows with a weight `times` to a table by `sample`. Plain results
+    are those of one sample, 0, that has every unit once; with drawn (sample, unit, times) they are bootstrapped."""
+    rows = unit_counts.withColumns({"sample": F.lit(0).cast("long"), "times": F.lit(1).cast("long")}) if drawn is None else unit_counts.join(drawn, unit)
+    return {name: writer(rows) for name, writer in writers.items()}

@@ -11,10 +11,15 @@ from .filters import acceptable, correct_up_to_inexact
 
 
 def map_outputs(responses: DataFrame, mapping: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFrame:
-    """Responses renamed by mapping (response_id, new_id), minus deleted ones; equals keep the higher confidence."""
+    """Responses renamed by mapping (response_id, new_id), minus deleted ones; equals keep the higher confidence, with its
+    metadata where there is such a column; of equal confidences that of the smaller old id."""
     left = responses.join(deleted.select("response_id"), "response_id", "left_anti").join(mapping, "response_id", "left")
-    named = left.withColumn("response_id", F.coalesce("new_id", "response_id"))
-    return named.groupBy(*keys, "response_id").agg(F.max("confidence").alias("confidence"))
+    named = left.withColumn("_old", F.col("response_id")).withColumn("response_id", F.coalesce("new_id", "response_id"))
+    told = [F.max_by("metadata", F.struct("confidence", "_place")).alias("metadata")] if "metadata" in responses.columns else []
+    if told:
+        place = F.row_number().over(Window.partitionBy(*keys, "response_id").orderBy(F.desc("_old")))
+        named = named.withColumn("_place", place)
+    return named.groupBy(*keys, "response_id").agg(F.max("confidence").alias("confidence"), *told)
 
 
 def map_linking(linking: DataFrame, incomplete: DataFrame, mapping: DataFrame, deleted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -243,6 +243,15 @@ def tr1a(t):
     return T.map_outputs(t.responses.select("system_id", "doc_id", "response_id", "confidence"), *_mapping(t), ["system_id", "doc_id"])
 
 
+@query(
+    "tr1a_map_outputs_with_metadata",
+    f"SELECT system_id, doc_id, new_id AS response_id, max(confidence) AS confidence, arg_max('m' || old, {{'a': confidence, 'b': -rn}}) AS metadata FROM (SELECT system_id, doc_id, response_id AS old, CASE WHEN {_MAP} THEN 'n' || response_id[1:2] ELSE response_id END AS new_id, confidence, row_number() OVER (PARTITION BY system_id, doc_id, CASE WHEN {_MAP} THEN 'n' || response_id[1:2] ELSE response_id END ORDER BY response_id) AS rn FROM responses WHERE NOT ({_DEL})) GROUP BY ALL",
+)
+def tr1a_metadata(t):
+    noted = t.responses.select("system_id", "doc_id", "response_id", "confidence", F.concat(F.lit("m"), "response_id").alias("metadata"))
+    return T.map_outputs(noted, *_mapping(t), ["system_id", "doc_id"])
+
+
 @query(
     "tr1c_map_linking",
     f""", m AS (SELECT DISTINCT response_id, CASE WHEN {_MAP} THEN 'n' || response_id[1:2] ELSE response_id END AS new_id FROM responses WHERE NOT ({_DEL})),
