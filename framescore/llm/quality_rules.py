@@ -69,13 +69,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
     d = d.select(
         "doc_id", "t", F.regexp_extract_all("t", word, F.lit(0)).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"),
-        F.lower("t").rlike(ANYWHERE).alias("furnished"), F.col("t").rlike(MARKED).alias("marked"),
     )
     bare = lambda x: F.char_length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", ""))
     counted = lambda x: (F.regexp_count(x, F.lit(SYMBOLS + "|!!")) > MAX_SYMBOL_SHARE * F.char_length(x)) | (F.regexp_count(x, F.lit(SEPARATORS)) >= 2)
     furniture = lambda x: F.lower(x).rlike(ALONE_LINE) | F.lower(x).rlike(WITHIN_LINE)
-    # texts without a mark or phrase, nearly all, are not searched for them line by line
-    bad = lambda x: ~x.rlike(TERMINAL) | (F.col("marked") & x.rlike(MARKED) & counted(x)) | (F.col("furnished") & furniture(x))
+    bad = lambda x, whole: ~x.rlike(TERMINAL) | (whole["marked"] & x.rlike(MARKED) & counted(x)) | (whole["furnished"] & furniture(x))
+    # texts without a mark or phrase, nearly all, are not searched for them line by line; as elements of an array the two
+    # findings are made once a text, where a column would be worked out anew for every line
+    whole = F.array(F.struct(F.lower("t").rlike(ANYWHERE).alias("furnished"), F.col("t").rlike(MARKED).alias("marked"), F.col("lines").alias("lines")))
+    stay = F.get(F.transform(whole, lambda s: F.filter(s["lines"], lambda x: ~bad(x, s))), 0)
     d = d.select(
         "doc_id",
         "w",
@@ -85,7 +87,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))).alias("windows"),
-        F.filter("lines", lambda x: ~bad(x)).alias("stay"),
+        stay.alias("stay"),
     )
     d = d.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered("windows", "w")).otherwise(F.lit(0)).cast("long"))
     d = d.withColumn("chars_removed", F.col("word_chars") - bare(F.array_join("stay", "")).cast("long"))
@@ -101,10 +103,24 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _covered(windows: str, words: str):
-    """Words that lie in a three-word window occurring twice or more. windows: their 64-bit hashes in order, sorted here
-    with their words, so that equal windows are neighbours and a shared hash alone makes none equal."""
-    three = lambda h, i: F.struct(h.alias("h"), *[F.get(words, i + k).alias(f"w{k}") for k in range(3)])
-    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(three(h, i).alias("g"), i.alias("i"))))
-    same = lambda s, k, x: F.coalesce(F.get(s, k)["g"] == x["g"], F.lit(False))
-    twice = F.transform(F.array(pairs), lambda s: F.filter(s, lambda x, k: same(s, k - 1, x) | same(s, k + 1, x)))
-    return F.size(F.array_distinct(F.flatten(F.transform(F.flatten(twice), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    """Words that lie in a three-word window occurring twice or more. windows: their 64-bit hashes in order, sorted here so
+    that equal ones are neighbours. Neighbours with one hash are compared word by word; should two windows of different
+    words ever share a hash, the text's windows are sorted by their words themselves."""
+    at = lambda i: [F.get(words, i + k) for k in range(3)]
+    by_hash = F.transform(windows, lambda h, i: F.struct(h.alias("g"), i.alias("i")))
+    by_words = F.transform(windows, lambda h, i: F.struct(F.array(*at(i)).alias("g"), i.alias("i")))
+
+    def repeated(pairs):
+        same = lambda s, k, x: F.coalesce(F.get(s, k)["g"] == x["g"], F.lit(False))
+        return F.flatten(F.transform(F.array(F.sort_array(pairs)), lambda s: F.filter(s, lambda x, k: same(s, k - 1, x) | same(s, k + 1, x))))
+
+    def size(twice):
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+    def clash(twice):
+        differ = lambda i, j: ~(F.array(*at(i)) == F.array(*at(j)))
+        before = lambda k: F.get(twice, k - 1)
+        return F.size(F.filter(twice, lambda x, k: F.coalesce((before(k)["g"] == x["g"]) & differ(before(k)["i"], x["i"]), F.lit(False)))) > 0
+
+    counted = F.transform(F.array(repeated(by_hash)), lambda twice: F.when(clash(twice), size(repeated(by_words))).otherwise(size(twice)))
+    return F.get(counted, 0)

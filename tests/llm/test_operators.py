@@ -102,6 +102,11 @@ def test_quality_rules_by_line(spark):
     assert not r[3].kept and not r[3].base_failed
 
 
+def test_windows_that_share_a_hash(spark):
+    d = spark.sql("SELECT split(w, ' ') AS w, array(7L, 7L, 7L, 7L) AS windows, n FROM VALUES ('a b c a b c', 6), ('a b c d e f', 0), ('a a a a b c', 4) AS v(w, n)")
+    assert all(r.n == r.got for r in d.select("n", quality_rules._covered("windows", "w").alias("got")).collect())
+
+
 def test_furniture_phrases(spark):
     lines = {"Read more.": False, "I want to read more of it.": True, "» WEITERLESEN!": False, "Please enable JavaScript now.": False, "Wir möchten weiterlesen.": True, "Suivez-nous.": False, "Accept cookies.": False, "We unaccept cookiesx.": True, "Política de privacidad.": False, "Sign in the box here.": True}
     d = frame(spark, [(k, x, None, None) for k, x in enumerate(lines)])
