@@ -251,9 +251,10 @@ def repeated_keys(mapping: DataFrame) -> DataFrame:
 
 
 def raw_texts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """(doc_id, text) of text files, one document a file, named after it."""
-    name = F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), f"{suffix}$", "")
-    return spark.read.format("binaryFile").load(path).select(name.alias("doc_id"), F.decode("content", "UTF-8").alias("text"))  # empty files too
+    """(doc_id, text) of text files, one document a file, named after it. Spark's readers pass over files without a byte, so
+    an empty document has no row; a left join from the list of documents reads it as empty."""
+    name = F.regexp_replace(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1), f"{suffix}$", "")
+    return spark.read.text(path, wholetext=True).select(name.alias("doc_id"), F.col("value").alias("text"))
 
 
 #: Files of equivalence-class identifiers by the cell that they list.
