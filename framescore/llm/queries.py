@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, licenses, mixing, packing, private_data, quality_classifier, quality_rules, simhash, token_counts
+from . import centroids, exact_dedup, language_id, licenses, mixing, packing, private_data, quality_classifier, quality_rules, simhash, token_counts
 from .common import LOWER, UPPER, WORD, table
 
 
@@ -89,5 +89,36 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 FROM x
 """
 
-QUERIES = {"op1_offset_token_counts": op1_offset_token_counts, "op2_concatenate_and_cut": op2_concatenate_and_cut, "op5_boosted_private_data": op5_boosted_private_data, "op3_paragraph_licenses": op3_paragraph_licenses, "op4_neighbour_voting": op4_neighbour_voting, "op6_partial_matching": op6_partial_matching, "op7_subset_sum_mix": op7_subset_sum_mix, "op8_segment_popcount_simhash": op8_segment_popcount_simhash, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules}
-ORACLES = {"op9_block_naming_dedup": OP9_SQL, "op10_line_first_rules": OP10_SQL}
+
+def op11_vantage_point_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def _op11_sql() -> str:
+    """The start, ten rounds and the last assignment as a chain of common tables."""
+    k = centroids.CLUSTERS
+    far = "list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.c[i]) * (x.v[i] - c.c[i])))"
+    assign = f"SELECT r, v, min({far} * {k} + k) AS dk FROM kept AS x, c{{n}} AS c GROUP BY r, v"
+    parts = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id)) - 1 AS k, v AS c FROM kept QUALIFY k < {k})",
+    ]
+    for n in range(centroids.ROUNDS):
+        parts += [
+            f"a{n} AS MATERIALIZED ({assign.format(n=n)})",
+            f"m{n} AS (SELECT k, list((s - ((s % n + n) % n)) // n ORDER BY i) AS c FROM (SELECT dk % {k} AS k, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{n}, range(1, 65) AS t(i) GROUP BY ALL) GROUP BY k)",
+            f"c{n + 1} AS MATERIALIZED (SELECT c{n}.k, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} ON c{n}.k = m{n}.k)",
+        ]
+    n = centroids.ROUNDS
+    parts.append(f"a{n} AS MATERIALIZED ({assign.format(n=n)})")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(dk % {k} AS INTEGER) AS cluster, CAST(dk // {k} AS BIGINT) AS distance, CAST(sum(dk // {k}) OVER (PARTITION BY dk % {k}) AS BIGINT) AS cluster_inertia,
+  CAST(sum(dk // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{n} JOIN kept USING (r) JOIN c{n} ON c{n}.k = dk % {k}"""
+
+
+OP11_SQL = _op11_sql()
+
+QUERIES = {"op1_offset_token_counts": op1_offset_token_counts, "op2_concatenate_and_cut": op2_concatenate_and_cut, "op5_boosted_private_data": op5_boosted_private_data, "op3_paragraph_licenses": op3_paragraph_licenses, "op4_neighbour_voting": op4_neighbour_voting, "op6_partial_matching": op6_partial_matching, "op7_subset_sum_mix": op7_subset_sum_mix, "op8_segment_popcount_simhash": op8_segment_popcount_simhash, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules, "op11_vantage_point_clusters": op11_vantage_point_clusters}
+ORACLES = {"op9_block_naming_dedup": OP9_SQL, "op10_line_first_rules": OP10_SQL, "op11_vantage_point_clusters": OP11_SQL}
