@@ -66,7 +66,7 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield shown(held)
 
     def shown(held: dict[bytes, int]) -> pd.DataFrame:
-        return pd.DataFrame({"word": [w.decode("latin-1") for w in held], "n": list(held.values())}, columns=["word", "n"])
+        return pd.DataFrame({"word": _plain([w.decode("latin-1") for w in held]), "n": np.fromiter(held.values(), dtype=np.int64)})
 
     own = docs.filter(F.col(text_col).isNotNull()).select(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":")).alias("id"), F.col(text_col).alias("t"))
     return own.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -164,7 +164,7 @@ def _neighbours(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
     return pd.DataFrame({"word": _plain(words[a[lead]]), "n_near": np.diff(np.append(lead, len(a))), "best_n": n[b[lead]], "best": _plain(words[b[lead]])})
 
 
-def _plain(words: np.ndarray) -> pd.Series:
+def _plain(words) -> pd.Series:
     """Texts as Python objects: a column of several Arrow chunks can't be handed back."""
     return pd.Series(words, dtype=object)
 
