@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, exact_dedup, language_id, licenses, mixing, packing, private_data, quality_classifier, quality_rules, simhash, spelling, token_counts
+from . import centroids, exact_dedup, language_id, licenses, mixing, packing, private_data, quality_classifier, quality_rules, simhash, spelling, token_counts, toxicity
 from .common import LOWER, UPPER, WORD, table
 
 
@@ -125,5 +125,9 @@ def op12_sorted_list_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_offset_token_counts": op1_offset_token_counts, "op2_concatenate_and_cut": op2_concatenate_and_cut, "op5_boosted_private_data": op5_boosted_private_data, "op3_paragraph_licenses": op3_paragraph_licenses, "op4_neighbour_voting": op4_neighbour_voting, "op6_partial_matching": op6_partial_matching, "op7_subset_sum_mix": op7_subset_sum_mix, "op8_segment_popcount_simhash": op8_segment_popcount_simhash, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules, "op11_vantage_point_clusters": op11_vantage_point_clusters, "op12_sorted_list_variants": op12_sorted_list_variants}
+def op13_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("features")
+
+
+QUERIES = {"op1_offset_token_counts": op1_offset_token_counts, "op2_concatenate_and_cut": op2_concatenate_and_cut, "op5_boosted_private_data": op5_boosted_private_data, "op3_paragraph_licenses": op3_paragraph_licenses, "op4_neighbour_voting": op4_neighbour_voting, "op6_partial_matching": op6_partial_matching, "op7_subset_sum_mix": op7_subset_sum_mix, "op8_segment_popcount_simhash": op8_segment_popcount_simhash, "op9_block_naming_dedup": op9_block_naming_dedup, "op10_line_first_rules": op10_line_first_rules, "op11_vantage_point_clusters": op11_vantage_point_clusters, "op12_sorted_list_variants": op12_sorted_list_variants, "op13_boosted_toxicity": op13_boosted_toxicity}
 ORACLES = {"op9_block_naming_dedup": OP9_SQL, "op10_line_first_rules": OP10_SQL, "op11_vantage_point_clusters": OP11_SQL}
