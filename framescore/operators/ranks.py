@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import written
+
 _LOW = (1 << 33) - 1
 
 
 def with_ordinal(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """rows with their place, from 0, in the order, which should be total.
 
-    Rows are dealt by ranges and sorted inside them; the ranges' sizes, one row each, are summed up in a window and
-    joined back. The number of ranges is fixed, so adaptive execution does not merge them between the two readings.
+    Rows are dealt by ranges and sorted inside them, and written once with their range and their place in it: bounds of
+    ranges are drawn from a sample, so two readings of an unwritten table would be dealt by different bounds. The sizes
+    of the ranges, one row each, are summed up in a window and joined back by broadcast.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    placed = placed.withColumns({"_range": F.shiftright("_m", 33), "_at": F.col("_m").bitwiseAND(F.lit(_LOW))}).drop("_m")
+    sorted_ = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = written(sorted_.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW)).alias("_at")))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     base = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return placed.join(base, "_range").withColumn(name, F.col("_base") + F.col("_at")).drop("_range", "_at", "_base")
+    return placed.join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_at")).drop("_range", "_at", "_base")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scores import resampled
+
 #: Assessment fields compared between annotators.
 FIELDS = ("aet", "aer", "bf_ok", "cas_ok", "a_realis", "mention_type")
 
@@ -135,6 +137,6 @@ def observed(alignment: DataFrame, observers: dict) -> dict[str, DataFrame]:
 
 def results(unit_counts: DataFrame, writers: dict, drawn: DataFrame | None = None, unit: str = "doc_id") -> dict[str, DataFrame]:
     """Tables of result writers by name: functions from unit rows with a weight `times` to a table by `sample`. Plain results
-    are those of one sample, 0, that has every unit once; with drawn (sample, unit, times) they are bootstrapped."""
-    rows = unit_counts.withColumns({"sample": F.lit(0).cast("long"), "times": F.lit(1).cast("long")}) if drawn is None else unit_counts.join(drawn, unit)
+    are those of one sample, 0, that has every unit once; with drawn (unit, samples) they are bootstrapped."""
+    rows = unit_counts.withColumns({"sample": F.lit(0).cast("long"), "times": F.lit(1).cast("long")}) if drawn is None else resampled(unit_counts, drawn, unit)
     return {name: writer(rows) for name, writer in writers.items()}

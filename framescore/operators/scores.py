@@ -69,24 +69,43 @@ def what_if(counts: DataFrame) -> DataFrame:
     )
 
 
-def draws(units: DataFrame, unit: str, samples: int, seed: int = 0) -> DataFrame:
-    """(sample, unit, times): bootstrap samples, each of as many units as there are, drawn by a seeded hash.
+def drawn_samples(units: DataFrame, unit: str, samples: int, seed: int = 0) -> DataFrame:
+    """(unit, samples): bootstrap samples, each of as many units as there are, drawn by a seeded hash. Each unit has the
+    numbers of the samples that draw it, as often as they do; its array has about `samples` numbers.
 
     units: distinct units. Unit ordinals follow the units' order. The draws are a range of samples times units numbers,
-    dealt over all tasks and counted there before they are shuffled; no sample and no ranking is one task's.
+    dealt over all tasks; those of a task are gathered by unit before they are shuffled. Nothing is one task's.
     """
-    n = max(1, units.count())
-    ranked = with_ordinal(units.select(unit), [unit], "ordinal")
-    numbers = units.sparkSession.range(samples * n).select(F.expr(f"id div {n}").alias("sample"), (F.col("id") % n).alias("k"))
+    ranked = with_ordinal(units.select(unit), [unit], "ordinal")  # written, so counting reads it
+    n = max(1, ranked.count())
+    numbers = units.sparkSession.range(samples * n).select(F.expr(f"CAST(id div {n} AS INT)").alias("sample"), (F.col("id") % n).alias("k"))
     hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.col("sample").cast("string"), F.lit("|"), F.col("k").cast("string")))
     picked = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % F.lit(n)
-    times = numbers.select("sample", picked.alias("ordinal")).groupBy("sample", "ordinal").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(ranked, "ordinal").select("sample", unit, "times")
+    lists = numbers.select("sample", picked.alias("ordinal")).groupBy("ordinal").agg(F.collect_list("sample").alias("samples"))
+    return ranked.join(lists, "ordinal", "left").select(unit, F.coalesce("samples", F.array().cast("array<int>")).alias("samples"))
+
+
+def draws(units: DataFrame, unit: str, samples: int, seed: int = 0) -> DataFrame:
+    """(sample, unit, times): the same draws, one row for each sample and unit that it draws."""
+    each = drawn_samples(units, unit, samples, seed).select(F.explode("samples").alias("sample"), unit).withColumn("sample", F.col("sample").cast("long"))
+    return each.groupBy("sample", unit).agg(F.count(F.lit(1)).alias("times"))
+
+
+def resampled(unit_counts: DataFrame, drawn: DataFrame, unit: str) -> DataFrame:
+    """unit_counts with sample and times, a row for each draw of its unit. drawn: of drawn_samples.
+
+    Units are joined once, with their arrays; a row's draws are spread out only where it lies, right before they are
+    summed up, and never shuffled.
+    """
+    rows = unit_counts.join(drawn, unit)
+    each = rows.select(*unit_counts.columns, F.explode("samples").alias("sample"))
+    return each.withColumns({"sample": F.col("sample").cast("long"), "times": F.lit(1).cast("long")})
 
 
 def bootstrapped(unit_counts: DataFrame, drawn: DataFrame, unit: str, by: list[str], measures: dict[str, Column]) -> DataFrame:
-    """(sample, *by, *measures) over resampled units; measures aggregate unit rows weighted by `times`."""
-    return unit_counts.join(drawn, unit).groupBy("sample", *by).agg(*[c.alias(k) for k, c in measures.items()])
+    """(sample, *by, *measures) over resampled units; measures aggregate unit rows weighted by `times`. drawn: of
+    drawn_samples."""
+    return resampled(unit_counts, drawn, unit).groupBy("sample", *by).agg(*[c.alias(k) for k, c in measures.items()])
 
 
 def percentiles(samples: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:

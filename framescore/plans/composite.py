@@ -172,7 +172,7 @@ def sk11(t):
 )
 def ag15(t):
     links = written(L.link_f1(*lifted(t), t.systems))
-    drawn = S.draws(t.rows.select("doc_id").distinct(), "doc_id", SAMPLES)
+    drawn = S.drawn_samples(t.rows.select("doc_id").distinct(), "doc_id", SAMPLES)
     w = lambda c: F.sum(F.col("times") * c)
     return S.bootstrapped(links, drawn, "doc_id", ["system_id"], {"link_score": w(F.col("link_f1") * F.col("n_gold")) / w(F.col("n_gold"))})
 
@@ -184,7 +184,7 @@ qd AS (SELECT sample, query_id, count(*) AS times FROM (SELECT sample, CAST('0x'
 @query("ag17_bootstrapped_queries", f"{_CQ}{_QDRAWS} SELECT sample, system_id, sum(times * greatest((tp - 0.25e0 * fp) / greatest(tp + fn, 1), 0)) / sum(times) AS linear FROM cq JOIN qd USING (query_id) GROUP BY ALL")
 def ag17(t):
     c = written(_query_counts(t))
-    drawn = S.draws(c.select("query_id").distinct(), "query_id", SAMPLES)
+    drawn = S.drawn_samples(c.select("query_id").distinct(), "query_id", SAMPLES)
     one = F.greatest((F.col("tp") - 0.25 * F.col("fp")) / F.greatest(F.col("tp") + F.col("fn"), F.lit(1)), F.lit(0.0))
     return S.bootstrapped(c, drawn, "query_id", ["system_id"], {"linear": F.sum(F.col("times") * one) / F.sum("times")})
 

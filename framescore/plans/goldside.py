@@ -271,7 +271,7 @@ def sco5_bootstrap(t):
     counts = written(A.cells(_both_modes(t), ["mode", "system_id", "doc_id"]))
     w = lambda c: F.sum(F.col("times") * c)
     linear = 100 * w(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0))) / F.greatest(w(F.col("tp") + F.col("fn")), F.lit(1))
-    return S.bootstrapped(counts, S.draws(counts.select("doc_id").distinct(), "doc_id", SAMPLES), "doc_id", ["mode", "system_id"], {"linear": linear})
+    return S.bootstrapped(counts, S.drawn_samples(counts.select("doc_id").distinct(), "doc_id", SAMPLES), "doc_id", ["mode", "system_id"], {"linear": linear})
 
 
 def _link_sql(name: str, realis: str, by: str = "") -> str:
@@ -322,7 +322,7 @@ def sco5_linking_by_type(t):
 )
 def sco5_bootstrapped_links(t):
     links = written(doc_links(t))
-    drawn = S.draws(links.select("doc_id").distinct(), "doc_id", SAMPLES)
+    drawn = S.drawn_samples(links.select("doc_id").distinct(), "doc_id", SAMPLES)
     return S.bootstrapped(links, drawn, "doc_id", ["mode", "system_id"], L.link_measures_2016(F.col("times")))
 
 

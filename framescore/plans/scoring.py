@@ -125,7 +125,8 @@ def ag28(t):
     return S.what_if(A.cells(_aligned(t), ["system_id", F.col("event_type").alias("key")]))
 
 
-SAMPLES = 50
+#: As many as the reference's document-level and corpus-level scorers take.
+SAMPLES = 1000
 DRAWN = f""", units AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM doc_counts)),
 drawn AS (SELECT sample, doc_id, count(*) AS times FROM (SELECT sample, CAST('0x' || substr(md5('0|' || sample || '|' || k), 1, 8) AS BIGINT) % (SELECT max(n) FROM units) AS ordinal
   FROM range({SAMPLES}) s(sample), (SELECT unnest(range((SELECT max(n) FROM units))) AS k)) JOIN units USING (ordinal) GROUP BY ALL)"""
@@ -135,7 +136,7 @@ DRAWS = f"""{DRAWN}, boot AS (SELECT sample, system_id, sum(times * tp) AS tp, s
 @once
 def _boot(t):
     counts = written(doc_counts(t))
-    drawn = S.draws(counts.select("doc_id").distinct(), "doc_id", SAMPLES)
+    drawn = S.drawn_samples(counts.select("doc_id").distinct(), "doc_id", SAMPLES)
     w = lambda c: F.sum(F.col("times") * c)
     gained = w(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0)))
     return S.bootstrapped(counts, drawn, "doc_id", ["system_id"], {"tp": w(F.col("tp")), "fp": w(F.col("fp")), "fn": w(F.col("fn")), "score": 100 * gained / w(F.col("tp") + F.col("fn"))})

@@ -42,7 +42,7 @@ _LINKBOOT = ", lboot AS (SELECT sample, system_id, sum(times * link_f1 * n_gold)
 )
 def ag15(t):
     w = lambda c: F.sum(F.col("times") * c)
-    drawn = written(S.draws(written(doc_counts(t).select("doc_id").distinct()), "doc_id", SAMPLES))
+    drawn = written(S.drawn_samples(written(doc_counts(t).select("doc_id").distinct()), "doc_id", SAMPLES))
     links = S.bootstrapped(written(L.link_f1(*lifted(t), t.systems)), drawn, "doc_id", ["system_id"], {"link_score": w(F.col("link_f1") * F.col("n_gold")) / w(F.col("n_gold"))})
     of = lambda d, value, name: S.percentiles(d, ["system_id"], value, POINTS).withColumn("metric", F.lit(name))
     return of(S.with_f(_boot(t)), "f1", "argument F1").unionByName(of(links, "link_score", "link score"))
@@ -56,7 +56,7 @@ def ag15(t):
 def ag15_by_type(t):
     counts = written(A.cells(_aligned(t), ["system_id", "event_type", "doc_id"]))
     w = lambda c: F.sum(F.col("times") * c)
-    drawn = S.draws(counts.select("doc_id").distinct(), "doc_id", SAMPLES)
+    drawn = S.drawn_samples(counts.select("doc_id").distinct(), "doc_id", SAMPLES)
     score = 100 * w(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0))) / F.nullif(w(F.col("tp") + F.col("fn")), F.lit(0).cast("long"))
     boot = S.bootstrapped(counts, drawn, "doc_id", ["system_id", "event_type"], {"score": score})
     return S.percentiles(boot.filter("score IS NOT NULL"), ["system_id", "event_type"], "score", POINTS)
@@ -197,7 +197,7 @@ def ud6(t):
         "score": lambda d: d.groupBy(*by).agg((100 * gained / w(F.col("tp") + F.col("fn"))).alias("score")),
         "tp": lambda d: d.groupBy(*by).agg(w(F.col("tp")).alias("tp")),
     }
-    drawn = written(S.draws(counts.select("doc_id").distinct(), "doc_id", SAMPLES).withColumn("sample", F.col("sample") + 1))
+    drawn = written(S.drawn_samples(counts.select("doc_id").distinct(), "doc_id", SAMPLES).withColumn("samples", F.transform("samples", lambda x: x + 1)))
     plain, boot = R.results(counts, writers), R.results(counts, writers, drawn)
     one = lambda r: r["score"].join(r["tp"], by)
     return one(plain).unionByName(one(boot))
