@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,15 @@ STEMS = range(4, 9)
 LEVELS = (2.0, 3.5, 5.0, 6.5, 8.0)
 NEAR = 5
 #: Kinds of tokens a worker remembers, and characters of them.
-KNOWN, KNOWN_CHARS = 300_000, 20_000_000
+KNOWN, KNOWN_CHARS = 500_000, 20_000_000
 #: Words of the second person in the corpus's languages, and marks that stand for letters.
 SECOND = frozenset("you your yours yourself yourselves ur du dich dir dein deine deinen deinem deiner euch euer eure tu te toi ton tes vous votre vos tú ti tus contigo vosotros vosotras usted ustedes".split())
 _DISGUISE = str.maketrans("013457@$!€", "oieastasie")
 _EDGES = re.compile(r"^[^\w@$]+|[^\w@$]+$|^_+|_+$")
 _JOINTS = "-'’"
+_AROUND = ".,;:!?#*%&<>|^~+=/()[]{}\"'`“”„«»¡¿…-–—"
+_SYMBOLS = re.compile(r"[#*$%&@<>|^~]")
+_STRETCHED = re.compile(r"(.)\1{2,}")
 _FIELDS = 10  # word, strength, second person, letters, capitals, all capitals, exclamation, question, symbols, disguised
 NAMES = [*(f"share_{t}" for t in LEVELS), *(f"count_{t}" for t in LEVELS), "strongest", "mean_strength", "distinct", "words", "second", "near_second", "capitals", "loud", "loud_hits", "exclamation", "question", "symbols", "disguised", "disguised_hits"]
 
@@ -49,6 +53,9 @@ def _terms(word: str) -> Iterator[str]:
 
 def _plain(token: str) -> tuple[str, bool]:
     """The token's letters in lower case, and whether something else stands between them."""
+    core = token.strip(_AROUND)
+    if core.isalpha():
+        return core.lower(), False
     core = _EDGES.sub("", token)
     if core.isalpha():
         return core.lower(), False
@@ -61,28 +68,37 @@ def _plain(token: str) -> tuple[str, bool]:
 
 def _variants(word: str) -> Iterator[str]:
     """A word without stretched letters, and without accents."""
-    yield re.sub(r"(.)\1{2,}", r"\1", word)
-    yield "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    if _STRETCHED.search(word):
+        yield _STRETCHED.sub(r"\1", word)
+    if not word.isascii():
+        yield "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
 class Tokens(dict):
-    """token -> its row in `table`, made when first seen."""
+    """token -> its kind, a row of `table`, worked out when the token is first seen. Tokens alike in all fields share one."""
 
     def __init__(self, strength: dict[str, float]):
         super().__init__()
-        self.strength, self.table, self.chars = strength, np.zeros((1024, _FIELDS)), 0
+        self.words = {t: x for t, x in strength.items() if t[-1:] != "-"}
+        self.stems = {t[:-1]: x for t, x in strength.items() if t[-1:] == "-"}
+        self.heads = {t[: STEMS[0]] for t in self.stems}  # most words begin like none of them
+        self.kinds: dict[tuple, int] = {}
+        self.table, self.filled, self.chars = np.zeros((0, _FIELDS)), 0, 0
 
     def __missing__(self, token: str) -> int:
-        at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self[token] = at
+        row = self._row(token)
+        at = self[token] = self.kinds.setdefault(row, len(self.kinds))
         self.chars += len(token)
-        self.table[at] = self._row(token)
         return at
 
     def _of(self, word: str) -> float:
-        return max((self.strength.get(t, 0.0) for t in _terms(word)), default=0.0)
+        found = self.words.get(word, 0.0)
+        if word[: STEMS[0]] in self.heads:
+            for k in STEMS:
+                if len(word) <= k:
+                    break
+                found = max(found, self.stems.get(word[:k], 0.0))
+        return found
 
     def _row(self, token: str) -> tuple:
         word, hidden = _plain(token)
@@ -92,15 +108,26 @@ class Tokens(dict):
                 if v != word and (strength := self._of(v)):
                     hidden = True
                     break
+        second = word in SECOND
+        if token.isalpha():
+            capitals = 0 if token == word else sum(map(str.isupper, token))
+            return True, strength, second, len(token), capitals, len(token) > 1 and capitals == len(token), 0, 0, 0, hidden
         letters, capitals = sum(map(str.isalpha, token)), sum(map(str.isupper, token))
-        return bool(word), strength, word in SECOND, letters, capitals, letters > 1 and capitals == letters, token.count("!"), token.count("?"), sum(map(token.count, "#*$%&@<>|^~")), hidden
+        return bool(word), strength, second, letters, capitals, letters > 1 and capitals == letters, token.count("!"), token.count("?"), len(_SYMBOLS.findall(token)), hidden
 
     def features(self, text: str) -> np.ndarray:
         """The features of a whole text."""
         if len(self) > KNOWN or self.chars > KNOWN_CHARS:
             self.clear()
-            self.chars = 0
-        at = np.fromiter(map(self.__getitem__, text.split()), dtype=np.int64)
+            self.kinds.clear()
+            self.filled = self.chars = 0
+        tokens = text.split()
+        at = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if self.filled < len(self.kinds):
+            if len(self.table) < len(self.kinds):
+                self.table = np.concatenate((self.table, np.zeros((len(self.kinds), _FIELDS))))
+            self.table[self.filled : len(self.kinds)] = list(islice(self.kinds, self.filled, None))
+            self.filled = len(self.kinds)
         t = self.table[at]
         words = max(1.0, t[:, 0].sum())
         s = t[:, 1]
@@ -114,7 +141,7 @@ class Tokens(dict):
         over = [float((s >= x).sum()) for x in LEVELS]
         total = t.sum(axis=0)
         of_hits = (lambda c: float(t[hits, c].mean())) if len(hits) else lambda c: 0.0
-        return np.array([*(n / words for n in over), *np.log1p(over), s.max(initial=0), s.sum() / words, np.log1p(len(np.unique(at[hits]))), np.log1p(words), total[2] / words, near, total[4] / max(1.0, total[3]), total[5] / words, of_hits(5), *(total[6:10] / words), of_hits(9)])
+        return np.array([*(n / words for n in over), *np.log1p(over), s.max(initial=0), s.sum() / words, np.log1p(len({tokens[k].lower() for k in hits})), np.log1p(words), total[2] / words, near, total[4] / max(1.0, total[3]), total[5] / words, of_hits(5), *(total[6:10] / words), of_hits(9)])
 
 
 class Model:
