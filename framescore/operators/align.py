@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from framescore.functions import ident
 
+from .invariants import required
+
 
 def best_response(responses: DataFrame, by: list[str]) -> DataFrame:
     """The most confident response of each group; of equals the one with the greater old identifier, which is worked out
@@ -19,11 +21,15 @@ def best_response(responses: DataFrame, by: list[str]) -> DataFrame:
 
 
 def canonicalised(rows: DataFrame, canonical: DataFrame, how: str = "strict") -> DataFrame:
-    """rows with canon, the first CAS of their CAS's cluster. how: strict and optional drop rows without a cluster (the
-    former is meant for keys, where `uncovered` must be empty), lax keeps their own CAS."""
+    """rows with canon, the first CAS of their CAS's cluster. A row without a cluster fails the job (how: strict), is left
+    out (optional), or keeps its own CAS (lax)."""
     on = ["doc_id", "cas", "cas_start", "cas_end"]
     own = F.concat("cas", F.lit("@"), F.col("cas_start").cast("string"), F.lit("-"), F.col("cas_end").cast("string"))
-    joined = rows.join(canonical.select(*on, "canon"), on, "left" if how == "lax" else "inner")
+    if how not in ("strict", "optional", "lax"):
+        raise ValueError(f"how must be strict, optional or lax, not {how}")
+    joined = rows.join(canonical.select(*on, "canon"), on, "inner" if how == "optional" else "left")
+    if how == "strict":
+        return joined.withColumn("canon", required(F.col("canon"), "every CAS has a cluster", *on))
     return joined.withColumn("canon", F.coalesce("canon", own)) if how == "lax" else joined
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from framescore.functions.scalars import is_temporal, is_timex
@@ -73,7 +73,17 @@ def suspicious(key: DataFrame) -> DataFrame:
     return key.filter(correct_up_to_inexact()).select("*", F.explode(reasons).alias("reason"))
 
 
-def restrict(key: DataFrame, docs: DataFrame, types: list[str]) -> DataFrame:
-    """Rows of listed types in listed documents that hold no assessed row; documents left without rows are gone."""
+def restrict(key: DataFrame, docs: DataFrame, types: list[str], counts: Observation | None = None) -> DataFrame:
+    """Rows of listed types in listed documents that hold no assessed row; documents left without rows are gone.
+
+    counts gets, in the same pass, the rows of the key (`rows`), those outside the listed documents (`unlisted`), in
+    listed ones with an assessed row (`assessed`), of other types in the rest (`other_type`), and those kept (`kept`).
+    """
     open_docs = key.groupBy("doc_id").agg(F.max("is_assessed").alias("any")).filter("NOT any").select("doc_id")
-    return key.join(docs, "doc_id", "left_semi").join(open_docs, "doc_id", "left_semi").filter(F.col("event_type").isin(*types))
+    if counts is None:
+        return key.join(docs, "doc_id", "left_semi").join(open_docs, "doc_id", "left_semi").filter(F.col("event_type").isin(*types))
+    marked = key.join(docs.select("doc_id").distinct().withColumn("_l", F.lit(True)), "doc_id", "left").join(open_docs.withColumn("_o", F.lit(True)), "doc_id", "left")
+    listed, open_, typed = F.col("_l").isNotNull(), F.col("_o").isNotNull(), F.coalesce(F.col("event_type").isin(*types), F.lit(False))
+    why = F.when(~listed, "unlisted").when(~open_, "assessed").when(~typed, "other_type").otherwise("kept")
+    marked = marked.withColumn("_why", why).observe(counts, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("_why") == w).alias(w) for w in ("unlisted", "assessed", "other_type", "kept")])
+    return marked.filter("_why = 'kept'").select(*key.columns)

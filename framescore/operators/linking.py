@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framescore.functions.measures import ratio
 
 from .align import best_response
+from .invariants import enforced, outside_gold
 
 
 def lift(bridge: DataFrame, to_class: DataFrame, frame_keys: list[str]) -> DataFrame:
@@ -60,7 +61,7 @@ def keep_best(responses: DataFrame, linking: DataFrame, keys: list[str]) -> Data
     return linked.select("system_id", "doc_id", "response_id").unionByName(generic.select("system_id", "doc_id", "response_id")).distinct()
 
 
-def link_f1(gold: DataFrame, predicted: DataFrame, systems: DataFrame | None = None, by: list[str] = ("doc_id",)) -> DataFrame:
+def link_f1(gold: DataFrame, predicted: DataFrame, systems: DataFrame | None = None, by: list[str] = ("doc_id",), strict: bool = False) -> DataFrame:
     """(system_id, *by, n_gold, n_predicted, precision, recall, link_f1) of groupings of classes; frames may overlap.
 
     gold: (*by, frame_id, item), with system_id if it differs between systems; predicted: (system_id, *by, frame_id, item),
@@ -68,7 +69,8 @@ def link_f1(gold: DataFrame, predicted: DataFrame, systems: DataFrame | None = N
     nothing gets zeros; without it, those that link anything.
     An item's neighbours are the other members of its frames. Items in one gold and one predicted frame, nearly all, take
     their counts from the sizes of the two frames and of what they share, so large frames are never expanded into pairs;
-    the others expand their own neighbours only.
+    the others expand their own neighbours only. strict: reading the scores fails where a predicted item is not gold's;
+    else such items are passed over.
     """
     own = "system_id" in gold.columns
     pk, gk = ["system_id", *by], [*(["system_id"] if own else []), *by]
@@ -100,10 +102,11 @@ def link_f1(gold: DataFrame, predicted: DataFrame, systems: DataFrame | None = N
     if not own:
         wanted = wanted.crossJoin(predicted.select("system_id").distinct() if systems is None else systems)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return wanted.join(found, pk, "left").select(
+    scores = wanted.join(found, pk, "left").select(
         *pk, "n_gold", F.coalesce("n_predicted", F.lit(0).cast("long")).alias("n_predicted"),
         zero(F.col("p") / F.col("n_predicted")).alias("precision"), zero(F.col("r") / F.col("n_gold")).alias("recall"), zero(F.col("f") / F.col("n_gold")).alias("link_f1"),
     )
+    return enforced(scores, outside_gold(gold, predicted, pk), "predicted items are gold's", strict)
 
 
 def link_measures_2016(times: Column | None = None) -> dict[str, Column]:

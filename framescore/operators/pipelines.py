@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import align, cells
 from .filters import acceptable
+from .invariants import enforced
+from .linking import keep_best, lift, link_f1
+from .stages import written
 from .transforms import implied_injuries, less_specific
 
 
@@ -73,14 +77,38 @@ def representative_documents(docs: DataFrame, per_genre: int = 25) -> DataFrame:
     return both.withColumn("n", n).filter(F.col("n") <= per_genre).select("genre", "doc_id", (F.col("n") - 1).cast("long").alias("place"))
 
 
-def corpus_score(found: DataFrame, correct: int, drop_unassessed: bool = True, skip_unanswered: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(counts by system and query, rows without an assessment). The second must be empty unless they are dropped."""
+def corpus_score(found: DataFrame, correct: int, drop_unassessed: bool = True, skip_unanswered: bool = False, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(counts by system and query, rows without an assessment). The second must be empty unless they are dropped: strict,
+    reading the counts fails where it is not."""
     from .corpus import query_counts
 
     counts = query_counts(found, correct)
     if skip_unanswered:
         counts = counts.join(found.filter(F.col("a") == correct).select("query_id").distinct(), "query_id", "left_semi")
-    return counts, found.filter("a = 0").limit(0) if drop_unassessed else found.filter("a = 0")
+    open_ = found.filter("a = 0").limit(0) if drop_unassessed else found.filter("a = 0")
+    return enforced(counts, open_, "every query response is assessed", strict and not drop_unassessed), open_
+
+
+def score_2015(responses: DataFrame, assessed: DataFrame, linking: DataFrame, gold: DataFrame, classes: DataFrame, keys: list[str], incomplete: DataFrame | None = None, beta: float = 0.25, weight: float = 0.5) -> DataFrame:
+    """(system_id, arg, link, overall) in the style of 2015.
+
+    responses and assessed hold the class columns `keys`; assessed has `right`, whether a row is correct. linking: the
+    systems' frames of responses; gold: (doc_id, frame_id, item), frames of classes; classes: (response_id, item) of correct
+    responses. Each system keeps the best response of each frame and class, and its frames are restricted to gold's
+    items. incomplete: responses that either side leaves out of its linking, which must be empty: reading the scores
+    fails where it is not.
+    """
+    own = ["system_id", "response_id"]
+    kept = written(keep_best(responses, linking, keys)).select(*own)
+    counts = cells(align(responses.join(kept, own, "left_semi"), assessed, F.col("right"), keys), ["system_id", "doc_id"])
+    gained = F.sum(F.greatest(F.col("tp") - beta * F.col("fp"), F.lit(0.0)))
+    arg = counts.groupBy("system_id").agg((gained / F.sum(F.col("tp") + F.col("fn"))).alias("arg"))
+    frames = lift(linking.join(kept, own, "left_semi"), classes, ["system_id", "doc_id", "frame_id"])
+    predicted = written(frames.join(gold.select("doc_id", "item").distinct(), ["doc_id", "item"], "left_semi"))
+    links = link_f1(gold, predicted, responses.select("system_id").distinct())
+    link = links.groupBy("system_id").agg((F.sum(F.col("link_f1") * F.col("n_gold")) / F.sum("n_gold")).alias("link"))
+    overall = arg.join(link, "system_id").select("system_id", "arg", "link", ((1 - weight) * F.col("arg") + weight * F.col("link")).alias("overall"))
+    return overall if incomplete is None else enforced(overall, incomplete, "linkings are complete")
 
 
 def kb_violations(assertions: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from framescore.functions import ident
 
+from .invariants import enforced
 from .ranks import with_ordinal
 
 
@@ -19,11 +20,12 @@ def pool(stores: DataFrame, keys: list[str]) -> DataFrame:
     return stores.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*keys, "response_id", "confidence", "metadata")
 
 
-def merge_disjoint(first: DataFrame, second: DataFrame, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(merged, clashing documents); with overwrite the second store replaces documents of the first."""
+def merge_disjoint(first: DataFrame, second: DataFrame, overwrite: bool = False, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(merged, clashing documents); with overwrite the second store replaces documents of the first. strict: reading the
+    merged store fails where documents clash and are not overwritten."""
     clash = first.select("doc_id").distinct().join(second.select("doc_id").distinct(), "doc_id", "left_semi")
     kept = first.join(clash, "doc_id", "left_anti") if overwrite else first
-    return kept.unionByName(second), clash
+    return enforced(kept.unionByName(second), clash, "stores have no document in common", strict and not overwrite), clash
 
 
 def fresh_corpus_frames(first: DataFrame, second: DataFrame, base: int = 0x10000) -> DataFrame:
@@ -34,9 +36,13 @@ def fresh_corpus_frames(first: DataFrame, second: DataFrame, base: int = 0x10000
     return named.drop("new_id")
 
 
-def add_unassessed(key: DataFrame, responses: DataFrame) -> DataFrame:
-    """(response_id, is_assessed): the key with responses that it does not hold."""
+def add_unassessed(key: DataFrame, responses: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """(response_id, is_assessed): the key with responses that it does not hold. counts gets, in the same pass, how many
+    rows the key had (`known`) and how many are new (`added`)."""
     new = responses.select("response_id").distinct().join(key.select("response_id"), "response_id", "left_anti")
+    if counts is not None:
+        both = key.select("response_id", "is_assessed", F.lit(0).alias("_new")).unionByName(new.select("response_id", F.lit(False).alias("is_assessed"), F.lit(1).alias("_new")))
+        return both.observe(counts, F.count_if(F.col("_new") == 0).alias("known"), F.count_if(F.col("_new") == 1).alias("added")).drop("_new")
     return key.select("response_id", "is_assessed").unionByName(new.withColumn("is_assessed", F.lit(False)))
 
 
@@ -54,10 +60,15 @@ def merge_assessments(baseline: DataFrame, additional: DataFrame) -> DataFrame:
     )
 
 
-def merge_query_responses(stores: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(merged, conflicts) of query responses: union of systems, and the one assessment that is given."""
+def merge_query_responses(stores: DataFrame, keys: list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(merged, conflicts) of query responses: union of systems, and the one assessment that is given. strict: reading the
+    merged rows fails where several are given; else the first in order holds."""
     grouped = stores.groupBy(*keys).agg(F.array_sort(F.collect_set("system_id")).alias("systems"), F.array_sort(F.collect_set("assessment")).alias("given"))
-    return grouped.select(*keys, F.array_join("systems", ",").alias("systems"), F.coalesce(F.get("given", F.lit(0)), F.lit("UNASSESSED")).alias("assessment")), grouped.filter(F.size("given") > 1)
+    given = F.coalesce(F.get("given", F.lit(0)), F.lit("UNASSESSED"))
+    if strict:
+        message = F.concat(F.lit("one assessment a query response: "), F.to_json(F.struct(*keys, "given")))
+        given = F.when(F.size("given") > 1, F.raise_error(message).cast("string")).otherwise(given)
+    return grouped.select(*keys, F.array_join("systems", ",").alias("systems"), given.alias("assessment")), grouped.filter(F.size("given") > 1)
 
 
 def import_ids(linking: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -70,17 +70,9 @@ def sco2(t):
     l AS (SELECT system_id, sum(link_f1 * n_gold) / sum(n_gold) AS link FROM linkf GROUP BY ALL) SELECT system_id, arg, link, 0.5e0 * arg + 0.5e0 * link AS overall FROM a JOIN l USING (system_id)""",
 )
 def sco4(t):
-    responses = A.canonicalised(t.responses, t.canonical)
-    kept = written(L.keep_best(responses, t.linking, CLASS))
-    own = responses.join(kept.select("system_id", "response_id"), ["system_id", "response_id"], "left_semi")
-    counts = A.cells(A.align(own, A.canonicalised(t.assessments.filter("is_assessed"), t.canonical), is_correct(), CLASS), ["system_id", "doc_id"])
-    gained = F.sum(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0)))
-    arg = counts.groupBy("system_id").agg((gained / F.sum(F.col("tp") + F.col("fn"))).alias("arg"))
-    gold, _ = lifted(t)
-    own_links = t.linking.join(kept.select("system_id", "response_id"), ["system_id", "response_id"], "left_semi")
-    predicted = written(L.lift(own_links, judged_classes(t).filter("right").select("response_id", "item"), ["system_id", "doc_id", "frame_id"]).join(gold.select("doc_id", "item").distinct(), ["doc_id", "item"], "left_semi"))
-    link = L.link_f1(gold, predicted, t.systems).groupBy("system_id").agg((F.sum(F.col("link_f1") * F.col("n_gold")) / F.sum("n_gold")).alias("link"))
-    return arg.join(link, "system_id").select("system_id", "arg", "link", (0.5 * F.col("arg") + 0.5 * F.col("link")).alias("overall"))
+    assessed = A.canonicalised(t.assessments.filter("is_assessed").withColumn("right", is_correct()), t.canonical)
+    right = judged_classes(t).filter("right").select("response_id", "item")
+    return P.score_2015(A.canonicalised(t.responses, t.canonical), assessed, t.linking, lifted(t)[0], right, CLASS)
 
 
 @query("jn9_linking_projection", f"{LIFT}, oc AS (SELECT * FROM cls WHERE response_id LIKE '%1' OR response_id LIKE '%2' OR response_id LIKE '%3'), li AS (SELECT DISTINCT doc_id, item FROM oc WHERE realis <> 'Generic') SELECT DISTINCT doc_id, frame_id, response_id FROM glift JOIN oc USING (doc_id, item) UNION ALL SELECT doc_id, 'INCOMPLETE', item FROM li WHERE (doc_id, item) NOT IN (SELECT doc_id, item FROM glift)")

@@ -6,10 +6,11 @@ one document, so that is small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framescore.functions.scalars import kb_unescape, parse_span, parse_spans
+from framescore.operators.invariants import required
 
 UNANNOTATED = "UNANNOTATED"
 
@@ -74,10 +75,11 @@ def strictness(key: DataFrame) -> DataFrame:
     return key.filter("is_assessed").select("*", F.explode(rules).alias("rule"))
 
 
-def recovered(key: DataFrame) -> DataFrame:
+def recovered(key: DataFrame, counts: Observation | None = None) -> DataFrame:
     """The key with broken rows mended: fields that may not be there are nulled, and a row that lacks one becomes
     unassessed, without any field. An acceptable CAS without a cluster gets one of its own, named by what it is, where the
-    key has coref_id. `repair` names what was done to the fields, or is null."""
+    key has coref_id. `repair` names what was done to the fields, or is null. counts gets, in the same pass, how often each
+    was done: `made_unassessed`, `fields_removed`, and `singletons` where the key has coref_id."""
     good = lambda c: F.coalesce(F.col(c) != "W", F.lit(False))
     rest = ["cas_ok", "bf_ok", "a_realis", "mention_type"]
     full = good("aet") & good("aer")
@@ -94,8 +96,12 @@ def recovered(key: DataFrame) -> DataFrame:
     d = d.withColumn("is_assessed", F.col("is_assessed") & ~gone)
     if "coref_id" in d.columns:
         own = F.concat(F.lit("s"), F.md5(F.concat_ws("|", "doc_id", "cas", "cas_start", "cas_end")))
-        d = d.withColumn("coref_id", F.when(F.col("coref_id").isNull() & F.coalesce(F.col("cas_ok") != "W", F.lit(False)), own).otherwise(F.col("coref_id")))
-    return d
+        alone = F.col("coref_id").isNull() & F.coalesce(F.col("cas_ok") != "W", F.lit(False))
+        d = d.withColumn("_alone", alone).withColumn("coref_id", F.when(F.col("_alone"), own).otherwise(F.col("coref_id")))
+    if counts is not None:
+        done = [F.count_if(F.col("repair") == r).alias(r.replace(" ", "_")) for r in ("made unassessed", "fields removed")]
+        d = d.observe(counts, *done, *[F.count_if("_alone").alias("singletons")] * ("_alone" in d.columns))
+    return d.drop("_alone")
 
 
 def repair_counts(mended: DataFrame) -> DataFrame:
@@ -103,12 +109,23 @@ def repair_counts(mended: DataFrame) -> DataFrame:
     return mended.filter("repair IS NOT NULL").groupBy("repair").agg(F.count(F.lit(1)).alias("n"))
 
 
-def linking_2015(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(frames, incomplete): a line a frame, numbered in order; INCOMPLETE begins the line of unlinked responses."""
+def linking_2015(lines: DataFrame, responses: DataFrame | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(frames, incomplete): a line a frame, numbered in order; INCOMPLETE begins the line of unlinked responses. With
+    responses (response_id), either table fails when read where a line names an unknown one (strict), or is without it."""
     d = lines.filter("trim(line) <> ''").withColumn("ids", F.filter(F.split("line", r"[\t ]+"), lambda x: x != ""))
     first = F.get("ids", F.lit(0)) == "INCOMPLETE"
     frames = d.filter(~first).select("path", F.col("line_no").cast("string").alias("frame_id"), F.explode("ids").alias("response_id"))
-    return frames, d.filter(first).select("path", F.explode(F.slice("ids", 2, 1 << 30)).alias("response_id"))
+    incomplete = d.filter(first).select("path", F.explode(F.slice("ids", 2, 1 << 30)).alias("response_id"))
+    if responses is None:
+        return frames, incomplete
+    known = responses.select("response_id").distinct().withColumn("_known", F.lit("y"))
+
+    def checked(d: DataFrame) -> DataFrame:
+        if not strict:
+            return d.join(known, "response_id", "left_semi").select(*d.columns)
+        return d.join(known, "response_id", "left").filter(required(F.col("_known"), "every linked id is a response", "path", "response_id") == "y").select(*d.columns)
+
+    return checked(frames), checked(incomplete)
 
 
 def linking_2016(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
