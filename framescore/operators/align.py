@@ -76,6 +76,26 @@ def cells(alignment: DataFrame, by: list[str | Column]) -> DataFrame:
     return alignment.groupBy(*by).agg(count("TP").alias("tp"), count("FP", "unassessed").alias("fp"), count("FN").alias("fn"))
 
 
+def counted(responses: DataFrame, assessed: DataFrame, correct: DataFrame | Column, keys: list[str], by: list[str], systems: DataFrame | None = None) -> DataFrame:
+    """(system_id, *by, tp, fp, fn): the sums of `cells` over `align`, without a row for each class and system.
+
+    by: some of the keys. What a submission missed is the number of the key's correct classes less those that it found
+    right or answered with an unassessed response; no class is paired with a submission. Groups without a cell have no
+    row. assessed is read twice, so it is best a written table; systems: (system_id), else those of the responses.
+    """
+    best = best_response(responses, ["system_id", *keys]).select("system_id", *keys, "response_id")
+    judged = flagged(assessed, correct)
+    known = judged.select("response_id", F.col("right").alias("_right"))
+    classes = key_classes(judged, keys).filter("class_correct").drop("class_correct")
+    own = best.join(known, "response_id", "left").join(classes.withColumn("_wanted", F.lit(True)), keys, "left")
+    right, unknown = F.coalesce("_right", F.lit(False)), F.col("_right").isNull() & F.col("_wanted").isNotNull()
+    count = lambda c: F.sum(c.cast("long"))
+    found = own.groupBy("system_id", *by).agg(count(right).alias("tp"), count(~right).alias("fp"), count(right | unknown).alias("_met"))
+    wanted = classes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).crossJoin(responses.select("system_id").distinct() if systems is None else systems)
+    both = wanted.join(found, ["system_id", *by], "full").na.fill(0, ["tp", "fp", "_met", "_n"])
+    return both.select("system_id", *by, "tp", "fp", (F.col("_n") - F.col("_met")).alias("fn")).filter("tp + fp + fn > 0")
+
+
 def exact_match(key: DataFrame, test: DataFrame, on: list[str]) -> DataFrame:
     """(*on, cell) of two sets of rows under full equality."""
     left = key.select(*on).distinct().withColumn("_k", F.lit(1))

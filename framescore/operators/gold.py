@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from framescore.functions.scalars import contains, gold_realis, less_specific_times
 
+from .stages import written
+
 #: Order of mention types from weak to strong.
 STRENGTH = {"PRO": 0, "NOM": 1, "NAM": 2}
 KINDS = ("Pronoun", "Nominal", "Name")
@@ -90,36 +92,44 @@ def roles_played(arguments: DataFrame, ontology: DataFrame) -> DataFrame:
     return d.select("doc_id", F.col("filler_id").isNotNull().alias("is_filler"), F.coalesce("filler_id", "entity_id").alias("object_id"), "event_type", "role").distinct()
 
 
-def match_entities(responses: DataFrame, found: DataFrame, plays: DataFrame, heads: DataFrame, keep: list[str]) -> DataFrame:
-    """(*keep, rule, kind, object_id): each response with its best candidate: the smallest rule that fits any, then
-    candidates that play the response's type and role somewhere in the document, then candidate order.
+#: What a response's match depends on; responses of all systems that share it are matched once.
+MATCH = ["doc_id", "event_type", "role", "cas_start", "cas_end"]
+
+
+def match_spans(responses: DataFrame, found: DataFrame, plays: DataFrame, heads: DataFrame) -> DataFrame:
+    """(*MATCH, rule, kind, object_id): the best candidate of each distinct MATCH of the responses: the smallest rule that
+    fits any, then candidates that play the response's type and role somewhere in the document, then candidate order.
 
     Rules: the response's CAS equals the candidate's extent (1), its declared head or else its extent (2), the computed
     head of that (3); the computed head of the CAS equals the same three (4, 5, 6); the extent contains the CAS, and
     either the CAS contains both heads or the extent does (7). Rules 1 to 6 are one join on the spans themselves; only
     the responses that they leave are looked for by containment, in bins of the document.
-
-    responses: *keep, doc_id, event_type, role, cas_start, cas_end.
     """
-    r = with_heads(responses, heads, "cas_start", "cas_end", "r_head_start", "r_head_end")
+    r = with_heads(responses.select(*MATCH).distinct(), heads, "cas_start", "cas_end", "r_head_start", "r_head_end")
     c = found.withColumns({"d_start": F.coalesce("head_start", "ext_start"), "d_end": F.coalesce("head_end", "ext_end")})
     c = with_heads(c.drop("head_start", "head_end"), heads, "d_start", "d_end", "c_start", "c_end")
     span = lambda n, s, e: F.struct(F.lit(n).alias("n"), F.col(s).alias("start"), F.col(e).alias("end"))
-    own = r.select(*keep, "doc_id", "event_type", "role", F.inline(F.array(span(0, "cas_start", "cas_end"), span(3, "r_head_start", "r_head_end")))).withColumnRenamed("n", "of_response")
+    own = r.select(*MATCH, F.inline(F.array(span(0, "cas_start", "cas_end"), span(3, "r_head_start", "r_head_end")))).withColumnRenamed("n", "of_response")
     other = c.select("doc_id", "kind", "object_id", "ordinal", F.inline(F.array(span(1, "ext_start", "ext_end"), span(2, "d_start", "d_end"), span(3, "c_start", "c_end"))))
     equal = own.join(other, ["doc_id", "start", "end"]).withColumn("rule", F.col("of_response") + F.col("n"))
-    names = [*keep, "doc_id", "event_type", "role", "kind", "object_id", "ordinal", "rule"]
-    by_span = _first(equal.select(*names), plays, keep)
+    names = [*MATCH, "kind", "object_id", "ordinal", "rule"]
+    by_span = written(_first(equal.select(*names), plays, MATCH))  # read twice
 
-    left = r.join(by_span.select(*keep), keep, "left_anti").withColumn("bin", F.floor(F.col("cas_start") / BIN))
+    left = r.join(by_span.select(*MATCH), MATCH, "left_anti").withColumn("bin", F.floor(F.col("cas_start") / BIN))
     wide = c.withColumn("bin", F.explode(F.sequence(F.floor(F.col("ext_start") / BIN), F.floor(F.col("ext_end") / BIN))))
     cas, ext, head, computed = ("cas_start", "cas_end"), ("ext_start", "ext_end"), ("d_start", "d_end"), ("r_head_start", "r_head_end")
     inside = lambda a, b: contains(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))
     held = inside(ext, cas) & ((inside(cas, head) & inside(cas, computed)) | (inside(ext, computed) & inside(ext, head)))
-    by_containment = _first(left.join(wide, ["doc_id", "bin"]).filter(held).withColumn("rule", F.lit(7)).select(*names), plays, keep)
+    by_containment = _first(left.join(wide, ["doc_id", "bin"]).filter(held).withColumn("rule", F.lit(7)).select(*names), plays, MATCH)
     return by_span.unionByName(by_containment)
 
 
+def match_entities(responses: DataFrame, found: DataFrame, plays: DataFrame, heads: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, rule, kind, object_id) of every response that match_spans matches. responses: *keep, *MATCH."""
+    own = responses.select(*keep, *[c for c in MATCH if c not in keep])
+    return own.join(match_spans(responses, found, plays, heads), MATCH).select(*keep, "rule", "kind", "object_id")
+
+
 def _first(pairs: DataFrame, plays: DataFrame, keep: list[str]) -> DataFrame:
     p = plays.withColumn("_p", F.lit(1))
     pairs = pairs.withColumn("is_filler", F.col("kind") == "Filler").join(p, ["doc_id", "is_filler", "object_id", "event_type", "role"], "left")
@@ -193,3 +203,31 @@ def linkable(gold_frames: DataFrame, system_frames: DataFrame, neutral: bool = F
 
     gold = framed(gold_frames)
     return gold, framed(system_frames).join(gold.select("system_id", "doc_id", "item").distinct(), ["system_id", "doc_id", "item"], "left_semi")
+
+
+def document_counts(gold: DataFrame, system: DataFrame, vague: DataFrame, systems: DataFrame) -> DataFrame:
+    """(mode, system_id, doc_id, tp, fp, fn) of document-level arguments with realis and without, in one pass.
+
+    gold: ARG of every document, once for all systems; system: (system_id, ARG); vague: (system_id, ARG) that count on
+    neither side, all of role Time. Each side is reduced to one row for an argument with the set of its realises, which
+    serves both modes. Only gold's times differ between systems and are paired with them; of the rest, what a system
+    missed is the number of gold's arguments less those that it found.
+    """
+    item = ["doc_id", "event_type", "role", "coref_id"]
+    own, time = ["system_id", *item], F.col("role") == "Time"
+    realises = lambda d, by, name: d.groupBy(*by).agg(F.collect_set("realis").alias(name))
+    found = realises(system.join(vague, [*own, "realis"], "left_anti"), own, "_s")
+    alike = realises(gold.filter(~time), item, "_g")
+    times = gold.filter(time).select(*ARG).distinct().crossJoin(systems).join(vague, [*own, "realis"], "left_anti")
+    times = realises(times, own, "_g")
+    met = found.filter(~time).join(alike, item, "left").unionByName(found.filter(time).join(times, own, "left"))
+    hits = F.coalesce(F.size(F.array_intersect("_s", "_g")), F.lit(0))
+    total = lambda c: F.sum(c).cast("long")
+    by = ["system_id", "doc_id"]
+    predicted = met.groupBy(*by).agg(total(hits).alias("tw"), total(F.size("_s")).alias("sw"), total(F.col("_g").isNotNull().cast("int")).alias("tn"), F.count(F.lit(1)).alias("sn"))
+    sizes = lambda a, b: [total(F.size("_g")).alias(a), F.count(F.lit(1)).alias(b)]
+    wanted = alike.groupBy("doc_id").agg(*sizes("gw", "gn")).crossJoin(systems).join(times.groupBy(*by).agg(*sizes("hw", "hn")), by, "full")
+    both = wanted.join(predicted, by, "full").na.fill(0)
+    cells = lambda mode, g, h, s, t: F.struct(F.lit(mode).alias("mode"), F.col(t).alias("tp"), (F.col(s) - F.col(t)).alias("fp"), (F.col(g) + F.col(h) - F.col(t)).alias("fn"))
+    modes = F.array(cells("withRealis", "gw", "hw", "sw", "tw"), cells("noRealis", "gn", "hn", "sn", "tn"))
+    return both.select(*by, F.inline(modes)).filter("tp + fp + fn > 0").select("mode", *by, "tp", "fp", "fn")

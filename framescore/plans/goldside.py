@@ -115,20 +115,38 @@ class Gold:
         self.plays = G.roles_played(self.arguments, self.ontology)
         self.candidates = G.candidates(self.mentions, self.fillers)
         self.own = written(t.responses.select("system_id", "doc_id", "response_id", "event_type", "role", "realis", "cas", "cas_start", "cas_end"))
-        self.matched = G.match_entities(self.own, self.candidates, self.plays, self.heads, self.keep)
-        self.sargs = G.response_coref(self.own, self.matched, self.keep)
         self.gargs = G.gold_arguments(self.arguments, self.mentions, self.fillers, self.ontology, self.quotes)
 
+    @functools.cached_property
+    def spans(self):
+        return G.match_spans(self.own, self.candidates, self.plays, self.heads)
+
+    @functools.cached_property
+    def matched(self):
+        return self.own.select(*self.keep, *G.MATCH).join(self.spans, G.MATCH).select(*self.keep, "rule", "kind", "object_id")
+
+    @functools.cached_property
+    def sargs(self):
+        return G.response_coref(self.own, self.spans, G.MATCH)
+
+    @functools.cached_property
+    def scope(self):
+        """(gold, system, vague): both sides' rows in scope, gold's once for all systems, and times that do not count."""
+        types = self.t.spark.createDataFrame([(x,) for x in TYPES], "event_type string")
+        gold = written(G.in_scope(self.gargs, types, ["Place"]))
+        system = written(G.without_implied_injuries(G.in_scope(self.sargs, types, ["Place"]), gold, ARG).select("system_id", "response_id", *ARG))
+        gold = G.without_implied_injuries(gold, gold, ARG)
+        return gold, system, G.vague_times(gold, system)
+
     @functools.cached_property
     def sides(self):
         """Rows of the document-level scorer: gold ones (with hopper_id) for each system, the system's (with response_id)."""
-        types = self.t.spark.createDataFrame([(x,) for x in TYPES], "event_type string")
-        gold, system = G.in_scope(self.gargs, types, ["Place"]), G.in_scope(self.sargs, types, ["Place"])
-        gold = written(G.without_implied_injuries(gold, gold, ARG))
-        system = written(G.without_implied_injuries(system, G.in_scope(self.gargs, types, ["Place"]), ARG))
-        vague = G.vague_times(gold, system)
+        gold, system, vague = self.scope
         return written(gold.crossJoin(self.t.systems).join(vague, KEYED, "left_anti")), written(system.join(vague, KEYED, "left_anti"))
 
+    def document_counts(self):
+        return G.document_counts(*self.scope, self.t.systems)
+
     def scoped(self):
         gold, system = self.sides
         return gold.select(*KEYED).distinct(), system.select(*KEYED).distinct()
@@ -238,7 +256,7 @@ _LINEAR = "100 * sum(greatest(tp - 0.25e0 * fp, 0)) / greatest(sum(tp + fn), 1)
 )
 def sco5(t):
     """Arguments with realis and without, over all documents."""
-    c = A.cells(_both_modes(t), ["mode", "system_id", "doc_id"])
+    c = gold(t).document_counts()
     return S.with_f(S.linear_score_2016(c, by=["mode", "system_id"], counts=True))
 
 
@@ -268,7 +286,7 @@ def sco5_breakdowns(t):
     f"""{GOLD}, doc_counts AS (SELECT mode, system_id, doc_id, {COUNTS} FROM dboth GROUP BY ALL){DRAWN} SELECT sample, mode, system_id, 100 * sum(times * greatest(tp - 0.25e0 * fp, 0)) / greatest(sum(times * (tp + fn)), 1) AS linear FROM doc_counts JOIN drawn USING (doc_id) GROUP BY ALL""",
 )
 def sco5_bootstrap(t):
-    counts = written(A.cells(_both_modes(t), ["mode", "system_id", "doc_id"]))
+    counts = written(gold(t).document_counts())
     w = lambda c: F.sum(F.col("times") * c)
     linear = 100 * w(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0))) / F.greatest(w(F.col("tp") + F.col("fn")), F.lit(1))
     return S.bootstrapped(counts, S.drawn_samples(counts.select("doc_id").distinct(), "doc_id", SAMPLES), "doc_id", ["mode", "system_id"], {"linear": linear})

@@ -34,8 +34,19 @@ def _aligned(t):
     return A.align(responses, assessed, is_correct(), CLASS)
 
 
+@once
+def _judged(t):
+    """The key's assessed rows with their classes and whether they are right, written."""
+    assessed = A.canonicalised(t.assessments.filter("is_assessed").withColumn("right", is_correct()), t.canonical)
+    return written(assessed.select("response_id", "right", *CLASS))
+
+
+def counts_by(t, by: list[str]):
+    return A.counted(A.canonicalised(t.responses, t.canonical), _judged(t), F.col("right"), CLASS, by, t.systems)
+
+
 def doc_counts(t):
-    return A.cells(_aligned(t), ["system_id", "doc_id"])
+    return counts_by(t, ["doc_id"])
 
 
 @query("sco1_trfr_alignment", f"{ALIGN} SELECT system_id, {K}, cell FROM aligned")
@@ -70,7 +81,7 @@ def ag2(t):
 
 @query("ag3_precision_recall_f", f"{ALIGN}, c AS (SELECT system_id, event_type, {COUNTS} FROM aligned GROUP BY ALL) SELECT *, {PRF} FROM c")
 def ag3(t):
-    return S.with_f(A.cells(_aligned(t), ["system_id", "event_type"])).orderBy(F.desc(F.col("fp") + F.col("fn")))
+    return S.with_f(counts_by(t, ["event_type"])).orderBy(F.desc(F.col("fp") + F.col("fn")))
 
 
 _GROUP = "CASE WHEN event_type LIKE 'Life%' THEN 'Life' WHEN event_type LIKE 'Contact%' THEN 'Contact' ELSE 'Other' END"
@@ -110,7 +121,7 @@ def ag6d(t):
     f"{ALIGN}, c AS (SELECT system_id, event_type, doc_id, {COUNTS} FROM aligned GROUP BY ALL) SELECT system_id, event_type, 100 * sum(greatest(tp - 0.25e0 * fp, 0)) / sum(tp + fn) AS score FROM c GROUP BY ALL",
 )
 def ag11(t):
-    c = A.cells(_aligned(t), ["system_id", "event_type", "doc_id"])
+    c = counts_by(t, ["event_type", "doc_id"])
     gained = F.sum(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0)))
     return c.groupBy("system_id", "event_type").agg((100 * gained / F.sum(F.col("tp") + F.col("fn"))).alias("score"))
 
@@ -122,7 +133,7 @@ def ag11(t):
     2 * (a + fn) / (2 * (a + fn) + b - fp + s.c - fn) - 2 * a / (2 * a + b + s.c) AS perfect_both FROM c JOIN s USING (system_id)""",
 )
 def ag28(t):
-    return S.what_if(A.cells(_aligned(t), ["system_id", F.col("event_type").alias("key")]))
+    return S.what_if(counts_by(t, ["event_type"]).withColumnRenamed("event_type", "key"))
 
 
 #: As many as the reference's document-level and corpus-level scorers take.

@@ -19,7 +19,7 @@ from .identity import SQL_OLD
 from .links import LIFT, lifted
 from .registry import query
 from .rewrites import _OK
-from .scoring import ALIGN, COUNTS, DRAWN, DRAWS, PRF, SAMPLES, _aligned, _boot, doc_counts
+from .scoring import ALIGN, COUNTS, DRAWN, DRAWS, PRF, SAMPLES, _aligned, _boot, counts_by, doc_counts
 from .storage import _FOUND, _LONG, PAIRS, _found, ag21
 from .tables import CLASS, RESPONSE, SQL_ID, is_correct
 
@@ -54,7 +54,7 @@ def ag15(t):
     SELECT * FROM {nist_sql('(SELECT * FROM tb WHERE score IS NOT NULL)', 'system_id, event_type', 'score', POINTS)}""",
 )
 def ag15_by_type(t):
-    counts = written(A.cells(_aligned(t), ["system_id", "event_type", "doc_id"]))
+    counts = written(counts_by(t, ["event_type", "doc_id"]))
     w = lambda c: F.sum(F.col("times") * c)
     drawn = S.drawn_samples(counts.select("doc_id").distinct(), "doc_id", SAMPLES)
     score = 100 * w(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0))) / F.nullif(w(F.col("tp") + F.col("fn")), F.lit(0).cast("long"))

@@ -164,3 +164,45 @@ def test_renamed_documents(spark):
     d = spark.createDataFrame([("D1", "x"), ("D2", "y")], "doc_id string, cas string")
     names = spark.createDataFrame([("D1", "N1")], "doc_id string, new_id string")
     assert {tuple(r) for r in ST.renamed_documents(d, names).collect()} == {("N1", "x"), ("D2", "y")}
+
+
+def test_document_counts_by_difference(spark):
+    """Both modes from one pass, against cells of a full comparison; a time that is vague for one system only."""
+    import random
+
+    r = random.Random(7)
+    draw = lambda: (r.choice("dD"), r.choice("ABC"), r.choice(["Agent", "Time"]), r.choice(["Actual", "Other"]), r.choice("xyz"))
+    cols = ", ".join(f"{c} string" for c in G.ARG)
+    for _ in range(3):
+        gold, system, vague = {draw() for _ in range(25)}, {(r.choice("st"), *draw()) for _ in range(40)}, {(r.choice("st"), *draw()) for _ in range(12)}
+        vague = {v for v in vague if v[3] == "Time"}
+        d = lambda rows, more="": spark.createDataFrame(sorted(rows), f"{more}{cols}")
+        got = G.document_counts(d(gold), d(system, "system_id string, "), d(vague, "system_id string, "), spark.createDataFrame([("s",), ("t",), ("u",)], "system_id string"))
+        want = {}
+        for s in "stu":
+            g, p = {x for x in gold if (s, *x) not in vague}, {x[1:] for x in system if x[0] == s and x not in vague}
+            for mode, cut in (("withRealis", lambda x: x), ("noRealis", lambda x: (*x[:3], x[4]))):
+                a, b = set(map(cut, g)), set(map(cut, p))
+                for doc in "dD":
+                    cells = tuple(len({x for x in k if x[0] == doc}) for k in (a & b, b - a, a - b))
+                    if sum(cells):
+                        want[mode, s, doc] = cells
+        assert {(x.mode, x.system_id, x.doc_id): (x.tp, x.fp, x.fn) for x in got.collect()} == want
+
+
+def test_counted_equals_cells_of_the_alignment(spark):
+    import random
+
+    from framescore.operators import align as A
+
+    r = random.Random(3)
+    of = {k: (r.choice("de"), r.choice("abcdef")) for k in range(60)}  # a response's class is its own
+    rows = [(s, f"r{k}", *of[k], r.random()) for k in range(60) for s in "st" if r.random() < 0.6]
+    base = spark.createDataFrame(rows, "system_id string, response_id string, doc_id string, k string, confidence double")
+    full = base.withColumns({c: F.lit(0) for c in ("cas_start", "cas_end", "bf_start", "bf_end")} | {c: F.lit("Actual") for c in ("event_type", "role", "realis", "cas")} | {c: F.array().cast("array<struct<start:int,end:int>>") for c in ("pj", "aaj")})
+    judged = {i: (d, k, r.random() < 0.5) for _, i, d, k, _ in rows if r.random() < 0.7} | {f"only{n}": (r.choice("de"), r.choice("abcdefg"), True) for n in range(4)}
+    assessed = spark.createDataFrame([(i, *x) for i, x in judged.items()], "response_id string, doc_id string, k string, right boolean")
+    for by in (["doc_id"], ["doc_id", "k"], []):
+        want = A.cells(A.align(full, assessed, F.col("right"), ["doc_id", "k"]), ["system_id", *by])
+        got = A.counted(full, assessed, F.col("right"), ["doc_id", "k"], by)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
