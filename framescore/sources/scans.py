@@ -142,11 +142,12 @@ def unknown_ids(frames: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def corpus_linking(lines: DataFrame) -> DataFrame:
-    """(corpus_frame_id, doc_id, frame_id); a reference splits at its last dash."""
+    """(corpus_frame_id, doc_id, frame_id), after system_id where lines have it; a reference splits at its last dash."""
     d = lines.filter("trim(line) <> ''").withColumn("f", F.split("line", "\t"))
-    refs = d.select(_field(0).alias("corpus_frame_id"), F.explode(F.split(_field(1), " +")).alias("ref")).filter("ref <> ''")
+    own = ["system_id"] if "system_id" in lines.columns else []
+    refs = d.select(*own, _field(0).alias("corpus_frame_id"), F.explode(F.split(_field(1), " +")).alias("ref")).filter("ref <> ''")
     part = lambda n: F.regexp_extract("ref", "^(.*)-([^-]*)$", n)
-    return refs.select("corpus_frame_id", part(1).alias("doc_id"), part(2).alias("frame_id"))
+    return refs.select(*own, "corpus_frame_id", part(1).alias("doc_id"), part(2).alias("frame_id"))
 
 
 def queries(lines: DataFrame) -> DataFrame:

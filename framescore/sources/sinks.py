@@ -49,6 +49,13 @@ def linking_file(frames: DataFrame, incomplete: DataFrame, layout: str = "2016")
     return d.select(*keys, (F.row_number().over(at) - 1).alias("line_no"), "line")
 
 
+def corpus_linking_file(corpus: DataFrame) -> DataFrame:
+    """(system_id, line_no, line) of corpus-linking files: a frame's id, tab, its references apart by blanks; by id."""
+    refs = F.concat_ws("-", "doc_id", "frame_id")
+    lines = corpus.groupBy("system_id", "corpus_frame_id").agg(F.concat_ws("\t", F.col("corpus_frame_id"), F.array_join(F.array_sort(F.collect_set(refs)), " ")).alias("line"))
+    return lines.select("system_id", (F.row_number().over(Window.partitionBy("system_id").orderBy("corpus_frame_id")) - 1).alias("line_no"), "line")
+
+
 def query_store_file(responses: DataFrame) -> DataFrame:
     """(line_no, line) of the one query-response file: query_id, doc_id, systems, pj, assessment or null, metadata or null;
     by query, document and justifications, a shorter list before a longer one that begins like it."""
