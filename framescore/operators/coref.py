@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,24 +23,35 @@ def first_id(coref: DataFrame, on: list[str], order: str) -> DataFrame:
     return coref.filter("coref_id IS NOT NULL").groupBy(*on).agg(F.min_by("coref_id", order).alias("coref_id"))
 
 
-def merge(baseline: DataFrame, additional: DataFrame) -> DataFrame:
-    """(doc_id, cas, coref_id): baseline ids stay; each further CAS, in order, joins the cluster that holds most of its
-    clustermates so far (ties: the smaller id), else a new one. Order matters, so each document is one small group."""
-    both = baseline.select("doc_id", "cas", "coref_id", F.lit(0).alias("side")).unionByName(additional.select("doc_id", "cas", "coref_id", F.lit(1).alias("side")))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = {r.cas: r.coref_id for r in frame[frame.side == 0].itertuples() if r.coref_id is not None}
-        new = frame[(frame.side == 1) & frame.coref_id.notna()].sort_values("cas")
-        mates = new.groupby("coref_id")["cas"].apply(list).to_dict()
-        fresh = 0
-        for r in new.itertuples():
-            if r.cas not in ids:
-                votes = pd.Series([ids[m] for m in mates[r.coref_id] if m in ids], dtype=object).value_counts()
-                if len(votes):
-                    ids[r.cas] = min(votes[votes == votes.max()].index)
-                else:
-                    ids[r.cas] = f"new{fresh}"
-                    fresh += 1
-        return pd.DataFrame({"doc_id": frame.doc_id.iloc[0], "cas": list(ids), "coref_id": list(ids.values())})
-
-    return both.groupBy("doc_id").applyInPandas(run, "doc_id string, cas string, coref_id string")
+def merge(baseline: DataFrame, additional: DataFrame, on: tuple[str, ...] = ("cas",)) -> DataFrame:
+    """(doc_id, *on, coref_id): baseline ids stay; each further CAS joins the cluster that holds most of its clustermates
+    (ties: the smaller id), else a new one, `new0`, `new1` and so on in the order of their first CASes, beyond any such id
+    of the baseline's document. CASes without a cluster on either side have none.
+
+    The CASes of a cluster that the baseline lacks all see the same clustermates, and the first to join only adds to its
+    own side; so a cluster decides once, and no order has to be walked through. A CAS in several further clusters
+    belongs to the first.
+    """
+    key = ["doc_id", *on]
+    base = baseline.select(*key, "coref_id").filter("coref_id IS NOT NULL").groupBy(*key).agg(F.min("coref_id").alias("_b"))
+    more = additional.select(*key, "coref_id").filter("coref_id IS NOT NULL").groupBy(*key).agg(F.min("coref_id").alias("_c"))
+    both = more.join(base, key, "left")
+    votes = both.filter("_b IS NOT NULL").groupBy("doc_id", "_c", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = votes.groupBy("doc_id", "_c").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_b").alias("b"))).alias("_x")).select("doc_id", "_c", F.col("_x.b").alias("_to"))
+    new = both.filter("_b IS NULL")
+    fresh = new.join(chosen, ["doc_id", "_c"], "left_anti").groupBy("doc_id", "_c").agg(F.min(F.struct(*on)).alias("_f"))
+    used = base.groupBy("doc_id").agg(F.max(F.regexp_extract("_b", "^new([0-9]{1,17})$", 1).try_cast("long")).alias("_u"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_f")) + F.coalesce("_u", F.lit(-1))
+    fresh = fresh.join(used, "doc_id", "left").select("doc_id", "_c", F.concat(F.lit("new"), place.cast("string")).alias("_to"))
+    joined = new.join(chosen.unionByName(fresh), ["doc_id", "_c"]).select(*key, F.col("_to").alias("coref_id"))
+    found = base.withColumnRenamed("_b", "coref_id").unionByName(joined)
+    all_ = baseline.select(*key).union(additional.select(*key)).distinct()
+    return all_.join(found, key, "left")
+
+
+def registered(coref: DataFrame, key: DataFrame, on: tuple[str, ...] = ("cas", "cas_start", "cas_end")) -> DataFrame:
+    """coref with a cluster of its own, as `singletons` names it, for each CAS of an assessed row of the key that coref does
+    not know; CASes that it knows without a cluster stay so."""
+    cas = ["doc_id", *on]
+    new = key.filter("is_assessed").select(*cas).distinct().join(coref.select(*cas), cas, "left_anti")
+    return coref.select(*cas, "coref_id").unionByName(singletons(new.withColumn("coref_id", F.lit(None).cast("string"))).select(*cas, "coref_id"))

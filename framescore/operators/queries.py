@@ -107,7 +107,15 @@ def collapsed(frames: DataFrame, linking: DataFrame, responses: DataFrame) -> Da
     return d.groupBy("system_id", "query_id", "doc_id").agg(F.array_sort(F.collect_set("p")).alias("pj"))
 
 
-#: Roles and event types of derived entry points.
+def extracted(matches: DataFrame, linking: DataFrame, corpus_linking: DataFrame, responses: DataFrame, documents: int, seed: int = 0) -> DataFrame:
+    """(system_id, query_id, doc_id, pj, assessment): query responses for assessment: the frames of matching responses and
+    of their corpus frames, a seeded sample of so many documents of each system and query, one response a document with
+    all its frames' justifications, none assessed yet."""
+    frames = capped(execute(matches, linking, corpus_linking), documents, seed)
+    return collapsed(frames, linking, responses).withColumn("assessment", F.lit("UNASSESSED"))
+
+
+#: Roles and event types of derived entry points.
 ENTRY_ROLES = ("Agent", "Artifact", "Attacker", "Audience", "Beneficiary", "Crime", "Destination", "Entity", "Giver", "Instrument", "Money", "Origin", "Person", "Place", "Recipient", "Target", "Thing", "Time", "Victim")
 BANNED_EVENTS = ("Transaction.Transaction", "Contact.Contact", "Contact.Broadcast")
 

@@ -116,6 +116,25 @@ def overlap_partition(found: DataFrame, human: DataFrame, prefix: int) -> DataFr
     )
 
 
+def recall_pivot(key: DataFrame, found: DataFrame, on: list[str], systems: list[str] | None = None) -> DataFrame:
+    """(*on, a_realis, cases, and for each system its realises or N, and <system>_cas, its strings): what each submission
+    made of every correct class.
+
+    key: (*on, a_realis, cas) of correct responses; found: (system_id, *on, realis, cas). A class of several assessed
+    realises has a row for each. Realises and strings are sorted sets, joined by commas and by bars. systems: the columns,
+    in order; without them those of the data, which are collected: submissions are few.
+    """
+    if systems is None:
+        systems = sorted(r.system_id for r in found.select("system_id").distinct().collect())
+    joined = lambda c, by: F.array_join(F.array_sort(F.collect_set(c)), by)
+    right = key.groupBy(*on, "a_realis").agg(joined("cas", "|").alias("cases"))
+    own = found.groupBy("system_id", *on).agg(joined("realis", ",").alias("r"), joined("cas", "|").alias("c"))
+    wide = own.groupBy(*on).pivot("system_id", systems).agg(F.first("r").alias("r"), F.first("c").alias("c"))
+    d = right.join(wide, on, "left")
+    cells = [c for s in systems for c in (F.coalesce(F.col(f"`{s}_r`"), F.lit("N")).alias(s), F.coalesce(F.col(f"`{s}_c`"), F.lit("")).alias(f"{s}_cas"))]
+    return d.select(*on, "a_realis", "cases", *cells)
+
+
 def leaderboards(scores: DataFrame, by: list[str], baseline: str, value: str) -> DataFrame:
     """(*by, system_id, value, rank, lead) of each group: by type, by role; lead over the baseline only where positive."""
     base = scores.filter(F.col("system_id") == baseline).select(*by, F.col(value).alias("_b"))

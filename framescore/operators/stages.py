@@ -5,20 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written in the folder of spark.checkpoint.dir and read back: what follows plans over one scan, computes nothing
-    again, and survives lost executors. Only on a local master may that setting be missing; a local folder is then made and
-    set. The files stay for the lazy results that read them; they are the session's, under stages-<application>."""
-    spark = df.sparkSession
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, under stages-<application>. Only on a local master may that setting
+    be missing; a local folder is then made and set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/stages-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/stages-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Deletes all that this application has written there; DataFrames that read it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_path(spark)).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written in the shared folder and read back: what follows plans over one scan, computes nothing again, and
+    survives lost executors. The files stay for the lazy results that read them, until `remove_stages`."""
+    path = stage_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

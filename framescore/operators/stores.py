@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framescore.functions import ident
 
+from . import coref
 from .invariants import enforced
 from .ranks import with_ordinal
 
@@ -60,6 +61,27 @@ def merge_assessments(baseline: DataFrame, additional: DataFrame) -> DataFrame:
     )
 
 
+CAS = ("cas", "cas_start", "cas_end")
+
+
+def merge_stores(baseline: DataFrame, additional: DataFrame, own: DataFrame, other: DataFrame, fields: list[str]) -> DataFrame:
+    """(doc_id, CAS, *fields, coref_id): merge_assessments with the clusters of both stores merged: the baseline's ids stay
+    and the other's CASes are carried into them. own, other: (doc_id, CAS, coref_id) of the two stores; fields hold
+    response_id and is_assessed."""
+    cas = ["doc_id", *CAS]
+    key = merge_assessments(baseline.select(*cas, *fields), additional.select(*cas, *fields))
+    return key.join(coref.merge(own, other, CAS), cas, "left").select(*cas, *fields, "coref_id")
+
+
+def fallback_store(key: DataFrame, fallback: DataFrame, own: DataFrame, other: DataFrame, fields: list[str]) -> DataFrame:
+    """(doc_id, CAS, *fields, coref_id): with_fallback, each CAS with its cluster in the key's store, else the fallback's."""
+    cas = ["doc_id", *CAS]
+    rows = with_fallback(key.select(*cas, *fields), fallback.select(*cas, *fields))
+    ids = lambda d, name: d.select(*cas, F.col("coref_id").alias(name))
+    d = rows.join(ids(own, "_own"), cas, "left").join(ids(other, "_other"), cas, "left")
+    return d.select(*cas, *fields, F.coalesce("_own", "_other").alias("coref_id"))
+
+
 def merge_query_responses(stores: DataFrame, keys: list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(merged, conflicts) of query responses: union of systems, and the one assessment that is given. strict: reading the
     merged rows fails where several are given; else the first in order holds."""

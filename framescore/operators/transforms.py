@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framescore.functions.scalars import is_temporal, is_timex, less_specific_times
 
+from .coref import registered
 from .filters import acceptable, correct_up_to_inexact
 
 
@@ -45,6 +46,20 @@ def map_key(key: DataFrame, mapping: DataFrame, deleted: DataFrame) -> DataFrame
     return d.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_rank", "_old", "new_id")
 
 
+def map_store(key: DataFrame, coref: DataFrame, mapping: DataFrame, deleted: DataFrame, replacements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, coref) under a mapping (response_id, new_id): rows take the content of their replacement, map_key decides
+    between rows that meet, and a CAS that is new to the store gets a cluster of its own where its row is assessed.
+
+    replacements: (response_id, doc_id, cas, cas_start, cas_end, and what else rows hold of a response) of each new_id.
+    """
+    mapped = map_key(key, mapping, deleted)
+    content = [c for c in replacements.columns if c != "response_id"]
+    there = replacements.select("response_id", *[F.col(c).alias(f"_r_{c}") for c in content], F.lit(True).alias("_r"))
+    d = mapped.join(there, "response_id", "left")
+    moved = d.select(*[F.when(F.col("_r"), F.col(f"_r_{c}")).otherwise(F.col(c)).alias(c) if c in content else F.col(c) for c in mapped.columns])
+    return moved, registered(coref, moved)
+
+
 def fix_lowercase_masks(rows: DataFrame) -> DataFrame:
     """Temporal CASes with lower-case masks get capital ones."""
     fixed = F.regexp_replace("cas", "x", "X")

@@ -138,6 +138,14 @@ def linking_invariants(frames: DataFrame, incomplete: DataFrame, responses: Data
     return out.unionByName(told(twice, "frame_id", "several frames of these members"))
 
 
+def query_invariants(entry_points: DataFrame, responses: DataFrame) -> DataFrame:
+    """(item, check): query ids that several hoppers share, and query responses whose system has no name. entry_points:
+    (query_id, doc_id, hopper_id); responses: (query_id, doc_id, system_id)."""
+    several = entry_points.select("query_id", "doc_id", "hopper_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blank = responses.filter("system_id IS NULL OR trim(system_id) = ''").select(F.concat_ws("/", "query_id", "doc_id").alias("item")).distinct()
+    return several.select(F.col("query_id").alias("item"), F.lit("query id of several hoppers").alias("check")).unionByName(blank.withColumn("check", F.lit("system without a name")))
+
+
 def at_most(found: DataFrame, n: int) -> DataFrame:
     """The first n violations of each check."""
     from pyspark.sql import Window

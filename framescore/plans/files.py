@@ -206,11 +206,11 @@ def sc11(t):
     return scans.quote_file(lines)
 
 
-_KB = """, kb0 AS (SELECT DISTINCT doc_id, hopper_id, ent, role, realis, lower(event_type) AS et, pj, cas, cas_start, cas_end FROM rows1 WHERE line < 3)"""
+_KB = """, kb0 AS (SELECT DISTINCT doc_id, hopper_id, ent, role, realis, lower(event_type) AS et, pj, cas, cas_start, cas_end FROM rows1)"""
 
 
 def _kb_lines(t):
-    d = t.rows.filter("line < 3").select("doc_id", "hopper_id", "ent", "role", "realis", F.lower("event_type").alias("et"), "cas", "cas_start", "cas_end").distinct()
+    d = t.rows.select("doc_id", "hopper_id", "ent", "role", "realis", F.lower("event_type").alias("et"), "cas", "cas_start", "cas_end").distinct()
     entity, event = F.concat(F.lit(":Entity_"), F.col("ent").cast("string")), F.concat(F.lit(":Event_"), "doc_id", "hopper_id")
     span = F.concat("doc_id", F.lit(":"), F.col("cas_start").cast("string"), F.lit("-"), (F.col("cas_end") + F.when(F.col("ent") == 3, 400).otherwise(0)).cast("string"))
     line = F.explode(

@@ -123,10 +123,19 @@ def cf1(t):
     return C.singletons(loose).select("doc_id", "cas", "cas_start", "cas_end", "coref_id")
 
 
-@query("cf2_merge_coref")
+@query(
+    "cf2_merge_coref",
+    """, base AS (SELECT DISTINCT doc_id, cas, coref_id AS b FROM coref WHERE cas_start % 75 <> 0), more AS (SELECT doc_id, cas, min('x' || (cas_start % 50) || coref_id[1:1]) AS c FROM coref GROUP BY ALL),
+    bb AS (SELECT doc_id, cas, min(b) AS b FROM base GROUP BY ALL), j AS (SELECT m.doc_id, m.cas, c, b FROM more m LEFT JOIN bb USING (doc_id, cas)),
+    v AS (SELECT doc_id, c, b AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY n DESC, b) AS rn FROM (SELECT doc_id, c, b, count(*) AS n FROM j WHERE b IS NOT NULL GROUP BY ALL)) WHERE rn = 1),
+    f AS (SELECT doc_id, c, 'new' || (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1) AS t FROM (SELECT doc_id, c, min(cas) AS first FROM j WHERE b IS NULL AND (doc_id, c) NOT IN (SELECT doc_id, c FROM v) GROUP BY ALL))
+    SELECT doc_id, cas, b AS coref_id FROM bb UNION ALL SELECT j.doc_id, j.cas, t FROM j JOIN (SELECT * FROM v UNION ALL SELECT * FROM f) USING (doc_id, c) WHERE b IS NULL""",
+)
 def cf2(t):
-    d = t.coref.filter("coref_id LIKE 'c%'").select("doc_id", "cas", "coref_id")
-    return C.merge(d.filter("length(cas) < 3"), d)
+    """Two annotators' clusters of every document: the second, who sees all CASes, clusters them differently."""
+    first = t.coref.filter("cas_start % 75 <> 0").select("doc_id", "cas", "coref_id").distinct()
+    second = t.coref.select("doc_id", "cas", F.concat(F.lit("x"), (F.col("cas_start") % 50).cast("string"), F.substring("coref_id", 1, 1)).alias("coref_id"))
+    return C.merge(first, second)
 
 
 @query("cf3_inconsistent_coref", "SELECT doc_id, cas, CAST(count(DISTINCT coref_id) AS BIGINT) AS ids FROM (SELECT doc_id, 'r' || (cas_start % 10) AS cas, coref_id FROM coref) GROUP BY ALL HAVING count(DISTINCT coref_id) > 1")

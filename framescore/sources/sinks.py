@@ -114,3 +114,16 @@ def kb_lines(assertions: DataFrame) -> DataFrame:
 def node_name(name: Column, seed: int, ordinal: Column, kind: str = "Entity") -> Column:
     """The node's name, or a seeded one."""
     return F.coalesce(name, F.concat(F.lit(f":{kind}_"), F.md5(F.concat(F.lit(f"{seed}|"), ordinal.cast("string")))))
+
+
+def scores_long(scores: DataFrame, metrics: list[str], by: str = "system_id") -> DataFrame:
+    """(by, metric, value) of a score table with a column for each metric."""
+    return scores.select(by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(by, metrics, "metric", "value")
+
+
+def write_scores(tables: dict[str, DataFrame], path: str) -> None:
+    """Score tables by name under path, each once as parquet and once as CSV with a header, in order of all its columns."""
+    for name, d in tables.items():
+        ordered = d.repartitionByRange(*d.columns).sortWithinPartitions(*d.columns)
+        ordered.write.parquet(f"{path}/{name}")
+        ordered.write.option("header", True).csv(f"{path}/{name}.csv")
