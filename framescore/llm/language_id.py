@@ -5,8 +5,9 @@ Each language has a variable-order context tree over bytes, with frozen counts:
 to a uniform choice of bytes. A text's exact code length under each tree decides. The trees' nodes are merged in one
 table of costs, so that a position needs two look-ups for all languages together.
 
-The merged table holds a row for each context and symbol that some language has seen, and a row of escape costs for each
-context, so it grows with the sample and not with contexts x bytes x languages.
+The merged table holds a row of costs, one for each language, for each context and symbol that some language has seen, a
+row of escape costs for each context, and a slot for each context and symbol. It grows with the languages' contexts
+times the languages and is broadcast: 5 MB for four languages, some 500 MB for sixteen; it is not meant for more.
 
 Fitted on a bounded sample: about SAMPLE_DOCS rows of each language, of each a window of SAMPLE_BYTES that begins where a
 hash says. Of each language's contexts of an order the MAX_NODES most frequent ones are kept; the others cost as in their
