@@ -16,7 +16,7 @@ def query_counts(found: DataFrame, correct: int) -> DataFrame:
     """
     gold = found.filter(F.col("a") == correct).select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     hits = found.filter("a > 0").groupBy("query_id", "system_id").agg(F.sum((F.col("a") == correct).cast("long")).alias("tp"), F.sum((F.col("a") != correct).cast("long")).alias("fp"))
-    all_ = found.select("query_id").distinct().crossJoin(F.broadcast(found.select("system_id").distinct()))
+    all_ = found.select("query_id").distinct().crossJoin(found.select("system_id").distinct())
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     d = all_.join(hits, ["query_id", "system_id"], "left").join(gold, "query_id", "left")
     return d.select("system_id", "query_id", zero("tp").alias("tp"), zero("fp").alias("fp"), (zero("n") - zero("tp")).alias("fn"))

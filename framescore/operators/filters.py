@@ -56,12 +56,16 @@ def valid_types_and_roles(rows: DataFrame, roles: DataFrame, always: list[str],
     types = roles.select("event_type").distinct()
     more = types.select("event_type", F.explode(F.array(*map(F.lit, always))).alias("role"))
     known = roles.select("event_type", "role").union(more).distinct()
-    return rows.join(F.broadcast(known), ["event_type", "role"], "left_semi" if keep else "left_anti")
+    return rows.join(known, ["event_type", "role"], "left_semi" if keep else "left_anti")
+
+
+#: Words that join several arguments in one string.
+CONJUNCTIONS = ("and", "or", "both", "And", "Or")
 
 
 def suspicious(key: DataFrame) -> DataFrame:
     """Correct responses that may be mistakes of assessment, with the reason."""
-    joins = F.arrays_overlap(F.split("cas", " "), F.array(*map(F.lit, ["and", "or", "both", "And", "Or"])))
+    joins = F.arrays_overlap(F.split("cas", " "), F.array(*map(F.lit, CONJUNCTIONS)))
     reasons = F.filter(
         F.array(
             F.when(joins, "conjunction"),

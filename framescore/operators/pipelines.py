@@ -67,7 +67,7 @@ def representative_documents(docs: DataFrame, per_genre: int = 25) -> DataFrame:
     docs: (genre, doc_id, size, features array<string>).
     """
     middle = docs.groupBy(F.col("genre").alias("_g")).agg(F.median("size").alias("_m"))
-    d = docs.join(F.broadcast(middle), F.col("genre").eqNullSafe(F.col("_g"))).withColumn("off", F.abs(F.col("size") - F.col("_m")))
+    d = docs.join(middle, F.col("genre").eqNullSafe(F.col("_g"))).withColumn("off", F.abs(F.col("size") - F.col("_m")))
     cover = d.select("genre", "off", "doc_id", F.explode("features").alias("feature")).groupBy("genre", "feature").agg(F.min(F.struct("off", "doc_id")).alias("x"))
     near = F.row_number().over(Window.partitionBy("genre").orderBy("off", "doc_id"))
     rest = d.select("genre", "off", "doc_id", near.alias("n")).filter(F.col("n") <= per_genre)

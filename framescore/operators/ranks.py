@@ -19,7 +19,7 @@ def with_ordinal(rows: DataFrame, order: list[str | Column], name: str) -> DataF
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = written(sorted_.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW)).alias("_at")))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    base = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return placed.join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_at")).drop("_range", "_at", "_base")
+    placed = written(sorted_.select("*", F.spark_partition_id().alias("_ordinal_range"), F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW)).alias("_ordinal_at")))
+    before = Window.orderBy("_ordinal_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = placed.groupBy("_ordinal_range").agg(F.count(F.lit(1)).alias("_ordinal_n")).select("_ordinal_range", F.coalesce(F.sum("_ordinal_n").over(before), F.lit(0)).alias("_ordinal_base"))
+    return placed.join(F.broadcast(base), "_ordinal_range").withColumn(name, F.col("_ordinal_base") + F.col("_ordinal_at")).drop("_ordinal_range", "_ordinal_at", "_ordinal_base")

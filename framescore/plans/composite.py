@@ -255,7 +255,7 @@ def fn14(t):
 @query("pf8_filter_key_and_linking", "SELECT doc_id, frame_id, response_id FROM gold_linking WHERE response_id IN (SELECT response_id FROM assessments WHERE NOT (event_type = 'Contact.Meet' AND role = 'Victim'))")
 def pf8(t):
     ban = t.spark.createDataFrame([("Contact.Meet", "Victim")], "event_type string, role string")
-    key = t.assessments.join(F.broadcast(ban), ["event_type", "role"], "left_anti")
+    key = t.assessments.join(ban, ["event_type", "role"], "left_anti")
     return t.gold_linking.join(key.select("response_id"), "response_id", "left_semi").select("doc_id", "frame_id", "response_id")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framescore.functions.scalars import kb_unescape, parse_span, parse_spans
 from framescore.operators.invariants import required
+from framescore.operators.ranks import with_ordinal
 
 UNANNOTATED = "UNANNOTATED"
 
@@ -214,6 +215,13 @@ def kb_assertions(lines: DataFrame) -> DataFrame:
     return out.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
+def kb_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((run), assertions) of a knowledge base, one file or the parts of one in the order of their names, in which lines are
+    numbered throughout: the first of them names the run, and of repeated assertions the first in the whole file stays."""
+    lines = with_ordinal(spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row_id"), F.col("value").alias("line")), ["file_path", "file_block_start", "row_id"], "line_no")
+    return lines.filter("line_no = 0").select(F.trim("line").alias("run")), kb_assertions(lines.select("line_no", "line"))
+
+
 MAX_SPAN = 200
 
 

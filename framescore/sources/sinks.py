@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from framescore.functions.scalars import format_span, format_spans, kb_escape
 from framescore.operators.ranks import with_ordinal
 
+from .scans import kb_mention_kind
+
 
 def argument_line() -> Column:
     clean = F.regexp_replace("cas", "[\t\r\n]+", " ")
@@ -111,6 +113,15 @@ def kb_lines(assertions: DataFrame) -> DataFrame:
     return assertions.select("subject", rank.alias("place"), F.concat_ws("\t", "subject", predicate, middle, "provenance", conf).alias("line"))
 
 
+def kb_file(assertions: DataFrame, run: str) -> DataFrame:
+    """(line_no, line) of a knowledge-base file: the run's name, then its assertions by node, kind and text. assertions: as
+    `scans.kb_assertions` returns them."""
+    kind = F.when(F.col("kind") == "mention", kb_mention_kind(F.col("predicate"), F.col("subject"), F.col("realis"))).otherwise(F.col("kind"))
+    lines = with_ordinal(kb_lines(assertions.withColumn("mention_kind", kind)), ["subject", "place", "line"], "at")
+    first = assertions.sparkSession.createDataFrame([(0, run)], "line_no long, line string")
+    return first.unionByName(lines.select((F.col("at") + 1).alias("line_no"), "line"))
+
+
 def node_name(name: Column, seed: int, ordinal: Column, kind: str = "Entity") -> Column:
     """The node's name, or a seeded one."""
     return F.coalesce(name, F.concat(F.lit(f":{kind}_"), F.md5(F.concat(F.lit(f"{seed}|"), ordinal.cast("string")))))
