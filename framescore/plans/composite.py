@@ -118,9 +118,9 @@ def sc17(t):
     return t.responses.select("system_id", "doc_id").distinct().join(linked, ["system_id", "doc_id"], "left_anti")
 
 
-@query("sc20_read_or_empty", "SELECT d.doc_id, count(response_id) AS n FROM (SELECT DISTINCT doc_id FROM rows1) d LEFT JOIN (SELECT DISTINCT doc_id, response_id FROM responses WHERE role = 'Time' AND cas LIKE '1992%') USING (doc_id) GROUP BY ALL")
+@query("sc20_read_or_empty", "SELECT d.doc_id, count(response_id) AS n FROM (SELECT DISTINCT doc_id FROM rows1) d LEFT JOIN (SELECT DISTINCT doc_id, response_id FROM responses WHERE role = 'Time') USING (doc_id) GROUP BY ALL")
 def sc20(t):
-    own = t.responses.filter("role = 'Time' AND cas LIKE '1992%'").select("doc_id", "response_id").distinct()
+    own = t.responses.filter("role = 'Time'").select("doc_id", "response_id").distinct()
     return t.rows.select("doc_id").distinct().join(own, "doc_id", "left").groupBy("doc_id").agg(F.count("response_id").alias("n"))
 
 

@@ -11,6 +11,7 @@ from framescore.operators import reports as R
 from framescore.operators import scores as SC
 from framescore.operators import stores as S
 from framescore.operators import validate as V
+from framescore.operators.ranks import with_ordinal
 
 from .registry import query
 from .scoring import ALIGN, _aligned, doc_counts
@@ -26,20 +27,22 @@ def so1(t):
     return S.pool(stores, ["doc_id"])
 
 
-@query("so3_merge_stores", ", a AS (SELECT * FROM responses WHERE system_id = 'sys0' AND doc_id < 'D3'), b AS (SELECT * FROM responses WHERE system_id = 'sys1' AND doc_id > 'D2') SELECT doc_id, response_id, system_id FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT doc_id, response_id, system_id FROM b")
+@query("so3_merge_stores", ", a AS (SELECT * FROM responses WHERE CAST(doc_id[2:] AS BIGINT) % 3 <> 0), b AS (SELECT * REPLACE ('new' || system_id AS system_id) FROM responses WHERE CAST(doc_id[2:] AS BIGINT) % 3 <> 1) SELECT doc_id, response_id, system_id FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT doc_id, response_id, system_id FROM b")
 def so3(t):
-    a, b = t.responses.filter("system_id = 'sys0' AND doc_id < 'D3'"), t.responses.filter("system_id = 'sys1' AND doc_id > 'D2'")
+    """Two stores of all systems that share a third of the documents; the second replaces those of the first."""
+    n = F.substring("doc_id", 2, 18).cast("long") % 3
+    a, b = t.responses.filter(n != 0), t.responses.filter(n != 1).withColumn("system_id", F.concat(F.lit("new"), "system_id"))
     return S.merge_disjoint(a, b, overwrite=True)[0].select("doc_id", "response_id", "system_id")
 
 
 @query(
     "so3_fresh_corpus_frames",
-    """, a AS (SELECT * FROM corpus_linking WHERE system_id = 'sys0'), b AS (SELECT * FROM corpus_linking WHERE system_id = 'sys1'),
+    """, a AS (SELECT * FROM corpus_linking WHERE system_id IN ('sys0', 'sys2')), b AS (SELECT * FROM corpus_linking WHERE system_id IN ('sys1', 'sys3')),
     c AS (SELECT corpus_frame_id, hex(65536 + row_number() OVER (ORDER BY corpus_frame_id)) AS new_id FROM (SELECT DISTINCT corpus_frame_id FROM b WHERE corpus_frame_id IN (SELECT corpus_frame_id FROM a)))
     SELECT coalesce(new_id, b.corpus_frame_id) AS corpus_frame_id, doc_id, frame_id FROM b LEFT JOIN c USING (corpus_frame_id)""",
 )
 def so3f(t):
-    a, b = t.corpus_linking.filter("system_id = 'sys0'"), t.corpus_linking.filter("system_id = 'sys1'")
+    a, b = t.corpus_linking.filter("system_id IN ('sys0', 'sys2')"), t.corpus_linking.filter("system_id IN ('sys1', 'sys3')")
     return S.fresh_corpus_frames(a, b).select("corpus_frame_id", "doc_id", "frame_id")
 
 
@@ -80,10 +83,10 @@ def jn3l(t):
     return A.canonicalised(t.responses, t.canonical.filter("coref_id LIKE 'c1%'"), "lax").select("response_id", "canon").distinct()
 
 
-@query("jn6_two_sided_alignment", """, l AS (SELECT doc_id, event_type, string_agg(DISTINCT role, ',' ORDER BY role) AS x FROM responses WHERE system_id = 'sys0' GROUP BY ALL), r AS (SELECT doc_id, event_type, string_agg(DISTINCT role, ',' ORDER BY role) AS y FROM responses WHERE system_id = 'sys1' GROUP BY ALL)
+@query("jn6_two_sided_alignment", """, l AS (SELECT doc_id, event_type, string_agg(DISTINCT role, ',' ORDER BY role) AS x FROM responses WHERE system_id IN ('sys0', 'sys2') GROUP BY ALL), r AS (SELECT doc_id, event_type, string_agg(DISTINCT role, ',' ORDER BY role) AS y FROM responses WHERE system_id IN ('sys1', 'sys3') GROUP BY ALL)
     SELECT doc_id, event_type, coalesce(x, '') AS left_items, coalesce(y, '') AS right_items, CASE WHEN y IS NULL THEN 'left' WHEN x IS NULL THEN 'right' ELSE 'both' END AS sides FROM l FULL JOIN r USING (doc_id, event_type)""")
 def jn6(t):
-    return A.two_sided(t.responses.filter("system_id = 'sys0'"), t.responses.filter("system_id = 'sys1'"), ["doc_id", "event_type"], "role")
+    return A.two_sided(t.responses.filter("system_id IN ('sys0', 'sys2')"), t.responses.filter("system_id IN ('sys1', 'sys3')"), ["doc_id", "event_type"], "role")
 
 
 @query("jn22_import_foreign_ids", "SELECT system_id, doc_id, frame_id, response_id FROM linking WHERE response_id NOT LIKE '0%'")
@@ -321,9 +324,11 @@ def class_places(t):
     return t.responses.select("doc_id", *order).distinct().withColumn("place", place)
 
 
-@query("sl2_class_order", "SELECT DISTINCT event_type, role, cas, realis, dense_rank() OVER (ORDER BY event_type, role, cas, realis) AS place FROM responses WHERE doc_id = 'D1'")
+@query("sl2_class_order", "SELECT DISTINCT event_type, role, cas, realis, dense_rank() OVER (ORDER BY event_type, role, cas, realis) AS place FROM responses")
 def sl2(t):
-    return class_places(t).filter("doc_id = 'D1'").drop("doc_id")
+    """The classes of all documents in one order."""
+    order = ["event_type", "role", "cas", "realis"]
+    return with_ordinal(t.responses.select(*order).distinct(), order, "n").select(*order, (F.col("n") + 1).alias("place"))
 
 
 @query("sl2_class_order_by_document", "SELECT DISTINCT doc_id, event_type, role, cas, realis, dense_rank() OVER (PARTITION BY doc_id ORDER BY event_type, role, cas, realis) AS place FROM responses")
