@@ -135,8 +135,8 @@ class Gold:
         types = self.t.spark.createDataFrame([(x,) for x in TYPES], "event_type string")
         gold = written(G.in_scope(self.gargs, types, ["Place"]))
         system = written(G.without_implied_injuries(G.in_scope(self.sargs, types, ["Place"]), gold, ARG).select("system_id", "response_id", *ARG))
-        gold = G.without_implied_injuries(gold, gold, ARG)
-        return gold, system, G.vague_times(gold, system)
+        gold = written(G.without_implied_injuries(gold, gold, ARG))
+        return gold, system, written(G.vague_times(gold, system))  # all three are read several times
 
     @functools.cached_property
     def sides(self):
