@@ -81,7 +81,7 @@ def counted(responses: DataFrame, assessed: DataFrame, correct: DataFrame | Colu
 
     by: some of the keys. What a submission missed is the number of the key's correct classes less those that it found
     right or answered with an unassessed response; no class is paired with a submission. Groups without a cell have no
-    row. assessed is read twice, so it is best a written table; systems: (system_id), else those of the responses.
+    row. systems: (system_id), else those of the responses.
     """
     best = best_response(responses, ["system_id", *keys]).select("system_id", *keys, "response_id")
     judged = flagged(assessed, correct)

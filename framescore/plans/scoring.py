@@ -36,9 +36,9 @@ def _aligned(t):
 
 @once
 def _judged(t):
-    """The key's assessed rows with their classes and whether they are right, written."""
+    """The key's assessed rows with their classes and whether they are right; the exchange below is shared by both uses."""
     assessed = A.canonicalised(t.assessments.filter("is_assessed").withColumn("right", is_correct()), t.canonical)
-    return written(assessed.select("response_id", "right", *CLASS))
+    return assessed.select("response_id", "right", *CLASS)
 
 
 def counts_by(t, by: list[str]):
