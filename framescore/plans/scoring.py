@@ -10,7 +10,7 @@ from framescore.operators.stages import written
 
 from .identity import SQL_OLD
 from .registry import once, query
-from .tables import CLASS, is_correct
+from .tables import CLASS
 
 K = ", ".join(CLASS)
 #: Further common table expressions: aligned cells of each system and class.
@@ -29,20 +29,11 @@ PRF = "CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision, CASE
 
 @once
 def _aligned(t):
-    responses = A.canonicalised(t.responses, t.canonical)
-    assessed = A.canonicalised(t.assessments.filter("is_assessed"), t.canonical)
-    return A.align(responses, assessed, is_correct(), CLASS)
-
-
-@once
-def _judged(t):
-    """The key's assessed rows with their classes and whether they are right; the exchange below is shared by both uses."""
-    assessed = A.canonicalised(t.assessments.filter("is_assessed").withColumn("right", is_correct()), t.canonical)
-    return assessed.select("response_id", "right", *CLASS)
+    return A.align_judged(t.judged, CLASS, t.systems)
 
 
 def counts_by(t, by: list[str]):
-    return A.counted(A.canonicalised(t.responses, t.canonical), _judged(t), F.col("right"), CLASS, by, t.systems)
+    return A.counted_judged(t.judged, CLASS, by, t.systems)
 
 
 def doc_counts(t):

@@ -206,3 +206,34 @@ def test_counted_equals_cells_of_the_alignment(spark):
         want = A.cells(A.align(full, assessed, F.col("right"), ["doc_id", "k"]), ["system_id", *by])
         got = A.counted(full, assessed, F.col("right"), ["doc_id", "k"], by)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_judged_responses_align_without_joins(spark):
+    """Responses with their judgements give what responses and assessments give; repeated rows change nothing."""
+    import random
+
+    r = random.Random(5)
+    of = {f"r{k}": (r.choice("de"), r.choice("abcdefgh"), r.random() < 0.7, r.random() < 0.5) for k in range(60)}
+    rows = [(s, i, of[i][0], of[i][1], r.choice((0.1, 0.5, 0.9))) for i in of for s in "st" if r.random() < 0.6]
+    base = spark.createDataFrame(rows, "system_id string, response_id string, doc_id string, k string, confidence double")
+    full = base.withColumns({c: F.lit(0) for c in ("cas_start", "cas_end", "bf_start", "bf_end")} | {c: F.lit("Actual") for c in ("event_type", "role", "realis", "cas")} | {c: F.array().cast("array<struct<start:int,end:int>>") for c in ("pj", "aaj")})
+    had = {i for _, i, *_ in rows}
+    key = spark.createDataFrame([(i, d, k, x) for i, (d, k, known, x) in of.items() if known and i in had], "response_id string, doc_id string, k string, right boolean")
+    marks = spark.createDataFrame([(i, known, known and x) for i, (_, _, known, x) in of.items()], "response_id string, known boolean, right boolean")
+    judged, systems = full.join(marks, "response_id"), spark.createDataFrame([("s",), ("t",), ("silent",)], "system_id string")
+    twice = judged.unionByName(judged.filter("k < 'd'"))
+    heard = systems.filter("system_id <> 'silent'")
+    got, want = A.align_judged(twice, ["doc_id", "k"], heard), A.align(full, key, F.col("right"), ["doc_id", "k"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    for by in (["doc_id"], ["k"], ["doc_id", "k"], []):
+        got, want = A.counted_judged(twice, ["doc_id", "k"], by, systems), A.counted(full, key, F.col("right"), ["doc_id", "k"], by, systems)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_alignment_shuffles_the_rows_once(spark):
+    from framescore.plans.catalog import QUERIES
+
+    for name in ("sco1_trfr_alignment", "ag4_doc_f_by_group", "ag5_doc_linear_score_2016"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" not in plan
+        assert plan.count("Exchange hashpartitioning(doc_id") == 1
