@@ -14,7 +14,7 @@ from framescore.operators import stores as ST
 from framescore.sources import scans
 
 from .files import _CQ, _QR, _frames, _query_responses, _ranked
-from .links import LIFT, judged_classes, lifted
+from .links import LIFT, _rows, lifted
 from .registry import query
 
 
@@ -100,7 +100,7 @@ def so7_merged(t):
 
 @query("sco3_outside_gold", f"{LIFT} SELECT DISTINCT l.system_id, l.doc_id, c.item FROM linking l JOIN cls c USING (response_id) WHERE (l.doc_id, c.item) NOT IN (SELECT doc_id, item FROM glift)")
 def sco3(t):
-    every = L.lift(t.linking, judged_classes(t).select("response_id", "item"), ["system_id", "doc_id", "frame_id"])
+    every = L.lift(_rows(t).filter("realis <> 'Generic'"), None, ["system_id", "doc_id", "frame_id"])
     return I.outside_gold(lifted(t)[0], every, ["system_id", "doc_id"])
 
 

@@ -237,3 +237,13 @@ def test_alignment_shuffles_the_rows_once(spark):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" not in plan
         assert plan.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_lifting_shuffles_the_rows_once(spark, monkeypatch):
+    from framescore.plans import links
+    from framescore.plans.tables import Tables
+
+    monkeypatch.setattr(links, "written", lambda d: d)
+    for d in links.lifted(Tables(spark, "/root/testdata/sf0.001")):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan
