@@ -14,10 +14,12 @@ def node_types(assertions: DataFrame) -> DataFrame:
 
 
 def _mentions(assertions: DataFrame) -> DataFrame:
-    """(node, doc_id, mention, mention_kind): a row for each document that a mention is justified by."""
-    m = assertions.filter("kind = 'mention'").withColumn("mention_kind", scans.kb_mention_kind(F.col("predicate"), F.col("subject"), F.col("realis")))
-    docs = scans.kb_provenance(m).select("line_no", "doc_id").distinct()
-    return m.join(docs, "line_no").select(F.col("subject").alias("node"), "doc_id", "mention", "mention_kind")
+    """(node, doc_id, mention, mention_kind): a row for each document that a mention is justified by. Documents come from the
+    mention's own row: a line's number need not be the same when the lines are read again."""
+    kind = scans.kb_mention_kind(F.col("predicate"), F.col("subject"), F.col("realis"))
+    m = assertions.filter("kind = 'mention' AND provenance IS NOT NULL AND provenance <> 'NIL'").withColumn("mention_kind", kind)
+    docs = F.array_distinct(F.transform(F.split("provenance", "[;,]"), lambda p: F.regexp_extract(p, "^(.*):", 1)))
+    return m.select(F.col("subject").alias("node"), F.explode(docs).alias("doc_id"), "mention", "mention_kind")
 
 
 def canonical_mentions(assertions: DataFrame) -> DataFrame:

@@ -117,3 +117,18 @@ def test_recovery_of_assessments(spark):
     assert lost.repair == "made unassessed" and not lost.is_assessed and {lost.aet, lost.aer, lost.cas_ok} == {None} and lost.coref_id == "7"
     assert got["extra"].repair == "fields removed" and got["extra"].aet == "W" and got["extra"].cas_ok is None and got["extra"].coref_id is None
     assert {tuple(r) for r in scans.repair_counts(scans.recovered(spark.createDataFrame(rows, cols))).collect()} == {("made unassessed", 1), ("fields removed", 1)}
+
+
+def test_mentions_do_not_depend_on_line_numbers(spark):
+    """Lines whose numbers differ with each reading."""
+    import random
+
+    from framescore.operators import kb
+    from framescore.sources import scans
+
+    number = F.udf(lambda: random.getrandbits(40) + 1, "long").asNondeterministic()
+    lines = spark.createDataFrame([(f':Entity_{k}\tcanonical_mention\t"m{k}"\tD{k}:1-5,E{k}:2-3,D{k}:8-9\t0.5',) for k in range(50)], "line string")
+    told = scans.kb_assertions(lines.withColumn("line_no", number()))
+    want = {(f"{d}{k}", f":Entity_{k}", f"m{k}") for k in range(50) for d in "DE"}
+    assert {tuple(r) for r in kb.canonical_mentions(told).collect()} == want
+    assert {(r.doc_id, r.node, r.mention) for r in kb.mentions_of_nodes(told).collect()} == want
