@@ -247,3 +247,13 @@ def test_lifting_shuffles_the_rows_once(spark, monkeypatch):
     for d in links.lifted(Tables(spark, "/root/testdata/sf0.001")):
         plan = d._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_preprocessing_has_classes_without_joining_clusters(spark):
+    import re
+
+    from framescore.plans.catalog import QUERIES
+
+    plan = QUERIES["tr2_rule_on_everything"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert keys and not [k for k in keys if "cas_start" in k]
