@@ -7,6 +7,8 @@ realis, arg_realis, entity_id or filler_id, ext_*, trig_*), span heads (start, e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,24 +98,25 @@ def roles_played(arguments: DataFrame, ontology: DataFrame) -> DataFrame:
 MATCH = ["doc_id", "event_type", "role", "cas_start", "cas_end"]
 
 
-def match_spans(responses: DataFrame, found: DataFrame, plays: DataFrame, heads: DataFrame) -> DataFrame:
+def match_spans(responses: DataFrame, found: DataFrame, plays: DataFrame, heads: DataFrame, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """(*MATCH, rule, kind, object_id): the best candidate of each distinct MATCH of the responses: the smallest rule that
     fits any, then candidates that play the response's type and role somewhere in the document, then candidate order.
 
     Rules: the response's CAS equals the candidate's extent (1), its declared head or else its extent (2), the computed
     head of that (3); the computed head of the CAS equals the same three (4, 5, 6); the extent contains the CAS, and
     either the CAS contains both heads or the extent does (7). Rules 1 to 6 are one join on the spans themselves; only
-    the responses that they leave are looked for by containment, in bins of the document.
+    the responses that they leave are looked for by containment, in bins of the document. keep: writes tables that are read
+    twice, `stages.bucketed` by document where the inputs lie so.
     """
     r = with_heads(responses.select(*MATCH).distinct(), heads, "cas_start", "cas_end", "r_head_start", "r_head_end")
     c = found.withColumns({"d_start": F.coalesce("head_start", "ext_start"), "d_end": F.coalesce("head_end", "ext_end")})
-    c = with_heads(c.drop("head_start", "head_end"), heads, "d_start", "d_end", "c_start", "c_end")
+    c = keep(with_heads(c.drop("head_start", "head_end"), heads, "d_start", "d_end", "c_start", "c_end"))
     span = lambda n, s, e: F.struct(F.lit(n).alias("n"), F.col(s).alias("start"), F.col(e).alias("end"))
     own = r.select(*MATCH, F.inline(F.array(span(0, "cas_start", "cas_end"), span(3, "r_head_start", "r_head_end")))).withColumnRenamed("n", "of_response")
     other = c.select("doc_id", "kind", "object_id", "ordinal", F.inline(F.array(span(1, "ext_start", "ext_end"), span(2, "d_start", "d_end"), span(3, "c_start", "c_end"))))
     equal = own.join(other, ["doc_id", "start", "end"]).withColumn("rule", F.col("of_response") + F.col("n"))
     names = [*MATCH, "kind", "object_id", "ordinal", "rule"]
-    by_span = written(_first(equal.select(*names), plays, MATCH))  # read twice
+    by_span = keep(_first(equal.select(*names), plays, MATCH))  # read twice
 
     left = r.join(by_span.select(*MATCH), MATCH, "left_anti").withColumn("bin", F.floor(F.col("cas_start") / BIN))
     wide = c.withColumn("bin", F.explode(F.sequence(F.floor(F.col("ext_start") / BIN), F.floor(F.col("ext_end") / BIN))))
@@ -218,7 +221,7 @@ def document_counts(gold: DataFrame, system: DataFrame, vague: DataFrame, system
     realises = lambda d, by, name: d.groupBy(*by).agg(F.collect_set("realis").alias(name))
     found = realises(system.join(vague, [*own, "realis"], "left_anti"), own, "_s")
     alike = realises(gold.filter(~time), item, "_g")
-    times = gold.filter(time).select(*ARG).distinct().crossJoin(systems).join(vague, [*own, "realis"], "left_anti")
+    times = gold.filter(time).select(*ARG).distinct().crossJoin(F.broadcast(systems)).join(vague, [*own, "realis"], "left_anti")
     times = realises(times, own, "_g")
     met = found.filter(~time).join(alike, item, "left").unionByName(found.filter(time).join(times, own, "left"))
     hits = F.coalesce(F.size(F.array_intersect("_s", "_g")), F.lit(0))
@@ -226,7 +229,7 @@ def document_counts(gold: DataFrame, system: DataFrame, vague: DataFrame, system
     by = ["system_id", "doc_id"]
     predicted = met.groupBy(*by).agg(total(hits).alias("tw"), total(F.size("_s")).alias("sw"), total(F.col("_g").isNotNull().cast("int")).alias("tn"), F.count(F.lit(1)).alias("sn"))
     sizes = lambda a, b: [total(F.size("_g")).alias(a), F.count(F.lit(1)).alias(b)]
-    wanted = alike.groupBy("doc_id").agg(*sizes("gw", "gn")).crossJoin(systems).join(times.groupBy(*by).agg(*sizes("hw", "hn")), by, "full")
+    wanted = alike.groupBy("doc_id").agg(*sizes("gw", "gn")).crossJoin(F.broadcast(systems)).join(times.groupBy(*by).agg(*sizes("hw", "hn")), by, "full")
     both = wanted.join(predicted, by, "full").na.fill(0)
     cells = lambda mode, g, h, s, t: F.struct(F.lit(mode).alias("mode"), F.col(t).alias("tp"), (F.col(s) - F.col(t)).alias("fp"), (F.col(g) + F.col(h) - F.col(t)).alias("fn"))
     modes = F.array(cells("withRealis", "gw", "hw", "sw", "tw"), cells("noRealis", "gn", "hn", "sn", "tn"))

@@ -67,7 +67,7 @@ def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by) if by else rows
 
 
-def link_f1(gold: DataFrame, predicted: DataFrame, systems: DataFrame | None = None, by: list[str] = ("doc_id",), strict: bool = False) -> DataFrame:
+def link_f1(gold: DataFrame, predicted: DataFrame, systems: DataFrame | None = None, by: list[str] = ("doc_id",), strict: bool = False, lies: bool = False) -> DataFrame:
     """(system_id, *by, n_gold, n_predicted, precision, recall, link_f1) of groupings of classes; frames may overlap.
 
     gold: (*by, frame_id, item), with system_id if it differs between systems; predicted: (system_id, *by, frame_id, item),
@@ -76,15 +76,16 @@ def link_f1(gold: DataFrame, predicted: DataFrame, systems: DataFrame | None = N
     An item's neighbours are the other members of its frames. Items in one gold and one predicted frame, nearly all, take
     their counts from the sizes of the two frames and of what they share, so large frames are never expanded into pairs;
     the others expand their own neighbours only. strict: reading the scores fails where a predicted item is not gold's;
-    else such items are passed over.
+    else such items are passed over. lies: both tables are in equal buckets by some of `by` and are not shuffled again.
     """
+    dealt = (lambda d, by: d) if lies else _dealt
     own = "system_id" in gold.columns
     pk, gk = ["system_id", *by], [*(["system_id"] if own else []), *by]
     g, p = gold.select(*gk, "frame_id", "item").distinct(), predicted.select(*pk, "frame_id", "item").distinct()
     counted_over = lambda d, name, *of: d.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*of)))
-    gs = counted_over(counted_over(_dealt(g, by), "gs", *gk, "frame_id"), "gn", *gk, "item").withColumnRenamed("frame_id", "gf")
-    ps = counted_over(counted_over(_dealt(p, by), "ps", *pk, "frame_id"), "pn", *pk, "item").withColumnRenamed("frame_id", "pf")
-    both = counted_over(_dealt(ps.join(gs, [*gk, "item"]), by), "both", *pk, "gf", "pf")
+    gs = counted_over(counted_over(dealt(g, by), "gs", *gk, "frame_id"), "gn", *gk, "item").withColumnRenamed("frame_id", "gf")
+    ps = counted_over(counted_over(dealt(p, by), "ps", *pk, "frame_id"), "pn", *pk, "item").withColumnRenamed("frame_id", "pf")
+    both = counted_over(dealt(ps.join(gs, [*gk, "item"]), by), "both", *pk, "gf", "pf")
     g_one = gs.select(*gk, "item").distinct()
     simple = both.filter("gn = 1 AND pn = 1").select(*pk, "item", (F.col("both") - 1).alias("tp"), (F.col("ps") - F.col("both")).alias("fp"), (F.col("gs") - F.col("both")).alias("fn"))
     many = both.filter("NOT (gn = 1 AND pn = 1)").select(*pk, "item").distinct()
@@ -104,7 +105,7 @@ def link_f1(gold: DataFrame, predicted: DataFrame, systems: DataFrame | None = N
     found = scored.groupBy(*pk).agg(F.count(F.lit(1)).alias("n_predicted"), F.sum("p").alias("p"), F.sum("r").alias("r"), F.sum("f").alias("f"))
     wanted = g_one.groupBy(*gk).agg(F.count(F.lit(1)).alias("n_gold"))
     if not own:
-        wanted = wanted.crossJoin(predicted.select("system_id").distinct() if systems is None else systems)
+        wanted = wanted.crossJoin(F.broadcast(predicted.select("system_id").distinct() if systems is None else systems))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     scores = wanted.join(found, pk, "left").select(
         *pk, "n_gold", F.coalesce("n_predicted", F.lit(0).cast("long")).alias("n_predicted"),

@@ -79,24 +79,33 @@ dboth AS (SELECT 'withRealis' AS mode, system_id, doc_id, event_type, role, core
 _KNOWN = "ent % 7 <> 0 AND ent % 10 <> 9"
 
 
+def _small(t, rows: list[tuple], *names: str):
+    """A table of a few given rows, of known size."""
+    return t.spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row, strict=True)]) for row in rows])))
+
+
 class Gold:
     """The gold tables of a Tables object, and both sides' document-level arguments."""
 
     def __init__(self, t):
         self.t, self.keep = t, ["system_id", "response_id"]
         used = ["doc_no", "doc_id", "event_type", "role", "realis", "ent", "cas", "hopper_id", "line", "final", "at"]
-        rows = written(t.rows.select(*used).distinct())  # one projection for all gold tables
+        t.in_buckets()
+        rows = t.dealt.select(*used)
         at = "CASE WHEN ent % 10 = 9 THEN ent * 25 + 1 ELSE ent * 25 END"
         end = "CASE WHEN ent % 10 = 9 THEN ent * 25 + 5 ELSE ent * 25 + 12 END"
         time_at = "CASE WHEN ent % 11 = 3 THEN ent * 25 ELSE ent * 25 + 1000 END"
         named = lambda **c: [F.expr(x).alias(k) for k, x in c.items()]
+        # the kinds of a table's rows, each with its condition, from one scan
+        each = lambda *kinds: rows.select("doc_id", F.inline(F.array_compact(F.array(*[F.when(F.expr(where), F.struct(*named(**c))) for where, c in kinds])))).distinct()
         self.mentions = rows.filter("ent % 13 <> 5").select("doc_id", *named(
             entity_id="concat('E', ent % 25)", mention_ordinal="ent", mtype="CASE ent % 3 WHEN 0 THEN 'NAM' WHEN 1 THEN 'NOM' ELSE 'PRO' END", ext_start=at, ext_end=end,
             head_start=f"CASE WHEN {_KNOWN} THEN CASE WHEN ent % 10 = 3 THEN ent * 25 + 1 ELSE ent * 25 END END", head_end=f"CASE WHEN {_KNOWN} THEN ent * 25 + 5 END",
         )).distinct()
-        things = rows.filter("ent % 13 = 5").select("doc_id", *named(filler_id="concat('F', ent)", filler_ordinal="ent", ext_start="ent * 25", ext_end="ent * 25 + 12", normalized_time="CAST(NULL AS STRING)"))
-        times = rows.filter("final AND role = 'Time'").select("doc_id", *named(filler_id="concat('T', ent, '.', cas)", filler_ordinal="100 + ent", ext_start=time_at, ext_end=f"{time_at} + 5", normalized_time="cas"))
-        self.fillers = things.unionByName(times).distinct()
+        self.fillers = each(
+            ("ent % 13 = 5", dict(filler_id="concat('F', ent)", filler_ordinal="ent", ext_start="ent * 25", ext_end="ent * 25 + 12", normalized_time="CAST(NULL AS STRING)")),
+            ("final AND role = 'Time'", dict(filler_id="concat('T', ent, '.', cas)", filler_ordinal="100 + ent", ext_start=time_at, ext_end=f"{time_at} + 5", normalized_time="cas")),
+        )
         self.arguments = rows.filter("final").select("doc_id", "hopper_id", *named(
             ere_type="lower(split_part(event_type, '.', 1))", ere_subtype="lower(split_part(event_type, '.', 2))", ere_role="lower(role)", realis="realis", arg_realis="line <> 3",
             entity_id="CASE WHEN role <> 'Time' AND ent % 13 <> 5 THEN concat('E', ent % 25) END", filler_id="CASE WHEN role = 'Time' THEN concat('T', ent, '.', cas) WHEN ent % 13 = 5 THEN concat('F', ent) END",
@@ -105,21 +114,22 @@ class Gold:
         )).distinct()
         trigger = F.struct((F.col("at") + 5).alias("start"), (F.col("at") + 12).alias("end"))
         self.hoppers = rows.filter("final").groupBy("doc_id", "hopper_id", "event_type").agg(F.collect_set(trigger).alias("triggers"))
-        short = rows.filter("ent % 4 = 1").select("doc_id", *named(start="ent * 25", end="ent * 25 + 5", head_start="ent * 25 + 1", head_end="ent * 25 + 5"))
-        long = rows.filter("ent % 7 = 0").select("doc_id", *named(start="ent * 25", end="ent * 25 + 12", head_start="CASE WHEN ent % 14 = 7 THEN ent * 25 + 1 ELSE ent * 25 END", head_end="ent * 25 + 5"))
-        self.heads = short.unionByName(long).distinct()
+        self.heads = t.kept(each(
+            ("ent % 4 = 1", dict(start="ent * 25", end="ent * 25 + 5", head_start="ent * 25 + 1", head_end="ent * 25 + 5")),
+            ("ent % 7 = 0", dict(start="ent * 25", end="ent * 25 + 12", head_start="CASE WHEN ent % 14 = 7 THEN ent * 25 + 1 ELSE ent * 25 END", head_end="ent * 25 + 5")),
+        ))
         self.quotes = rows.filter("doc_no % 6 = 0").select("doc_id", F.lit(90).alias("start"), F.lit(130).alias("end")).distinct()
-        lines = t.spark.createDataFrame([(k, x) for k, v in ONTOLOGY.items() for x in v], "kind string, line string")
+        lines = _small(t, [(k, x) for k, v in ONTOLOGY.items() for x in v], "kind", "line")
         self.ontology = scans.ontology_map(lines)
         self.mapped = G.in_ontology(self.arguments, self.ontology)
-        self.plays = G.roles_played(self.arguments, self.ontology)
+        self.plays = t.kept(G.roles_played(self.arguments, self.ontology))
         self.candidates = G.candidates(self.mentions, self.fillers)
-        self.own = written(t.responses.select("system_id", "doc_id", "response_id", "event_type", "role", "realis", "cas", "cas_start", "cas_end"))
+        self.own = t.kept(t.responses.select("system_id", "doc_id", "response_id", "event_type", "role", "realis", "cas", "cas_start", "cas_end"))
         self.gargs = G.gold_arguments(self.arguments, self.mentions, self.fillers, self.ontology, self.quotes)
 
     @functools.cached_property
     def spans(self):
-        return G.match_spans(self.own, self.candidates, self.plays, self.heads)
+        return self.t.kept(G.match_spans(self.own, self.candidates, self.plays, self.heads, self.t.kept))
 
     @functools.cached_property
     def matched(self):
@@ -132,17 +142,17 @@ class Gold:
     @functools.cached_property
     def scope(self):
         """(gold, system, vague): both sides' rows in scope, gold's once for all systems, and times that do not count."""
-        types = self.t.spark.createDataFrame([(x,) for x in TYPES], "event_type string")
-        gold = written(G.in_scope(self.gargs, types, ["Place"]))
-        system = written(G.without_implied_injuries(G.in_scope(self.sargs, types, ["Place"]), gold, ARG).select("system_id", "response_id", *ARG))
-        gold = written(G.without_implied_injuries(gold, gold, ARG))
-        return gold, system, written(G.vague_times(gold, system))  # all three are read several times
+        types, kept = _small(self.t, [(x,) for x in TYPES], "event_type"), self.t.kept
+        gold = kept(G.in_scope(self.gargs, types, ["Place"]))
+        system = kept(G.without_implied_injuries(G.in_scope(self.sargs, types, ["Place"]), gold, ARG).select("system_id", "response_id", *ARG))
+        gold = kept(G.without_implied_injuries(gold, gold, ARG))
+        return gold, system, kept(G.vague_times(gold, system))  # all three are read several times
 
     @functools.cached_property
     def sides(self):
         """Rows of the document-level scorer: gold ones (with hopper_id) for each system, the system's (with response_id)."""
         gold, system, vague = self.scope
-        return written(gold.crossJoin(self.t.systems).join(vague, KEYED, "left_anti")), written(system.join(vague, KEYED, "left_anti"))
+        return gold.crossJoin(F.broadcast(self.t.systems)).join(vague, KEYED, "left_anti"), system.join(vague, KEYED, "left_anti")
 
     def document_counts(self):
         return G.document_counts(*self.scope, self.t.systems)
@@ -155,7 +165,7 @@ class Gold:
         """(gold, system) frames of document-level arguments; generic ones are not linked."""
         gold, system = self.sides
         gold = gold.withColumn("frame_id", F.col("hopper_id"))
-        system = self.t.linking.drop("doc_id").join(system, ["system_id", "response_id"])
+        system = self.t.linking.join(system, ["system_id", "doc_id", "response_id"])
         return gold.select(*KEYED, "frame_id"), system.select(*KEYED, "frame_id")
 
 
@@ -313,7 +323,7 @@ LINKS_BY_TYPE = _link_sql("lw", "realis || '|' || ", ", event_type") + _link_sql
 @once
 def doc_links(t):
     """Link scores of each document in both modes."""
-    mode = lambda m, neutral: L.link_f1(*map(written, G.linkable(*gold(t).frames(), neutral))).withColumn("mode", F.lit(m))
+    mode = lambda m, neutral: L.link_f1(*map(t.kept, G.linkable(*gold(t).frames(), neutral)), lies=True).withColumn("mode", F.lit(m))
     return mode("withRealis", False).unionByName(mode("noRealis", True))
 
 
@@ -329,7 +339,7 @@ def sco5_linking(t):
 
 @query("sco5_linking_by_type", f"{GOLD}{LINKS_BY_TYPE} SELECT 'withRealis' AS mode, system_id, event_type, {_SUMS} FROM lw GROUP BY ALL UNION ALL SELECT 'noRealis', system_id, event_type, {_SUMS} FROM ln GROUP BY ALL")
 def sco5_linking_by_type(t):
-    mode = lambda m, neutral: L.link_f1(*map(written, G.linkable(*gold(t).frames(), neutral)), by=["doc_id", "event_type"]).withColumn("mode", F.lit(m))
+    mode = lambda m, neutral: L.link_f1(*map(t.kept, G.linkable(*gold(t).frames(), neutral)), by=["doc_id", "event_type"], lies=True).withColumn("mode", F.lit(m))
     return L.link_aggregate_2016(mode("withRealis", False).unionByName(mode("noRealis", True)), ["mode", "system_id", "event_type"])
 
 

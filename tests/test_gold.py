@@ -257,3 +257,18 @@ def test_preprocessing_has_classes_without_joining_clusters(spark):
     plan = QUERIES["tr2_rule_on_everything"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert keys and not [k for k in keys if "cas_start" in k]
+
+
+def test_gold_side_shuffles_nothing_but_the_rows(spark):
+    """Both sides' arguments and frames come from tables in buckets by document; only the systems' names are shuffled."""
+    import re
+
+    from framescore.operators import gold as G
+    from framescore.plans.goldside import gold
+    from framescore.plans.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for d in (*gold(t).scope, gold(t).spans, gold(t).sargs, *gold(t).scoped(), *G.linkable(*gold(t).frames())):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange SinglePartition" not in plan
+        assert not [k for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if not re.match(r"system_id#\d+, \d+$", k)]
