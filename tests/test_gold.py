@@ -272,3 +272,14 @@ def test_gold_side_shuffles_nothing_but_the_rows(spark):
         plan = d._jdf.queryExecution().executedPlan().toString()
         assert "Exchange SinglePartition" not in plan
         assert not [k for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if not re.match(r"system_id#\d+, \d+$", k)]
+
+
+def test_link_scores_in_buckets_shuffle_no_items(spark):
+    import re
+
+    from framescore.plans import links
+    from framescore.plans.tables import Tables
+
+    plan = links.link_scores(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan
+    assert not re.search(r"Exchange hashpartitioning\([^)]*\), REPARTITION", plan)
