@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scores import resampled
@@ -39,16 +39,20 @@ def overlap_counts(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return a.join(b, on, "full").agg(count(l & r).alias("both"), count(l & ~r).alias("left_only"), count(~l & r).alias("right_only"))
 
 
-def system_overlap(found: DataFrame, human: DataFrame, prefix: int) -> DataFrame:
+def system_overlap(found: DataFrame, human: DataFrame | Column, prefix: int, item: tuple[str, ...] | list[str] = ("item",)) -> DataFrame:
     """(system_id, total, sole, with_human, other_team): an id is sole if no other team's system has it.
 
-    found: (system_id, item); teams are the first `prefix` characters of a system's name.
+    found: (system_id, *item); teams are the first `prefix` characters of a system's name. human: (*item), or a condition on
+    found's columns, which spares a join. Each id is grouped once, with its systems.
     """
-    d = found.distinct().withColumn("team", F.substring("system_id", 1, prefix))
-    teams = d.groupBy("item").agg(F.count_distinct("team").alias("teams"))
-    d = d.join(teams, "item").join(human.select("item").distinct().withColumn("_h", F.lit(1)), "item", "left")
+    given = F.max(human) if isinstance(human, Column) else F.lit(False)
+    d = found.groupBy(*item).agg(F.collect_set("system_id").alias("_s"), given.alias("_h"))
+    if not isinstance(human, Column):
+        d = d.drop("_h").join(human.select(*item).distinct().withColumn("_h", F.lit(True)), [*item], "left")
+    teams = F.size(F.array_distinct(F.transform("_s", lambda x: F.substring(x, 1, prefix))))
+    d = d.select(F.explode("_s").alias("system_id"), teams.alias("teams"), F.coalesce("_h", F.lit(False)).alias("h"))
     count = lambda c: F.sum(c.cast("long"))
-    return d.groupBy("system_id").agg(F.count(F.lit(1)).alias("total"), count(F.col("teams") == 1).alias("sole"), count(F.col("_h").isNotNull()).alias("with_human"), count(F.col("teams") > 1).alias("other_team"))
+    return d.groupBy("system_id").agg(F.count(F.lit(1)).alias("total"), count(F.col("teams") == 1).alias("sole"), count(F.col("h")).alias("with_human"), count(F.col("teams") > 1).alias("other_team"))
 
 
 def found_by_teams(found: DataFrame, prefix: int) -> DataFrame:

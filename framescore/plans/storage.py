@@ -239,10 +239,14 @@ def _found(t):
     return _aligned(t).filter("cell = 'TP'").select("system_id", F.concat(*CLASS).alias("item"))
 
 
+def _found_classes(t):
+    """What _found has, with a class's columns in place of their concatenation: rows stay where their document lies."""
+    return _aligned(t).filter("cell = 'TP'").select("system_id", *CLASS)
+
+
 @query("ag23_system_overlap", f"{ALIGN}{_FOUND} SELECT system_id, count(*) AS total, count(*) FILTER (teams = 1) AS sole, count(*) FILTER (contains(item, 'Life')) AS with_human, count(*) FILTER (teams > 1) AS other_team FROM found JOIN teams USING (item) GROUP BY ALL")
 def ag23(t):
-    human = _found(t).filter(F.col("item").contains("Life"))
-    return R.system_overlap(_found(t), human, 4)
+    return R.system_overlap(_found_classes(t), F.concat(*CLASS).contains("Life"), 4, CLASS)
 
 
 @query("ag24_found_by_teams", f"{ALIGN}{_FOUND} SELECT teams, count(*) AS n FROM teams GROUP BY ALL")

@@ -239,6 +239,24 @@ def test_alignment_shuffles_the_rows_once(spark):
         assert plan.count("Exchange hashpartitioning(doc_id") == 1
 
 
+def test_overlap_groups_ids_where_their_documents_lie(spark):
+    from framescore.plans.catalog import QUERIES
+
+    for name in ("ag23_system_overlap",):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" not in plan
+        assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "hashpartitioning(item" not in plan
+
+
+def test_overlap_by_condition_equals_overlap_by_table(spark):
+    rows = [("a1", "D1", "x"), ("a1", "D1", "x"), ("a2", "D1", "x"), ("b1", "D1", "y"), ("a1", "D1", "y"), ("b1", "D2", "x"), ("b1", "D2", "z")]
+    d = spark.createDataFrame(rows, "system_id string, doc_id string, k string")
+    human, joined = F.col("k") == "x", d.withColumn("item", F.concat("doc_id", "k"))
+    got = sorted(map(tuple, R.system_overlap(d, human, 1, ["doc_id", "k"]).collect()))
+    assert got == [("a1", 2, 1, 1, 1), ("a2", 1, 1, 1, 0), ("b1", 3, 2, 1, 1)]
+    assert got == sorted(map(tuple, R.system_overlap(joined, joined.filter(human), 1).collect()))
+
+
 def test_lifting_shuffles_the_rows_once(spark, monkeypatch):
     from framescore.plans import links
     from framescore.plans.tables import Tables
