@@ -55,10 +55,10 @@ def system_overlap(found: DataFrame, human: DataFrame | Column, prefix: int, ite
     return d.groupBy("system_id").agg(F.count(F.lit(1)).alias("total"), count(F.col("teams") == 1).alias("sole"), count(F.col("h")).alias("with_human"), count(F.col("teams") > 1).alias("other_team"))
 
 
-def found_by_teams(found: DataFrame, prefix: int) -> DataFrame:
-    """(teams, n): how many ids are found by how many teams."""
-    d = found.select("item", F.substring("system_id", 1, prefix).alias("team")).distinct()
-    return d.groupBy("item").agg(F.count(F.lit(1)).alias("teams")).groupBy("teams").agg(F.count(F.lit(1)).alias("n"))
+def found_by_teams(found: DataFrame, prefix: int, item: tuple[str, ...] | list[str] = ("item",)) -> DataFrame:
+    """(teams, n): how many ids are found by how many teams. found: (system_id, *item)."""
+    d = found.groupBy(*item).agg(F.size(F.collect_set(F.substring("system_id", 1, prefix))).cast("long").alias("teams"))
+    return d.groupBy("teams").agg(F.count(F.lit(1)).alias("n"))
 
 
 def leaderboard(scores: DataFrame, baseline: str, value: str = "score") -> DataFrame:

@@ -251,7 +251,7 @@ def ag23(t):
 
 @query("ag24_found_by_teams", f"{ALIGN}{_FOUND} SELECT teams, count(*) AS n FROM teams GROUP BY ALL")
 def ag24(t):
-    return R.found_by_teams(_found(t), 4)
+    return R.found_by_teams(_found_classes(t), 4, CLASS)
 
 
 @query("sk12_true_and_false_ids", f"{ALIGN} SELECT DISTINCT system_id, cell, doc_id || event_type || role || realis || canon AS item FROM aligned WHERE cell IN ('TP', 'FP')")

@@ -242,7 +242,7 @@ def test_alignment_shuffles_the_rows_once(spark):
 def test_overlap_groups_ids_where_their_documents_lie(spark):
     from framescore.plans.catalog import QUERIES
 
-    for name in ("ag23_system_overlap",):
+    for name in ("ag23_system_overlap", "ag24_found_by_teams"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" not in plan
         assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "hashpartitioning(item" not in plan
@@ -255,6 +255,7 @@ def test_overlap_by_condition_equals_overlap_by_table(spark):
     got = sorted(map(tuple, R.system_overlap(d, human, 1, ["doc_id", "k"]).collect()))
     assert got == [("a1", 2, 1, 1, 1), ("a2", 1, 1, 1, 0), ("b1", 3, 2, 1, 1)]
     assert got == sorted(map(tuple, R.system_overlap(joined, joined.filter(human), 1).collect()))
+    assert sorted(map(tuple, R.found_by_teams(d, 1, ["doc_id", "k"]).collect())) == [(1, 3), (2, 1)]
 
 
 def test_lifting_shuffles_the_rows_once(spark, monkeypatch):
