@@ -132,3 +132,17 @@ def test_mentions_do_not_depend_on_line_numbers(spark):
     want = {(f"{d}{k}", f":Entity_{k}", f"m{k}") for k in range(50) for d in "DE"}
     assert {tuple(r) for r in kb.canonical_mentions(told).collect()} == want
     assert {(r.doc_id, r.node, r.mention) for r in kb.mentions_of_nodes(told).collect()} == want
+
+
+def test_kb_lines_are_matched_once_each(spark):
+    """Conditions on an assertion's columns add no pattern to the plan, and fields are parted as by the plain pattern."""
+    import re
+
+    lines = spark.createDataFrame([(1, "x")], "line_no long, line string")
+    got = scans.kb_assertions(lines)
+    patterns = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    assert patterns(got) == patterns(got.filter("kind = 'mention' AND provenance <> 'NIL'")) == len(scans.KB_SHAPES)
+    texts = ["a\tb\tc", "a\t\"b\tc\"\td", "a\t\"b\\\"\tc\"\td", "a\t\"b\tc", "a\\\tb\tc", "\t\t", "a\t\"\"\tb\\", "q\"\t\"\t" + "x" * 3000 + "\ty"]
+    plain = r"\t(?=(?:[^\"\\]|\\.|\"(?:[^\"\\]|\\.)*\")*$)"
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.split("t", scans.QUOTED_FIELDS).alias("f"))
+    assert {r.t: r.f for r in d.collect()} == {t: re.split(plain, t) for t in texts}
