@@ -31,22 +31,21 @@ def merge(baseline: DataFrame, additional: DataFrame, on: tuple[str, ...] = ("ca
     The CASes of a cluster that the baseline lacks all see the same clustermates, and the first to join only adds to its
     own side; so a cluster decides once, and no order has to be walked through. A CAS in several further clusters
     belongs to the first.
+    All of it is one grouping by CAS and windows inside a document.
     """
-    key = ["doc_id", *on]
-    base = baseline.select(*key, "coref_id").filter("coref_id IS NOT NULL").groupBy(*key).agg(F.min("coref_id").alias("_b"))
-    more = additional.select(*key, "coref_id").filter("coref_id IS NOT NULL").groupBy(*key).agg(F.min("coref_id").alias("_c"))
-    both = more.join(base, key, "left")
-    votes = both.filter("_b IS NOT NULL").groupBy("doc_id", "_c", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = votes.groupBy("doc_id", "_c").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_b").alias("b"))).alias("_x")).select("doc_id", "_c", F.col("_x.b").alias("_to"))
-    new = both.filter("_b IS NULL")
-    fresh = new.join(chosen, ["doc_id", "_c"], "left_anti").groupBy("doc_id", "_c").agg(F.min(F.struct(*on)).alias("_f"))
-    used = base.groupBy("doc_id").agg(F.max(F.regexp_extract("_b", "^new([0-9]{1,17})$", 1).try_cast("long")).alias("_u"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_f")) + F.coalesce("_u", F.lit(-1))
-    fresh = fresh.join(used, "doc_id", "left").select("doc_id", "_c", F.concat(F.lit("new"), place.cast("string")).alias("_to"))
-    joined = new.join(chosen.unionByName(fresh), ["doc_id", "_c"]).select(*key, F.col("_to").alias("coref_id"))
-    found = base.withColumnRenamed("_b", "coref_id").unionByName(joined)
-    all_ = baseline.select(*key).union(additional.select(*key)).distinct()
-    return all_.join(found, key, "left")
+    key, none = ["doc_id", *on], F.lit(None).cast("string")
+    sides = baseline.select(*key, F.col("coref_id").alias("_b"), none.alias("_c")).unionByName(additional.select(*key, none.alias("_b"), F.col("coref_id").alias("_c")))
+    d = sides.groupBy(*key).agg(F.min("_b").alias("_b"), F.min("_c").alias("_c"))
+    cluster = Window.partitionBy("doc_id", "_c")
+    mates = F.count("_b").over(Window.partitionBy("doc_id", "_c", "_b"))
+    d = d.withColumn("_n", mates).withColumn("_to", F.min(F.when(F.col("_b").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_b").alias("b")))).over(cluster)["b"])
+    d = d.withColumn("_f", F.min(F.struct(*on)).over(cluster))
+    used = F.max(F.regexp_extract("_b", "^new([0-9]{1,17})$", 1).try_cast("long")).over(Window.partitionBy("doc_id"))
+    d = d.withColumn("_u", used).withColumn("_new", F.col("_b").isNull() & F.col("_c").isNotNull() & F.col("_to").isNull())
+    place = F.dense_rank().over(Window.partitionBy("doc_id", "_new").orderBy("_f")) + F.coalesce("_u", F.lit(-1))
+    fresh = F.when(F.col("_new"), F.concat(F.lit("new"), place.cast("string")))
+    joined = F.when(F.col("_c").isNotNull(), F.coalesce("_to", fresh))
+    return d.select(*key, F.coalesce("_b", joined).alias("coref_id"))
 
 
 def registered(coref: DataFrame, key: DataFrame, on: tuple[str, ...] = ("cas", "cas_start", "cas_end")) -> DataFrame:

@@ -53,12 +53,18 @@ def with_fallback(key: DataFrame, fallback: DataFrame) -> DataFrame:
     return own.unionByName(other.join(own.select("response_id"), "response_id", "left_anti"))
 
 
-def merge_assessments(baseline: DataFrame, additional: DataFrame) -> DataFrame:
-    """The baseline's rows win; a response stays unassessed if neither store assesses it."""
-    return with_fallback(baseline, additional).unionByName(
-        baseline.filter("NOT is_assessed").unionByName(additional.filter("NOT is_assessed").join(baseline.select("response_id"), "response_id", "left_anti"))
-        .join(with_fallback(baseline, additional).select("response_id"), "response_id", "left_anti")
-    )
+def merge_assessments(baseline: DataFrame, additional: DataFrame, keys: list[str] = ("response_id",)) -> DataFrame:
+    """The baseline's rows win; a response stays unassessed if neither store assesses it. keys: response_id, and columns that
+    follow from it by which the stores may lie already.
+
+    A response's rows rank: the baseline's that are assessed, the additional ones that are, the baseline's, the additional.
+    Those of the best rank stay; rows without an id are equal to no other, and rows of which it isn't known whether they are
+    assessed are left out.
+    """
+    side = lambda d, n: d.withColumn("_rank", F.when(F.col("is_assessed"), n).otherwise(n + 2))
+    both = side(baseline, 0).unionByName(side(additional, 1))
+    best = F.min("_rank").over(Window.partitionBy(*keys))
+    return both.withColumn("_best", best).filter("is_assessed IS NOT NULL AND (_rank = _best OR response_id IS NULL)").drop("_rank", "_best")
 
 
 CAS = ("cas", "cas_start", "cas_end")
@@ -69,7 +75,7 @@ def merge_stores(baseline: DataFrame, additional: DataFrame, own: DataFrame, oth
     and the other's CASes are carried into them. own, other: (doc_id, CAS, coref_id) of the two stores; fields hold
     response_id and is_assessed."""
     cas = ["doc_id", *CAS]
-    key = merge_assessments(baseline.select(*cas, *fields), additional.select(*cas, *fields))
+    key = merge_assessments(baseline.select(*cas, *fields), additional.select(*cas, *fields), ["doc_id", "response_id"])
     return key.join(coref.merge(own, other, CAS), cas, "left").select(*cas, *fields, "coref_id")
 
 

@@ -60,6 +60,31 @@ def test_stores_keep_their_clusters(spark):
     assert got == {"1": "k", "2": "x", "3": "y", "4": "y"}
 
 
+def test_merged_assessments_by_rank(spark):
+    """Every pair of a baseline's and an additional store's rows of one id, against the rules told one by one."""
+    states = [None, (True,), (False,), (True, True), (False, True), (False, False)]
+    base, more, want = [], [], []
+    for i, b in enumerate(states):
+        for j, m in enumerate(states):
+            rows = [[(f"{i}{j}", a, f"{side}{k}") for k, a in enumerate(s or ())] for side, s in (("b", b), ("m", m))]
+            base, more = base + rows[0], more + rows[1]
+            right = [r for r in rows[0] if r[1]] or [r for r in rows[1] if r[1]]
+            want += right or rows[0] or rows[1]
+    lone = [(None, True, "b"), (None, False, "b")]
+    make = lambda rows: spark.createDataFrame(rows, "response_id string, is_assessed boolean, aet string")
+    got = stores.merge_assessments(make(base + lone + [("x", None, "b")]), make(more + lone))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want + lone + lone))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_merged_stores_join_once(spark):
+    from framescore.plans.catalog import QUERIES
+
+    plan = QUERIES["so6_merged_stores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_mapped_rows_bring_fresh_clusters(spark):
     key = spark.createDataFrame([("d", "a", 0, 1, "1", True), ("d", "b", 5, 6, "2", False), ("d", "c", 8, 9, "3", True)], f"{CAS}, response_id string, is_assessed boolean")
     known = spark.createDataFrame([("d", "a", 0, 1, "k"), ("d", "c", 8, 9, None)], f"{CAS}, coref_id string")
