@@ -11,6 +11,8 @@ from .ranks import with_ordinal
 
 BETA = 0.25
 LAMBDA = 0.5
+#: Draws that a task of `drawn_samples` sorts: some 64 bytes each.
+DRAWS_A_TASK = 1 << 22
 
 
 def with_f(counts: DataFrame) -> DataFrame:
@@ -74,11 +76,13 @@ def drawn_samples(units: DataFrame, unit: str, samples: int, seed: int = 0) -> D
     numbers of the samples that draw it, as often as they do; its array has about `samples` numbers.
 
     units: distinct units. Unit ordinals follow the units' order. The draws are a range of samples times units numbers,
-    dealt over all tasks; those of a task are gathered by unit before they are shuffled. Nothing is one task's.
+    dealt over tasks of at most DRAWS_A_TASK; those of a task are gathered by unit, which sorts them in memory, before they
+    are shuffled.
     """
     ranked = with_ordinal(units.select(unit), [unit], "ordinal")  # written, so counting reads it
     n = max(1, ranked.count())
-    numbers = units.sparkSession.range(samples * n).select(F.expr(f"CAST(id div {n} AS INT)").alias("sample"), (F.col("id") % n).alias("k"))
+    tasks = max(units.sparkSession.sparkContext.defaultParallelism, -(-samples * n // DRAWS_A_TASK))
+    numbers = units.sparkSession.range(0, samples * n, 1, tasks).select(F.expr(f"CAST(id div {n} AS INT)").alias("sample"), (F.col("id") % n).alias("k"))
     hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.col("sample").cast("string"), F.lit("|"), F.col("k").cast("string")))
     picked = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % F.lit(n)
     lists = numbers.select("sample", picked.alias("ordinal")).groupBy("ordinal").agg(F.collect_list("sample").alias("samples"))

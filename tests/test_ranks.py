@@ -101,3 +101,15 @@ def test_draws_are_not_shuffled_one_by_one(spark):
     plan = S.bootstrapped(counts, drawn, "unit", ["code"], {"n": F.sum("times")})._jdf.queryExecution().optimizedPlan().toString()
     top = plan.index("Generate explode")
     assert plan.index("Aggregate [sample") < top < plan.index("Join Inner")
+
+
+def test_draws_are_dealt_over_tasks_of_a_bounded_size(spark, monkeypatch):
+    """More units make more tasks, not larger ones, which would spill."""
+    import re
+
+    monkeypatch.setattr(S, "DRAWS_A_TASK", 1_000, raising=False)
+    units = spark.range(100).select(F.col("id").cast("string").alias("unit"))
+    drawn = S.drawn_samples(units, "unit", 200)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Range \(0, 20000, step=1, splits=Some\(20\)\)", plan)
+    assert sum(len(r.samples) for r in drawn.collect()) == 20_000
