@@ -40,6 +40,12 @@ def doc_counts(t):
     return counts_by(t, ["doc_id"])
 
 
+@once
+def written_counts(t):
+    """doc_counts, written once for all steps of a query that read them."""
+    return written(doc_counts(t))
+
+
 @query("sco1_trfr_alignment", f"{ALIGN} SELECT system_id, {K}, cell FROM aligned")
 def sco1(t):
     return _aligned(t)
@@ -137,7 +143,7 @@ DRAWS = f"""{DRAWN}, boot AS (SELECT sample, system_id, sum(times * tp) AS tp, s
 
 @once
 def _boot(t):
-    counts = written(doc_counts(t))
+    counts = written_counts(t)
     drawn = S.drawn_samples(counts.select("doc_id").distinct(), "doc_id", SAMPLES)
     w = lambda c: F.sum(F.col("times") * c)
     gained = w(F.greatest(F.col("tp") - 0.25 * F.col("fp"), F.lit(0.0)))

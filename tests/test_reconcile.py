@@ -150,3 +150,13 @@ def test_score_tables_on_disk(spark, tmp_path):
     want = [("a", "linear", None), ("a", "tp", 3.0), ("b", "linear", 2.5), ("b", "tp", 1.0)]
     assert sorted(map(tuple, scans.score_table(spark, f"{tmp_path}/t/scores").collect())) == want
     assert spark.read.option("header", True).csv(f"{tmp_path}/t/scores.csv").columns == ["system_id", "metric", "value"]
+
+
+def test_summaries_make_document_counts_once(spark, monkeypatch):
+    from framescore.operators import align
+    from framescore.plans.catalog import QUERIES
+
+    made, counted = [], align.counted_judged
+    monkeypatch.setattr(align, "counted_judged", lambda *a: made.append(a) or counted(*a))
+    QUERIES["ag27_full_submission_summary"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
