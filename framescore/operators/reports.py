@@ -62,9 +62,8 @@ def found_by_teams(found: DataFrame, prefix: int, item: tuple[str, ...] | list[s
 
 
 def leaderboard(scores: DataFrame, baseline: str, value: str = "score") -> DataFrame:
-    """Rank of each system, and its lead over the baseline where positive. One row a system."""
-    base = scores.filter(F.col("system_id") == baseline).select(F.col(value).alias("_b"))
-    d = scores.join(F.broadcast(base), how="left")
+    """Rank of each system, and its lead over the baseline where positive. One row a system; scores are made once."""
+    d = scores.withColumn("_b", F.max(F.when(F.col("system_id") == baseline, F.col(value))).over(Window.partitionBy()))
     rank = F.row_number().over(Window.orderBy(F.desc(value), "system_id"))
     return d.select("system_id", value, rank.cast("long").alias("rank"), F.when(F.col(value) > F.col("_b"), F.col(value) - F.col("_b")).alias("lead"))
 

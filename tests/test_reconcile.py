@@ -160,3 +160,14 @@ def test_summaries_make_document_counts_once(spark, monkeypatch):
     monkeypatch.setattr(align, "counted_judged", lambda *a: made.append(a) or counted(*a))
     QUERIES["ag27_full_submission_summary"](spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def test_leaderboard_makes_scores_once(spark):
+    from framescore.operators import reports
+    from framescore.plans.catalog import QUERIES
+
+    plan = QUERIES["wn7_leaderboard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
+    d = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0)], "system_id string, score double")
+    assert [tuple(r) for r in reports.leaderboard(d, "b").orderBy("rank").collect()] == [("a", 3.0, 1, 1.0), ("b", 2.0, 2, None), ("c", 1.0, 3, None)]
+    assert [r.lead for r in reports.leaderboard(d, "none").collect()] == [None] * 3
