@@ -56,10 +56,11 @@ def keep_best(responses: DataFrame, linking: DataFrame, keys: list[str]) -> Data
 
     responses holds the class columns keys. A response is kept if it is best in any of its frames.
     """
-    framed = responses.join(linking.select("system_id", "doc_id", "frame_id", "response_id"), ["system_id", "doc_id", "response_id"])
-    linked = best_response(framed, ["system_id", "frame_id", *keys])
-    generic = best_response(responses.filter("realis = 'Generic'"), ["system_id", *keys])
-    return linked.select("system_id", "doc_id", "response_id").unionByName(generic.select("system_id", "doc_id", "response_id")).distinct()
+    own = ["system_id", "doc_id", "response_id"]
+    framed = responses.join(linking.select(*own, "frame_id", F.lit(False).alias("_linked")), own, "left")
+    among = F.array_compact(F.array("_linked", F.when(F.col("realis") == "Generic", True)))
+    framed = framed.withColumn("_generic", F.explode(among)).withColumn("frame_id", F.when(~F.col("_generic"), F.col("frame_id")))
+    return best_response(framed, ["system_id", "_generic", "frame_id", *keys]).select(*own).distinct()
 
 
 def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
