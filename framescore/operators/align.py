@@ -51,18 +51,19 @@ def key_classes(judged: DataFrame, keys: list[str]) -> DataFrame:
     return judged.groupBy(*keys).agg(F.max("right").alias("class_correct"))
 
 
-def align(responses: DataFrame, assessed: DataFrame, correct: DataFrame | Column, keys: list[str]) -> DataFrame:
+def align(responses: DataFrame, assessed: DataFrame, correct: DataFrame | Column, keys: list[str], ids: list[str] = ("response_id",)) -> DataFrame:
     """(system_id, *keys, cell): TP, FP, FN or unassessed; a wrong best response of a correct class is FP and FN.
 
     responses and assessed hold the key columns; correct: as for `flagged`, a condition spares two joins. Each
-    of the key's correct classes is found or missed by every submission.
+    of the key's correct classes is found or missed by every submission. ids: what names a response; with doc_id among
+    them, and among the keys, tables that lie by document are not shuffled.
     """
     best = best_response(responses, ["system_id", *keys]).select("system_id", *keys, "response_id")
     judged = flagged(assessed, correct)
-    known = judged.select("response_id", F.lit(True).alias("known"), "right")
-    best = best.join(known, "response_id", "left").select("system_id", *keys, F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("right", F.lit(False)).alias("right"), F.lit(True).alias("found"))
+    known = judged.select(*ids, F.lit(True).alias("known"), "right")
+    best = best.join(known, [*ids], "left").select("system_id", *keys, F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("right", F.lit(False)).alias("right"), F.lit(True).alias("found"))
     classes = key_classes(judged, keys).filter("class_correct")
-    wanted = classes.crossJoin(responses.select("system_id").distinct())
+    wanted = classes.crossJoin(F.broadcast(responses.select("system_id").distinct()))
     both = wanted.join(best, ["system_id", *keys], "full")
     found = F.col("found").isNotNull()
     cells = (

@@ -43,3 +43,11 @@ def test_keep_best_is_one_pass(spark, no_broadcast):
     own = links.join(d.filter("bf_start = 10"), "response_id", "left_semi").select("system_id", "doc_id", "response_id")  # generic: best of its frame, not of its class
     best = d.groupBy("system_id", *CLASS).agg(F.max_by("response_id", "confidence").alias("response_id")).select("system_id", "doc_id", "response_id")
     assert sorted(kept.collect()) == sorted(best.union(own).collect())
+
+
+def test_alignment_joins_by_document(spark, no_broadcast):
+    d = rows(spark)
+    judged = d.select(*CLASS, "response_id", (F.col("bf_start") % 3 == 0).alias("right")).distinct()
+    near = align.align(d, judged, F.col("right"), CLASS, ["doc_id", "response_id"])
+    assert shuffles(near) == 1  # the few systems
+    assert sorted(near.collect()) == sorted(align.align(d, judged, F.col("right"), CLASS).collect())
