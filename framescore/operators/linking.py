@@ -14,8 +14,9 @@ from .invariants import enforced, outside_gold
 
 
 def lift(bridge: DataFrame, to_class: DataFrame | None, frame_keys: list[str]) -> DataFrame:
-    """Frames of responses as frames of classes. to_class: (response_id, item); none where bridge has the items."""
-    items = bridge if to_class is None else bridge.join(to_class, "response_id")
+    """Frames of responses as frames of classes. to_class: (response_id, item), with doc_id where tables lie by document; none
+    where bridge has the items."""
+    items = bridge if to_class is None else bridge.join(to_class, [c for c in ("doc_id", "response_id") if c in to_class.columns])
     return items.select(*frame_keys, "item").distinct()
 
 
@@ -54,7 +55,8 @@ def linked(responses: DataFrame, strategy: Callable[[DataFrame], DataFrame]) ->
 def keep_best(responses: DataFrame, linking: DataFrame, keys: list[str]) -> DataFrame:
     """The best response of each (frame, class), and of each class among generic ones; all others go.
 
-    responses holds the class columns keys. A response is kept if it is best in any of its frames.
+    responses holds the class columns keys. A response is kept if it is best in any of its frames. Generic ones are a frame
+    more of the same pass, as a union would be shuffled.
     """
     own = ["system_id", "doc_id", "response_id"]
     framed = responses.join(linking.select(*own, "frame_id", F.lit(False).alias("_linked")), own, "left")
