@@ -51,3 +51,20 @@ def test_alignment_joins_by_document(spark, no_broadcast):
     near = align.align(d, judged, F.col("right"), CLASS, ["doc_id", "response_id"])
     assert shuffles(near) == 1  # the few systems
     assert sorted(near.collect()) == sorted(align.align(d, judged, F.col("right"), CLASS).collect())
+
+
+def test_violations_of_a_kb_are_found_in_one_pass(spark):
+    made = [(":A", "type", ":T", 0.5), (":A", "type", ":U", 0.5), (":B", "type", ":T", 1.5), (":B", "mention", None, 0.5), (":C", "argument", ":D", None), (None, "type", ":T", 0.5), (None, "mention", None, 0.0), (":E", None, "x", 0.5)]
+    d = written(spark.createDataFrame(made, "subject string, kind string, object string, confidence double"))
+    found = pipelines.kb_violations(d)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
+    want = [(":A", "several types"), (":A", "no mention"), (":B", "confidence out of range"), *[(s, c) for s in (":C", ":D", ":E", ":T", ":U", None) for c in ("no type", "no mention")], (None, "confidence out of range")]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
+def test_repeated_assertions_go_before_the_shuffle(spark):
+    line = "\t".join((":Entity_1", "type", "PER", "0.{}00"))
+    d = spark.createDataFrame([(3, line.format(3)), (1, line.format(9)), (2, line.format(1))], "line_no long, line string")
+    found = scans.kb_assertions(d)
+    assert [(r.line_no, r.subject, r.confidence) for r in found.collect()] == [(1, ":Entity_1", 0.9)]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
