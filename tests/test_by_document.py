@@ -53,6 +53,23 @@ def test_alignment_joins_by_document(spark, no_broadcast):
     assert sorted(near.collect()) == sorted(align.align(d, judged, F.col("right"), CLASS).collect())
 
 
+def test_a_chain_keeps_its_last_tables_only(spark):
+    r = rows(spark)
+    judged = dict(is_assessed=F.lit(True), aet=F.lit("C"), aer=F.lit("C"), cas_ok=F.when(F.col("bf_start") % 4 == 1, "W").otherwise("C"), bf_ok=F.lit("C"), a_realis=F.col("realis"), mention_type=F.lit("NAME"))
+    t = {
+        "responses": r.select("system_id", *P.ROW, "response_id", "confidence"), "key": r.select(*P.ROW, "response_id").withColumns(judged),
+        "linking": r.filter("realis = 'Actual'").select("system_id", "doc_id", F.lit("f").alias("frame_id"), "response_id"), "canonical": r.select("doc_id", "cas", "cas_start", "cas_end", "canon").distinct(),
+    }
+    folder = os.path.dirname(stage_path(spark)).removeprefix("file:")
+    steps = P.chain(2015, neutralise_realis=True, neutralise_coref=True)
+    before = len(os.listdir(folder))
+    near = P.applied(t, steps, lambda d: bucketed(d, 4, "doc_id"))
+    assert len(os.listdir(folder)) - before == 4
+    far = P.applied(t, steps, written)
+    for n in t:
+        assert near[n].count() == far[n].count() and sorted(map(str, near[n].select(*far[n].columns).collect())) == sorted(map(str, far[n].collect()))
+
+
 def test_violations_of_a_kb_are_found_in_one_pass(spark):
     made = [(":A", "type", ":T", 0.5), (":A", "type", ":U", 0.5), (":B", "type", ":T", 1.5), (":B", "mention", None, 0.5), (":C", "argument", ":D", None), (None, "type", ":T", 0.5), (None, "mention", None, 0.0), (":E", None, "x", 0.5)]
     d = written(spark.createDataFrame(made, "subject string, kind string, object string, confidence double"))
